@@ -1,0 +1,56 @@
+"""Small numpy helpers run inside tasks on the bounded clustering sample."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def squared_distances(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    cross = points @ centers.T
+    found = (points ** 2).sum(1)[:, None] + (centers ** 2).sum(1)[None, :] - 2 * cross
+    return np.maximum(found, 0.0)
+
+
+def fit_once(points: np.ndarray, k: int, seed: int, rounds: int = 300, tolerance: float = 1e-4):
+    """One k-means run from a spread-out random start: (centers, labels, inertia)."""
+    rng = np.random.default_rng(seed)
+    centers = points[[rng.integers(len(points))]]
+    nearest = squared_distances(points, centers)[:, 0]
+    while len(centers) < k:
+        total = nearest.sum()
+        weights = nearest / total if total > 0 else None
+        centers = np.vstack([centers, points[rng.choice(len(points), p=weights)]])
+        nearest = np.minimum(nearest, squared_distances(points, centers[-1:])[:, 0])
+    stop = tolerance * points.var(axis=0).mean()
+    for _ in range(rounds):
+        distances = squared_distances(points, centers)
+        labels = distances.argmin(1)
+        members = np.bincount(labels, minlength=k)
+        sums = np.stack([np.bincount(labels, weights=points[:, j], minlength=k)
+                         for j in range(points.shape[1])], axis=1)
+        moved = np.where(members[:, None] > 0, sums / np.maximum(members, 1)[:, None], centers)
+        shift = ((moved - centers) ** 2).sum()
+        centers = moved
+        if shift <= stop:
+            break
+    distances = squared_distances(points, centers)
+    labels = distances.argmin(1)
+    return centers, labels, float(distances[np.arange(len(points)), labels].sum())
+
+
+def silhouette_sum(block: np.ndarray, block_labels: np.ndarray, distances: np.ndarray,
+                   labels: np.ndarray, k: int) -> float:
+    """Sum of the silhouettes of a block of points, from its distances to all points."""
+    members = np.bincount(labels, minlength=k).astype(float)
+    one_hot = np.zeros((len(labels), k))
+    one_hot[np.arange(len(labels)), labels] = 1.0
+    sums = distances @ one_hot
+    rows = np.arange(len(block))
+    own_size = members[block_labels]
+    own = sums[rows, block_labels] / np.maximum(own_size - 1, 1)
+    others = np.where(members > 0, sums / np.maximum(members, 1), np.inf)
+    others[rows, block_labels] = np.inf
+    other = others.min(1)
+    larger = np.maximum(own, other)
+    score = np.divide(other - own, larger, out=np.zeros_like(own), where=larger > 0)
+    return float(np.where(own_size > 1, score, 0.0).sum())

@@ -15,12 +15,14 @@ YES_NO = ("Y", "N")
 DATE_SEPARATOR = "[-/:]"
 MIN_DATE_SHARE = 0.95
 
-# Layouts tried in this order after the ISO cast; month-first is read before day-first.
-DATE_LAYOUTS = (
-    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "yyyy/M/d", "yyyy-M-d",
-    "M/d/yy", "d/M/yy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
-)
-TIME_LAYOUTS = ("", " H:mm", " H:mm:ss")
+# Layouts tried in this order after the ISO cast, with dashes read as slashes; month-first is read before
+# day-first, and a time of day may follow. A layout is only tried on a string of its shape: a failed
+# parse is slow.
+NUMERIC_SHAPE = "^[0-9]{1,4}/[0-9]{1,2}/[0-9]{1,4}( |$)"
+NUMERIC_LAYOUTS = ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "M/d/yy", "d/M/yy")
+MONTH_NAME_SHAPE = "^([0-9]{1,2}[/ ][A-Za-z]{3}[/ ]|[A-Za-z]{3,9} [0-9]{1,2}, )[0-9]{4}( |$)"
+MONTH_NAME_LAYOUTS = ("d/MMM/yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
+TIME_OF_DAY = "[ H:mm[:ss]]"
 
 # No accepted date layout is longer than this many bytes.
 MAX_DATE_BYTES = 64
@@ -31,8 +33,12 @@ _TWO_53 = float(2 ** 53)
 _TWO_63 = float(2 ** 63)
 
 
+def _name_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(_name_sql(name))
 
 
 def base_type(data_type: T.DataType) -> str | None:
@@ -72,20 +78,30 @@ def as_double(df: DataFrame, name: str) -> Column:
     return column.cast("double")
 
 
-def parse_datetime(text: Column) -> Column:
-    """Timestamp read from a string in any accepted layout, NULL when none fits."""
-    trimmed = F.trim(text)
-    attempts = [trimmed.try_cast("timestamp")]
-    attempts += [
-        F.try_to_timestamp(trimmed, F.lit(day + clock)) for day in DATE_LAYOUTS for clock in TIME_LAYOUTS
-    ]
-    return F.when(F.octet_length(text) <= MAX_DATE_BYTES, F.coalesce(*attempts))
+def _parse_sql(name: str) -> str:
+    text = _name_sql(name)
+    slashed = f"translate(trim({text}), '-', '/')"
+
+    def first_fit(layouts: tuple[str, ...]) -> str:
+        return "coalesce(" + ", ".join(
+            f"try_to_timestamp({slashed}, '{day}{TIME_OF_DAY}')" for day in layouts) + ")"
+
+    return f"""CASE WHEN octet_length({text}) <= {MAX_DATE_BYTES} THEN coalesce(
+        try_cast(trim({text}) AS timestamp),
+        CASE WHEN {slashed} RLIKE '{NUMERIC_SHAPE}' THEN {first_fit(NUMERIC_LAYOUTS)}
+             WHEN {slashed} RLIKE '{MONTH_NAME_SHAPE}' THEN {first_fit(MONTH_NAME_LAYOUTS)} END) END"""
+
+
+def parse_datetime(name: str) -> Column:
+    """Timestamp read from a string column in any accepted layout, NULL when none fits."""
+    return F.expr(_parse_sql(name))
 
 
-def is_date_text(text: Column) -> Column:
-    """True when the string parses as a date and holds a date separator."""
-    shaped = (F.octet_length(text) <= MAX_DATE_BYTES) & text.rlike(DATE_SEPARATOR) & text.rlike("[0-9]")
-    return F.when(shaped, parse_datetime(text).isNotNull()).otherwise(F.lit(False))
+def is_date_text(name: str) -> Column:
+    """True when the column's string parses as a date and holds a date separator."""
+    text = _name_sql(name)
+    return F.expr(f"""CASE WHEN octet_length({text}) <= {MAX_DATE_BYTES} AND {text} RLIKE '{DATE_SEPARATOR}'
+        AND {text} RLIKE '[0-9]' THEN ({_parse_sql(name)}) IS NOT NULL ELSE false END""")
 
 
 def epoch_micros(column: Column) -> Column:
