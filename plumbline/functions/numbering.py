@@ -31,11 +31,11 @@ def number_rows(df: DataFrame, order: list[str], out: str, group: list[str] | No
         .drop("__n")
     )
     within = F.row_number().over(W.partitionBy(*group, "__bucket").orderBy(*order))
-    keys = [*group, "__bucket"]
     numbered = keyed.withColumn("__within", within)
-    matched = [numbered[k].eqNullSafe(offsets[k]) for k in group] + [numbered["__bucket"] == offsets["__bucket"]]
+    # the offsets get names of their own: both sides stem from the same columns
+    keys = [*group, "__bucket"]
+    offsets = offsets.select(*[F.col(k).alias(f"__of_{i}") for i, k in enumerate(keys)], "__before")
+    matched = [F.col(k).eqNullSafe(F.col(f"__of_{i}")) for i, k in enumerate(keys)]
     joined = numbered.join(offsets, matched, "inner")
-    for key in keys:
-        joined = joined.drop(offsets[key])
     return joined.withColumn(out, F.col("__before") + F.col("__within") - F.lit(1)).drop(
-        "__bucket", "__within", "__before")
+        "__bucket", "__within", "__before", *[f"__of_{i}" for i in range(len(keys))])
