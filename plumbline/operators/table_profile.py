@@ -292,7 +292,9 @@ def _distribution(table: str, df: DataFrame, values: dict[str, Column], limit: i
     percentiles = exact_percentiles(df, values, PERCENTILES, counts, limit)
     aggs, stats = [], []
     for i, (name, value) in enumerate(values.items()):
-        wanted = [("count", F.count(value)), ("mean", F.avg(value))]
+        # whole microseconds are summed as decimals, which a double sum would round
+        mean = F.avg(value) if spread else F.floor(F.avg(value.cast("decimal(20,0)"))).cast("double")
+        wanted = [("count", F.count(value)), ("mean", mean)]
         if spread:
             wanted.append(("std", F.stddev_samp(value)))
         wanted.append(("min", F.min(value)))
@@ -317,7 +319,7 @@ def datetime_distribution(table: str, df: DataFrame, columns: list[str],
                           limit: int = MAX_VALUES) -> DataFrame:
     """Long rows (stat, value as text): count, mean, min, percentiles, max of time columns."""
     def show(found: Column) -> Column:
-        return F.date_format(F.timestamp_micros(F.floor(found).cast("bigint")), TIME_FORMAT)
+        return F.date_format(F.timestamp_micros(F.round(found).cast("bigint")), TIME_FORMAT)
 
     return _distribution(table, df, {c: epoch_micros(quoted(c)).cast("double") for c in columns}, limit,
                          False, show, "string")

@@ -60,8 +60,8 @@ def profile_columns(tables: tp.Tables) -> tuple[tp.Tables, DataFrame, DataFrame]
 
 def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tuple[str, ...] = (),
                     capped: bool = False, numeric: bool = True, clusters: bool = True,
-                    key: str | None = None) -> Frames:
-    """All profile frames of a set of tables.
+                    key: str | None = None, parts: set[str] | None = None) -> Frames:
+    """The wanted profile frames of a set of tables, all by default.
 
     `test` holds the other side of the split: keys are looked up over both. Tables named in `views` are
     profiled but take no part in foreign keys. `key` names a row identity column to leave out.
@@ -79,58 +79,57 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
     for row in columns.orderBy("table_name", "ordinal").collect():
         details.setdefault(row["table_name"], {})[row["column_name"]] = row
 
-    def names(table: str, wanted) -> list[str]:
-        return [c for c, row in details[table].items() if wanted(row)]
+    def wanted(name: str) -> bool:
+        return parts is None or name in parts
+
+    def names(table: str, test) -> list[str]:
+        return [c for c, row in details[table].items() if test(row)]
 
-    measured = {t: names(t, lambda r: r["is_categorical"]) for t in tables}
     categorical = {t: names(t, lambda r: r["is_categorical"] and not r["potential_primary_key"]) for t in tables}
-    frames["profile_category"] = tp.category_distribution(typed, measured)
-
-    numbers, texts, correlated, cramers = [], [], [], []
-    strings = {t: df for t, df in typed.items()
-               if names(t, lambda r: r["datatype"] in ("str", "bool")) and _string_columns(df)}
-    for t, df in sorted(typed.items()):
-        stored = [c for c in names(t, lambda r: r["datatype"] in ("int", "float", "bool"))
-                  if c in numeric_columns(df)]
-        if stored:
-            numbers.append(tp.numeric_distribution(t, df, stored))
-        times = [c for c in names(t, lambda r: r["datatype"] == "datetime") if c not in _string_columns(df)]
-        if times:
-            texts.append(tp.datetime_distribution(t, df, times))
-        if len(numeric_columns(df)) > 1:
-            correlated.append(association.correlations(t, df))
-        if len(categorical[t]) > 1:
-            cramers.append(association.cramers_v(t, df, categorical[t]))
-    if strings:
-        found = tp.string_distribution(strings)
-        texts.append(found.select("table_name", "column_name", F.inline(F.array(*[
-            F.struct(F.lit(stat).alias("stat"), F.col(stat).cast("string").alias("value"))
-            for stat in ("count", "unique", "top", "freq")]))))
-    frames["profile_distribution"] = _gather(spark, "profile_distribution", numbers)
-    frames["profile_text"] = _gather(spark, "profile_text", texts)
-    frames["profile_correlation"] = _gather(spark, "profile_correlation", correlated)
-    frames["profile_cramers_v"] = _gather(spark, "profile_cramers_v", cramers)
-
-    # keys: raw values of clean and test rows together; without a test side the counts serve again
-    linked = {t: df for t, df in tables.items() if t not in views}
-    if test is not None:
-        whole = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df for t, df in linked.items()}
-    else:
-        whole = linked
-    key_counts = materialize(tp.value_counts(whole, with_rows=False), "keys") \
-        if test is not None or views or typed != tables else counts
-    found = keys.coverage(whole, columns.filter(~F.col("table_name").isin(*views)) if views else columns, key_counts)
-    links = materialize(
-        keys.foreign_keys(found, keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE), "links")
-    frames["profile_fk"] = links
-
-    if numeric:
-        frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
+    if wanted("profile_category"):
+        measured = {t: names(t, lambda r: r["is_categorical"]) for t in tables}
+        frames["profile_category"] = tp.category_distribution(typed, measured)
+    if wanted("profile_distribution"):
+        stored = {t: [c for c in numeric_columns(df) if c in details[t]] for t, df in sorted(typed.items())}
+        frames["profile_distribution"] = _gather(spark, "profile_distribution", [
+            tp.numeric_distribution(t, typed[t], c) for t, c in stored.items() if c])
+    if wanted("profile_text"):
+        times = {t: [f.name for f in df.schema if tp.base_type(f.dataType) == "datetime"] for t, df in typed.items()}
+        texts = [tp.datetime_distribution(t, typed[t], c) for t, c in sorted(times.items()) if c]
+        strings = {t: df for t, df in typed.items() if any(tp.base_type(f.dataType) == "str" for f in df.schema)}
+        if strings:
+            texts.append(tp.string_distribution(strings).select("table_name", "column_name", F.inline(F.array(*[
+                F.struct(F.lit(stat).alias("stat"), F.col(stat).cast("string").alias("value"))
+                for stat in ("count", "unique", "top", "freq")]))))
+        frames["profile_text"] = _gather(spark, "profile_text", texts)
+    if wanted("profile_correlation"):
+        frames["profile_correlation"] = _gather(spark, "profile_correlation", [
+            association.correlations(t, df) for t, df in sorted(typed.items()) if len(numeric_columns(df)) > 1])
+    if wanted("profile_cramers_v"):
+        frames["profile_cramers_v"] = _gather(spark, "profile_cramers_v", [
+            association.cramers_v(t, df, categorical[t]) for t, df in sorted(typed.items())
+            if len(categorical[t]) > 1])
+    if numeric or wanted("profile_fk"):
+        links = materialize(_links(tables, typed, test, views, columns, counts, capped), "links")
+        frames["profile_fk"] = links
+        if numeric:
+            frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
     return frames
 
 
-def _string_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if f.dataType.typeName() in ("string", "varchar", "char")]
+def _links(tables: tp.Tables, typed: tp.Tables, test: tp.Tables | None, views: tuple[str, ...],
+           columns: DataFrame, counts: DataFrame, capped: bool) -> DataFrame:
+    """Foreign keys over raw values of clean and test rows; the counts serve again where they are the same."""
+    linked = {t: df for t, df in tables.items() if t not in views}
+    if test is not None:
+        linked = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df for t, df in linked.items()}
+    changed = test is not None or views or any(typed[t] is not tables[t] for t in tables)
+    if changed:
+        counts = materialize(tp.value_counts(linked, with_rows=False), "keys")
+    if views:
+        columns = columns.filter(~F.col("table_name").isin(*views))
+    found = keys.coverage(linked, columns, counts)
+    return keys.foreign_keys(found, keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE)
 
 
 def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, columns: DataFrame,
