@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Pairs evaluated in one aggregate; more pairs than this take another scan of the columns involved.
-PAIRS_PER_SCAN = 150
+PAIRS_PER_SCAN = 100
 
 
 def safe_corr(x: Column, y: Column) -> Column:
@@ -19,17 +19,56 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def pair_frames(df: DataFrame, values: dict[str, Column]) -> list[DataFrame]:
-    """Frames of (col_a, col_b, r, n) holding each pair once, in column order."""
-    pairs = list(combinations(values, 2))
+    """Frames of (col_a, col_b, r, n) holding each pair once, in column order.
+
+    A first scan finds means, gaps and constant columns. The second sums products of centred values: one
+    sum per pair of columns without gaps, since their own sums are shared by all pairs. Pairs with gaps
+    are measured on the rows where both are present.
+    """
+    names = list(values)
+    known = df.agg(F.count(F.lit(1)).alias("n"), *[a for i, c in enumerate(names) for a in (
+        F.count(values[c]).alias(f"n{i}"), F.avg(values[c]).alias(f"m{i}"),
+        (F.min(values[c]) < F.max(values[c])).alias(f"v{i}"))]).first()
+    rows = known["n"]
+    centred = {i: values[c] - F.lit(known[f"m{i}"]) for i, c in enumerate(names) if known[f"v{i}"]}
+    whole = {i for i in centred if known[f"n{i}"] == rows}
+    pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if i in centred and j in centred]
+    constant = [(i, j) for i, j in combinations(range(len(names)), 2) if i not in centred or j not in centred]
+
     frames = []
     for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        part = pairs[start:start + PAIRS_PER_SCAN]
-        aggs = []
-        for i, (a, b) in enumerate(part):
-            aggs.append(safe_corr(values[a], values[b]).alias(f"r{i}"))
-            aggs.append(F.count_if(values[a].isNotNull() & values[b].isNotNull()).alias(f"n{i}"))
-        frames.append(df.agg(*aggs).select(F.inline(F.array(*[
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"),
-                     F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(part)]))))
+        aggs: dict[str, Column] = {}
+        found = []
+        for i, j in pairs[start:start + PAIRS_PER_SCAN]:
+            x, y = centred[i], centred[j]
+            if i in whole and j in whole:
+                aggs[f"s{i}"], aggs[f"q{i}"] = F.sum(x), F.sum(x * x)
+                aggs[f"s{j}"], aggs[f"q{j}"] = F.sum(y), F.sum(y * y)
+                aggs[f"p{i}_{j}"] = F.sum(x * y)
+                n, sx, sy, qx, qy = F.lit(rows), f"s{i}", f"s{j}", f"q{i}", f"q{j}"
+                varies = F.lit(True)
+            else:
+                x_kept, y_kept = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+                key = f"{i}_{j}"
+                aggs.update({
+                    f"n{key}": F.count(x_kept), f"p{key}": F.sum(x * y),
+                    f"sx{key}": F.sum(x_kept), f"sy{key}": F.sum(y_kept),
+                    f"qx{key}": F.sum(x_kept * x_kept), f"qy{key}": F.sum(y_kept * y_kept),
+                    f"v{key}": (F.min(x_kept) < F.max(x_kept)) & (F.min(y_kept) < F.max(y_kept))})
+                n, sx, sy, qx, qy = F.col(f"n{key}"), f"sx{key}", f"sy{key}", f"qx{key}", f"qy{key}"
+                varies = F.col(f"v{key}")
+            found.append((i, j, _r(n, *[F.col(s) for s in (f"p{i}_{j}", sx, sy, qx, qy)], varies), n))
+        frames.append(df.agg(*[a.alias(c) for c, a in aggs.items()]).select(F.inline(F.array(*[
+            F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"), r.alias("r"),
+                     n.cast("long").alias("n")) for i, j, r, n in found]))))
+    if constant:
+        frames.append(df.sparkSession.createDataFrame(
+            [(names[i], names[j], None, None) for i, j in constant],
+            "col_a string, col_b string, r double, n long"))
     return frames
+
+
+def _r(n: Column, p: Column, sx: Column, sy: Column, qx: Column, qy: Column, varies: Column) -> Column:
+    some = F.when(varies & (n > 0), n)
+    spread = F.sqrt(qx - sx * sx / some) * F.sqrt(qy - sy * sy / some)
+    return F.greatest(F.least((p - sx * sy / some) / F.when(spread > 0, spread), F.lit(1.0)), F.lit(-1.0))

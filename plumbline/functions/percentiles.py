@@ -39,13 +39,18 @@ class _Bracket:
             return value
         return F.when(value.between(F.lit(self.low), F.lit(self.high)), value)
 
+    def share(self) -> float:
+        """Wanted position relative to the values inside."""
+        share = (self.position - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
+        return min(max(share, 0.0), 1.0)
+
     def holds(self, below: int, inside: int) -> bool:
         return below <= math.floor(self.position) and math.ceil(self.position) < below + inside
 
 
 def exact_percentiles(df: DataFrame, values: dict[str, Column], shares: list[float],
-                      counts: dict[str, int], limit: int = MAX_VALUES) -> dict[str, list[Column]]:
-    """Aggregates, one per (name, share), that give the exact percentile of each double expression.
+                      counts: dict[str, int], limit: int = MAX_VALUES) -> dict[str, Percentiles]:
+    """The aggregates that give the exact percentiles of each double expression.
 
     `counts` holds the number of non-null values per name, known from an earlier pass.
     """
@@ -59,33 +64,56 @@ def exact_percentiles(df: DataFrame, values: dict[str, Column], shares: list[flo
             break
         if not _narrow(df, values, open_ones):
             break
-    return {
-        name: [_interpolated(values[name], brackets[(name, i)]) for i in range(len(shares))]
-        for name in values
-    }
+    return {name: Percentiles(values[name], [brackets[(name, i)] for i in range(len(shares))])
+            for name in values}
+
+
+class Percentiles:
+    """Percentiles of one expression: those within the same bracket share one aggregate."""
 
+    def __init__(self, value: Column, brackets: list[_Bracket]):
+        self._value, self._brackets = value, brackets
+        self._groups: dict[tuple, list[int]] = {}
+        for i, b in enumerate(brackets):
+            self._groups.setdefault((b.low, b.high), []).append(i)
 
-def _interpolated(value: Column, bracket: _Bracket) -> Column:
-    kept = bracket.keep(value)
-    share = (bracket.position - bracket.below) / (bracket.inside - 1) if bracket.inside > 1 else 0.0
-    return F.percentile(kept, F.lit(min(max(share, 0.0), 1.0)))
+    def aggregates(self, prefix: str) -> list[Column]:
+        return [
+            F.percentile(self._brackets[members[0]].keep(self._value),
+                         F.array(*[F.lit(self._brackets[i].share()) for i in members])).alias(f"{prefix}{n}")
+            for n, members in enumerate(self._groups.values())]
+
+    def results(self, prefix: str) -> list[Column]:
+        """One column per share, over the aggregated row."""
+        found = {i: F.col(f"`{prefix}{n}`")[place]
+                 for n, members in enumerate(self._groups.values()) for place, i in enumerate(members)}
+        return [found[i] for i in range(len(self._brackets))]
 
 
 def _narrow(df: DataFrame, values: dict[str, Column], brackets: dict[tuple[str, int], _Bracket]) -> bool:
     """Propose a narrower bracket for each key from a sketch, and take it if the counts agree."""
     margin = 4.0 / ACCURACY
-    sketches, keys = [], list(brackets)
-    for n, key in enumerate(keys):
-        bracket = brackets[key]
-        centre = (bracket.position - bracket.below) / max(bracket.inside - 1, 1)
-        ends = F.array(F.lit(max(centre - margin, 0.0)), F.lit(min(centre + margin, 1.0)))
-        sketches.append(
-            F.percentile_approx(bracket.keep(values[key[0]]), ends, F.lit(ACCURACY)).alias(f"s{n}"))
-    proposed = df.agg(*sketches).first()
+    # positions within the same bracket share one sketch
+    groups: dict[tuple, list[tuple[str, int]]] = {}
+    for key, bracket in brackets.items():
+        groups.setdefault((key[0], bracket.low, bracket.high), []).append(key)
+    sketches = []
+    for n, members in enumerate(groups.values()):
+        ends = []
+        for key in members:
+            bracket = brackets[key]
+            centre = (bracket.position - bracket.below) / max(bracket.inside - 1, 1)
+            ends += [F.lit(max(centre - margin, 0.0)), F.lit(min(centre + margin, 1.0))]
+        kept = brackets[members[0]].keep(values[members[0][0]])
+        sketches.append(F.percentile_approx(kept, F.array(*ends), F.lit(ACCURACY)).alias(f"s{n}"))
+    sketched = df.agg(*sketches).first()
+    proposed = {key: (float(sketched[f"s{n}"][2 * i]), float(sketched[f"s{n}"][2 * i + 1]))
+                for n, members in enumerate(groups.values()) for i, key in enumerate(members)}
+    keys = list(brackets)
 
     counters = []
     for n, key in enumerate(keys):
-        low, high = (float(x) for x in proposed[f"s{n}"])
+        low, high = proposed[key]
         value = values[key[0]]
         counters.append(F.count_if(value < F.lit(low)).alias(f"b{n}"))
         counters.append(F.count_if(value.between(F.lit(low), F.lit(high))).alias(f"i{n}"))
@@ -96,7 +124,7 @@ def _narrow(df: DataFrame, values: dict[str, Column], brackets: dict[tuple[str,
         bracket = brackets[key]
         below, inside = int(counted[f"b{n}"]), int(counted[f"i{n}"])
         if bracket.holds(below, inside) and inside < bracket.inside:
-            bracket.low, bracket.high = (float(x) for x in proposed[f"s{n}"])
+            bracket.low, bracket.high = proposed[key]
             bracket.below, bracket.inside = below, inside
             progress = True
     return progress

@@ -68,10 +68,11 @@ def disguised_missing(table: str, df: DataFrame, columns: list[str],
     quartiles = exact_percentiles(df, others, [0.25, 0.75], counts, limit)
     aggs, rows = [], []
     for i, (c, r) in enumerate(tops.items()):
-        aggs += [quartiles[c][0].alias(f"l{i}"), quartiles[c][1].alias(f"h{i}")]
-        iqr = F.col(f"h{i}") - F.col(f"l{i}")
+        aggs += quartiles[c].aggregates(f"q{i}_")
+        first, third = quartiles[c].results(f"q{i}_")
+        iqr = third - first
         value = F.lit(float(r["value"]))
-        low, high = F.col(f"l{i}") - FENCE_MULTIPLIER * iqr, F.col(f"h{i}") + FENCE_MULTIPLIER * iqr
+        low, high = first - FENCE_MULTIPLIER * iqr, third + FENCE_MULTIPLIER * iqr
         gap = F.when(value > high, value - high).when(value < low, low - value) / F.when(iqr != 0, iqr)
         rows.append(F.struct(
             F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), value.alias("value"),

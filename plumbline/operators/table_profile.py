@@ -18,6 +18,9 @@ MAX_CATEGORIES = 100
 PERCENTILES = [0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99]
 PERCENTILE_NAMES = ["1%", "5%", "10%", "25%", "50%", "75%", "90%", "95%", "99%"]
 
+# Columns whose cells are unfolded together.
+COLUMNS_PER_BRANCH = 6
+
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 Tables = dict[str, DataFrame]
@@ -123,10 +126,13 @@ def value_counts(tables: Tables, with_rows: bool = True) -> DataFrame:
             cells.append(F.struct(F.lit(attr).alias("attr"), family.alias("family"),
                                   num.alias("num"), txt.alias("txt")))
             attr += 1
+        # a few columns per branch: each reads only its own columns, and its code stays small enough to compile
+        for start in range(0, len(cells), COLUMNS_PER_BRANCH):
+            frames.append(df.select(F.inline(F.array(*cells[start:start + COLUMNS_PER_BRANCH]))))
         if with_rows:
-            cells.append(F.struct(F.lit(-1 - n).alias("attr"), F.lit(9).cast("tinyint").alias("family"),
-                                  F.lit(None).cast("double").alias("num"), row_fingerprint(df).alias("txt")))
-        frames.append(df.select(F.inline(F.array(*cells))))
+            frames.append(df.select(
+                F.lit(-1 - n).alias("attr"), F.lit(9).cast("tinyint").alias("family"),
+                F.lit(None).cast("double").alias("num"), row_fingerprint(df).alias("txt")))
     # every NULL cell falls in one group per column, whatever its family
     cells = union_all(frames)
     missing = F.col("num").isNull() & F.col("txt").isNull()
@@ -294,17 +300,16 @@ def _distribution(table: str, df: DataFrame, values: dict[str, Column], limit: i
     for i, (name, value) in enumerate(values.items()):
         # whole microseconds are summed as decimals, which a double sum would round
         mean = F.avg(value) if spread else F.floor(F.avg(value.cast("decimal(20,0)"))).cast("double")
-        wanted = [("count", F.count(value)), ("mean", mean)]
+        wanted = {"count": F.count(value), "mean": mean}
         if spread:
-            wanted.append(("std", F.stddev_samp(value)))
-        wanted.append(("min", F.min(value)))
-        wanted += list(zip(PERCENTILE_NAMES, percentiles[name]))
-        wanted.append(("max", F.max(value)))
-        for stat, expression in wanted:
-            alias = f"{i}_{stat}"
-            aggs.append(expression.alias(alias))
-            found = F.col(f"`{alias}`")
-            stats.append((name, stat, found if stat == "count" else show(found)))
+            wanted["std"] = F.stddev_samp(value)
+        wanted.update(min=F.min(value), max=F.max(value))
+        aggs += [expression.alias(f"{i}_{stat}") for stat, expression in wanted.items()]
+        aggs += percentiles[name].aggregates(f"{i}_p")
+        found = {stat: F.col(f"`{i}_{stat}`") for stat in wanted}
+        found.update(zip(PERCENTILE_NAMES, percentiles[name].results(f"{i}_p")))
+        order = [s for s in ("count", "mean", "std", "min") if s in found] + PERCENTILE_NAMES + ["max"]
+        stats += [(name, stat, found[stat] if stat == "count" else show(found[stat])) for stat in order]
     return df.agg(*aggs).select(_long_rows(table, stats, value_type))
 
 
