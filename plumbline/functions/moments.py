@@ -71,4 +71,6 @@ def pair_frames(df: DataFrame, values: dict[str, Column]) -> list[DataFrame]:
 def _r(n: Column, p: Column, sx: Column, sy: Column, qx: Column, qy: Column, varies: Column) -> Column:
     some = F.when(varies & (n > 0), n)
     spread = F.sqrt(qx - sx * sx / some) * F.sqrt(qy - sy * sy / some)
-    return F.greatest(F.least((p - sx * sy / some) / F.when(spread > 0, spread), F.lit(1.0)), F.lit(-1.0))
+    r = (p - sx * sy / some) / F.when(spread > 0, spread)
+    # least and greatest would turn a missing r into a bound
+    return F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)

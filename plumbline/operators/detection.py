@@ -201,7 +201,8 @@ def correlation_break_checks(batch: DataFrame, profile: TableProfile) -> list[Ch
         now, n = F.col(f"r_{i}"), F.col(f"rn_{i}")
 
         def z(value: Column) -> Column:
-            return F.atanh(F.least(F.greatest(value, F.lit(-0.999999)), F.lit(0.999999)))
+            bounded = F.least(F.greatest(value, F.lit(-0.999999)), F.lit(0.999999))
+            return F.atanh(F.when(value.isNotNull(), bounded))
 
         error = F.sqrt(1 / F.when(n > 3, n - 3) + F.lit(1.0 / max(profile.nb_entries - 3, 1)))
         distance = F.abs(z(now) - z(F.lit(float(r)))) / error
