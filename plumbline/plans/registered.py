@@ -236,7 +236,7 @@ def pca_2col(spark, folder):
     found = numeric_profile.principal_components("part", part, ["p_partkey", "p_retailprice"])
     loadings = found.loadings.groupBy("component").agg(*[
         F.max(F.when(F.col("column_name") == c, F.abs("loading"))).alias(c) for c in ("p_partkey", "p_retailprice")])
-    return found.components.join(loadings, "component").drop("table_name")
+    return found.components.join(loadings, "component", "left").drop("table_name")
 
 
 def pca_profile(spark, folder):
