@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.functions.columns import as_double, base_type, epoch_micros, quoted
 from plumbline.operators.table_profile import Tables, columns_frame, value_counts
+from plumbline.session import materialize
 
 # Coverage wanted on whole tables, and when rows were capped at ingest.
 FULL_COVERAGE = 1.0
@@ -67,6 +69,76 @@ def coverage(tables: Tables, columns: DataFrame, counts: DataFrame | None = None
                 F.round(F.col("hits") / F.col("total"), 4).alias("coverage")))
 
 
+def _ordered_value(df: DataFrame, name: str) -> tuple[str, Column] | None:
+    """(kind, value) by which columns that may match are compared; numbers and booleans are one kind."""
+    kind = base_type(df.schema[name].dataType)
+    if kind in ("int", "float", "bool"):
+        return "num", as_double(df, name)
+    if kind == "str":
+        return "str", quoted(name)
+    return ("time", epoch_micros(quoted(name))) if kind == "datetime" else None
+
+
+def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> dict[str, list[str]]:
+    """Keys, and the columns enough of whose rows lie within the span of all keys of their kind.
+
+    A row outside that span (or a fraction, where all numeric keys are whole) can have no parent, so a
+    column left out cannot reach the threshold. Two scans, without a shuffle of rows.
+    """
+    key_names: dict[str, list[str]] = {}
+    for row in columns.filter("potential_primary_key").collect():
+        if row["table_name"] in tables:
+            key_names.setdefault(row["table_name"], []).append(row["column_name"])
+
+    spans: dict[str, list] = {}
+    for table, names in sorted(key_names.items()):
+        values = {c: _ordered_value(tables[table], c) for c in names}
+        values = {c: v for c, v in values.items() if v is not None}
+        if not values:
+            continue
+        aggs = []
+        for i, (kind, value) in enumerate(values.values()):
+            whole = F.max(value != F.floor(value)) if kind == "num" else F.lit(False)
+            aggs += [F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}"), whole.alias(f"f{i}")]
+        found = tables[table].agg(*aggs).first()
+        for i, (kind, _) in enumerate(values.values()):
+            low, high, fraction = found[f"l{i}"], found[f"h{i}"], bool(found[f"f{i}"])
+            if low is not None:
+                spans.setdefault(kind, []).append((low, high, fraction))
+
+    kept: dict[str, list[str]] = {}
+    for table, df in sorted(tables.items()):
+        tested, aggs = [], []
+        for name in df.columns:
+            compared = _ordered_value(df, name)
+            if compared is None or compared[0] not in spans:
+                continue
+            kind, value = compared
+            within = value.between(F.lit(min(s[0] for s in spans[kind])), F.lit(max(s[1] for s in spans[kind])))
+            if kind == "num" and not any(s[2] for s in spans[kind]):
+                within = within & (value == F.floor(value))
+            aggs.append(F.round(F.count_if(within) / F.when(F.count(value) > 0, F.count(value)), 4)
+                        .alias(f"s{len(tested)}"))
+            tested.append(name)
+        found = df.agg(*aggs).first() if aggs else None
+        names = {c for i, c in enumerate(tested) if (found[f"s{i}"] or 0.0) >= threshold}
+        names |= set(key_names.get(table, []))
+        if names:
+            kept[table] = [c for c in df.columns if c in names]
+    return kept
+
+
+def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE) -> DataFrame:
+    """Foreign keys of a set of tables; only columns that can matter are counted."""
+    kept = plausible_columns(tables, columns, threshold)
+    if len(kept) < 2:
+        return foreign_keys(coverage(tables, columns.limit(0)), threshold)
+    subset = {t: tables[t].select(*[quoted(c) for c in names]) for t, names in kept.items()}
+    # read twice, for the totals and for the grouping by value
+    counts = materialize(value_counts(subset, with_rows=False), "keys")
+    return foreign_keys(coverage(subset, columns, counts), threshold)
+
+
 def pair_coverage(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Coverage of one child column by one key; 0 when the child holds no value."""
     tables = {"child": child.select(child_column), "parent": parent.select(parent_column)}

@@ -79,12 +79,13 @@ def _type_name(df: DataFrame, i: int) -> Column:
 
 
 def column_types(tables: Tables) -> DataFrame:
-    """table_name, column_name, ordinal, datatype — one scan per table and no shuffle of its rows."""
+    """One row per column: datatype, rows and non-null values. One scan per table, no shuffle of its rows."""
     frames = []
     for table, df in sorted(tables.items()):
         rows = F.array(*[
             F.struct(F.lit(table).alias("table_name"), F.lit(field.name).alias("column_name"),
-                     F.lit(i).alias("ordinal"), _type_name(df, i).alias("datatype"))
+                     F.lit(i).alias("ordinal"), _type_name(df, i).alias("datatype"),
+                     F.col("n").alias("nb_rows"), F.col(f"v{i}").alias("nb_values"))
             for i, field in enumerate(df.schema)
         ])
         frames.append(df.agg(*_type_counts(df)).select(F.inline(rows)))
@@ -111,9 +112,13 @@ def cast_date_texts(df: DataFrame, date_columns: list[str]) -> DataFrame:
 
 # --- value counts and what follows from them ------------------------------------------------------
 
-def value_counts(tables: Tables, with_rows: bool = True) -> DataFrame:
+def value_counts(tables: Tables, with_rows: bool = True, skip: set[tuple[str, str]] = frozenset(),
+                 one_in: int = 1) -> DataFrame:
     """attr, family, num, txt, cnt: how often each value occurs in each column of each table.
 
+    Columns named in `skip` are left out. With `one_in`, only that share of the distinct values is counted,
+    chosen by hash: all copies of a value are in or out together.
+
     All columns of all tables go through one aggregation with map-side combine, so a value filling a
     third of a table is one partial count per task. Whole rows are counted the same way, under their
     fingerprint, which gives duplicates without shuffling the rows.
@@ -122,9 +127,10 @@ def value_counts(tables: Tables, with_rows: bool = True) -> DataFrame:
     for n, (table, df) in enumerate(sorted(tables.items())):
         cells = []
         for name in df.columns:
-            family, num, txt = cell_key(df, name)
-            cells.append(F.struct(F.lit(attr).alias("attr"), family.alias("family"),
-                                  num.alias("num"), txt.alias("txt")))
+            if (table, name) not in skip:
+                family, num, txt = cell_key(df, name)
+                cells.append(F.struct(F.lit(attr).alias("attr"), family.alias("family"),
+                                      num.alias("num"), txt.alias("txt")))
             attr += 1
         # a few columns per branch: each reads only its own columns, and its code stays small enough to compile
         for start in range(0, len(cells), COLUMNS_PER_BRANCH):
@@ -135,19 +141,34 @@ def value_counts(tables: Tables, with_rows: bool = True) -> DataFrame:
                 F.lit(None).cast("double").alias("num"), row_fingerprint(df).alias("txt")))
     # every NULL cell falls in one group per column, whatever its family
     cells = union_all(frames)
+    if one_in > 1:
+        cells = cells.filter(F.pmod(F.xxhash64("family", "num", "txt"), F.lit(one_in)) == 0)
     missing = F.col("num").isNull() & F.col("txt").isNull()
     return (cells.withColumn("family", F.when(missing, F.lit(-1)).otherwise(F.col("family")).cast("tinyint"))
             .groupBy("attr", "family", "num", "txt").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def _per_attribute(counts: DataFrame) -> DataFrame:
-    missing = F.col("family") == -1
-    return counts.groupBy("attr").agg(
-        F.sum("cnt").alias("nb_rows"),
-        F.count(F.lit(1)).alias("nb_unique"),
-        F.max(missing).alias("null_values"),
-        F.coalesce(F.sum(F.when(missing, F.col("cnt"))), F.lit(0)).alias("nb_nulls"),
-    )
+    return counts.groupBy("attr").agg(F.count(F.lit(1)).alias("nb_unique"))
+
+
+# Values counted, one in this many, to settle columns; below this many cells everything is counted.
+SAMPLED_VALUES = 64
+SMALL_CELLS = 50_000_000
+
+
+def settled_columns(tables: Tables) -> set[tuple[str, str]]:
+    """Columns proven to be neither a key nor categorical, from a slice of their distinct values.
+
+    Two rows sharing one value rule out a key, and more than 100 values in the slice rule out a category.
+    Both are proofs, so only the other columns need all their values counted.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    slice_ = value_counts(tables, with_rows=False, one_in=SAMPLED_VALUES).filter("family >= 0")
+    proven = slice_.groupBy("attr").agg(F.count(F.lit(1)).alias("u"), F.max("cnt").alias("most")).filter(
+        (F.col("u") > MAX_CATEGORIES) & (F.col("most") > 1))
+    rows = columns_frame(spark, tables).join(proven, "attr").filter("storage IS NOT NULL").collect()
+    return {(r["table_name"], r["column_name"]) for r in rows}
 
 
 def table_profile(tables: Tables, counts: DataFrame | None = None) -> DataFrame:
@@ -165,21 +186,30 @@ def table_profile(tables: Tables, counts: DataFrame | None = None) -> DataFrame:
         .alias("duplicates_distribution"))
 
 
-def column_profile(tables: Tables, counts: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per column: type, distinct values (NULL is one), nulls, key and category flags."""
+def column_profile(tables: Tables, counts: DataFrame, types: DataFrame,
+                   settled: set[tuple[str, str]] = frozenset()) -> DataFrame:
+    """One row per column: type, distinct values (NULL is one), nulls, key and category flags.
+
+    Settled columns were not counted: their number of distinct values stays empty.
+    """
     spark = next(iter(tables.values())).sparkSession
-    measured = F.col("storage").isNotNull()
-    entries, unique = F.coalesce("nb_rows", F.lit(0)), F.coalesce("nb_unique", F.lit(0))
+    measured = F.col("storage").isNotNull() & ~F.col("settled")
+    unique = F.coalesce("nb_unique", F.lit(0))
+    skipped = spark.createDataFrame(
+        sorted(settled), "table_name string, column_name string").withColumn("skipped", F.lit(True))
+    known = types.select("table_name", "column_name", "datatype", "nb_rows", "nb_values")
     return (
         columns_frame(spark, tables)
         .join(_per_attribute(counts), "attr", "left")
-        .join(types.select("table_name", "column_name", "datatype"), ["table_name", "column_name"])
+        .join(known, ["table_name", "column_name"])
+        .join(skipped, ["table_name", "column_name"], "left")
+        .withColumn("settled", F.coalesce("skipped", F.lit(False)))
         .select(
             "table_name", "column_name", "ordinal", "datatype",
             F.when(measured, unique).alias("nb_unique"),
-            F.coalesce("null_values", F.lit(False)).alias("null_values"),
-            F.coalesce("nb_nulls", F.lit(0)).alias("nb_nulls"),
-            (measured & (unique == entries)).alias("potential_primary_key"),
+            (F.col("nb_rows") > F.col("nb_values")).alias("null_values"),
+            (F.col("nb_rows") - F.col("nb_values")).alias("nb_nulls"),
+            (measured & (unique == F.col("nb_rows"))).alias("potential_primary_key"),
             (measured & (unique <= MAX_CATEGORIES)).alias("is_categorical"),
         ))
 

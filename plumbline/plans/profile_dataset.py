@@ -45,32 +45,54 @@ def _gather(spark: SparkSession, name: str, frames: list[DataFrame]) -> DataFram
     return tp.union_all(frames) if frames else spark.createDataFrame([], _EMPTY[name])
 
 
-def profile_columns(tables: tp.Tables) -> tuple[tp.Tables, DataFrame, DataFrame]:
-    """(tables with date strings cast, value counts, column profile), the counts computed once."""
+def profile_columns(tables: tp.Tables, exact_unique: bool = True, small_cells: int = tp.SMALL_CELLS,
+                    ) -> tuple[tp.Tables, DataFrame, DataFrame]:
+    """(tables with date strings cast, value counts, column profile), the counts computed once.
+
+    Without `exact_unique`, columns proven to be neither keys nor categories are not counted in full.
+    """
     types = materialize(tp.column_types(tables), "types")
     # one row per column
+    known = types.collect()
     dates: dict[str, list[str]] = {}
-    for row in types.filter("datatype = 'datetime'").collect():
-        dates.setdefault(row["table_name"], []).append(row["column_name"])
+    for row in known:
+        if row["datatype"] == "datetime":
+            dates.setdefault(row["table_name"], []).append(row["column_name"])
     typed = {name: tp.cast_date_texts(df, dates.get(name, [])) for name, df in tables.items()}
-    counts = materialize(tp.value_counts(typed), "counts")
-    columns = materialize(tp.column_profile(typed, counts, types), "columns")
+    if any(typed[t] is not tables[t] for t in tables):
+        # values that are no dates became NULL, which counts as missing from here on
+        types = _recount(types, typed, dates)
+    settled: set[tuple[str, str]] = set()
+    if not exact_unique and sum(row["nb_rows"] for row in known) > small_cells:
+        settled = tp.settled_columns(typed)
+    counts = materialize(tp.value_counts(typed, skip=settled), "counts")
+    columns = materialize(tp.column_profile(typed, counts, types, settled), "columns")
     return typed, counts, columns
 
 
+def _recount(types: DataFrame, typed: tp.Tables, dates: dict[str, list[str]]) -> DataFrame:
+    """Types with the values of cast columns counted after the cast."""
+    cast = {t: typed[t].select(*[quoted(c) for c in names]) for t, names in dates.items()}
+    nulls = tp.null_profile(cast).select("table_name", "column_name", "nb_nulls")
+    return types.join(nulls, ["table_name", "column_name"], "left").withColumn(
+        "nb_values", F.coalesce(F.col("nb_rows") - F.col("nb_nulls"), "nb_values")).drop("nb_nulls")
+
+
 def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tuple[str, ...] = (),
                     capped: bool = False, numeric: bool = True, clusters: bool = True,
-                    key: str | None = None, parts: set[str] | None = None) -> Frames:
+                    key: str | None = None, parts: set[str] | None = None,
+                    small_cells: int = tp.SMALL_CELLS) -> Frames:
     """The wanted profile frames of a set of tables, all by default.
 
     `test` holds the other side of the split: keys are looked up over both. Tables named in `views` are
-    profiled but take no part in foreign keys. `key` names a row identity column to leave out.
+    profiled but take no part in foreign keys. `key` names a row identity column to leave out. Tables with
+    fewer cells than `small_cells` are counted in full instead of being settled from a slice first.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = {name: df for name, df in tables.items()}
     if key is not None:
         tables = {name: df.drop(key) for name, df in tables.items()}
-    typed, counts, columns = profile_columns(tables)
+    typed, counts, columns = profile_columns(tables, exact_unique=False, small_cells=small_cells)
     frames: Frames = {
         "profile_table": tp.table_profile(typed, counts),
         "profile_column": columns,
@@ -110,28 +132,19 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
             association.cramers_v(t, df, categorical[t]) for t, df in sorted(typed.items())
             if len(categorical[t]) > 1])
     if numeric or wanted("profile_fk"):
-        links = materialize(_links(tables, typed, test, views, columns, counts, capped), "links")
+        linked = {t: df for t, df in tables.items() if t not in views}
+        if test is not None:
+            linked = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df
+                      for t, df in linked.items()}
+        own = columns.filter(~F.col("table_name").isin(*views)) if views else columns
+        threshold = keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE
+        links = materialize(keys.discover(linked, own, threshold), "links")
         frames["profile_fk"] = links
         if numeric:
             frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
     return frames
 
 
-def _links(tables: tp.Tables, typed: tp.Tables, test: tp.Tables | None, views: tuple[str, ...],
-           columns: DataFrame, counts: DataFrame, capped: bool) -> DataFrame:
-    """Foreign keys over raw values of clean and test rows; the counts serve again where they are the same."""
-    linked = {t: df for t, df in tables.items() if t not in views}
-    if test is not None:
-        linked = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df for t, df in linked.items()}
-    changed = test is not None or views or any(typed[t] is not tables[t] for t in tables)
-    if changed:
-        counts = materialize(tp.value_counts(linked, with_rows=False), "keys")
-    if views:
-        columns = columns.filter(~F.col("table_name").isin(*views))
-    found = keys.coverage(linked, columns, counts)
-    return keys.foreign_keys(found, keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE)
-
-
 def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, columns: DataFrame,
                     links: DataFrame, categorical: dict[str, list[str]], with_clusters: bool,
                     key: str | None) -> Frames:

@@ -107,7 +107,7 @@ def table_profile(spark, folder):
 
 
 def column_types(spark, folder):
-    return tp.column_types(_widened(spark, folder))
+    return tp.column_types(_widened(spark, folder)).drop("nb_rows", "nb_values")
 
 
 def _columns(spark, folder, *names):
@@ -179,26 +179,27 @@ def correlation_ratio(spark, folder):
 
 # --- keys ---------------------------------------------------------------------------------------------------
 
-def _coverage(spark, folder):
+def fk_coverage(spark, folder):
     tables, counts, columns = _columns(spark, folder)
-    return keys.coverage(tables, columns, counts), columns
+    return keys.coverage(tables, columns, counts).drop("parent_rank")
 
 
-def fk_coverage(spark, folder):
-    return _coverage(spark, folder)[0].drop("parent_rank")
+def _links(spark, folder):
+    tables = load(spark, folder)
+    columns = profile_columns(tables, exact_unique=False)[2]
+    return columns, keys.discover(tables, columns)
 
 
 def foreign_keys(spark, folder):
-    return keys.foreign_keys(_coverage(spark, folder)[0])
+    return _links(spark, folder)[1]
 
 
 def referenced_keys(spark, folder):
-    return keys.referenced_keys(foreign_keys(spark, folder))
+    return keys.referenced_keys(_links(spark, folder)[1])
 
 
 def numerical_columns(spark, folder):
-    found, columns = _coverage(spark, folder)
-    return keys.numerical_columns(columns, keys.foreign_keys(found))
+    return keys.numerical_columns(*_links(spark, folder))
 
 
 def categorical_columns(spark, folder):

@@ -266,3 +266,29 @@ def test_profile_is_saved_and_read(spark, tmp_path):
     assert found["profile_fk"][0]["parent_table"] == "parent"
     assert not any(name.startswith(("profile_pca", "profile_kmeans", "profile_dmv")) for name in found)
     assert "error" in read_calibration(frames, "nothing") and "nb_entries" in profile_json(frames, "parent")
+
+
+def test_settled_columns_change_no_flag(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 20_000), float(i % 50), f"s{rng.randint(0, 30_000)}", f"u{i}") for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id int, many int, few double, texts string, name string")
+    settled = tp.settled_columns({"t": df})
+    assert {("t", "many"), ("t", "texts")} == settled
+    flags = ["column_name", "null_values", "potential_primary_key", "is_categorical", "datatype"]
+    whole = profile_columns({"t": df})[2].select(*flags).collect()
+    cut = profile_columns({"t": df}, exact_unique=False, small_cells=0)[2]
+    assert sorted(whole) == sorted(cut.select(*flags).collect())
+    assert {r["column_name"] for r in cut.filter("nb_unique IS NULL").collect()} == {"many", "texts"}
+
+
+def test_discovery_leaves_out_only_columns_without_parent(spark):
+    tables = {
+        "parent": spark.createDataFrame([(i, f"n{i}") for i in range(300)], "id int, name string"),
+        "child": spark.createDataFrame([(i % 250, (i % 300) / 7.0, f"n{i % 7}", f"zz{i % 7}", i * 10) for i in range(600)],
+                                       "parent_id int, share double, label string, other string, far int"),
+    }
+    columns = profile_columns(tables)[2]
+    kept = keys.plausible_columns(tables, columns, 1.0)
+    assert kept == {"parent": ["id", "name"], "child": ["parent_id", "label", "far"]}
+    every = keys.foreign_keys(keys.coverage(tables, columns))
+    assert sorted(keys.discover(tables, columns).collect()) == sorted(every.collect())
