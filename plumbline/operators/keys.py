@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, base_type, epoch_micros, quoted
 from plumbline.operators.table_profile import Tables, columns_frame, value_counts
-from plumbline.session import materialize
+from plumbline.session import each, materialize
 
 # Coverage wanted on whole tables, and when rows were capped at ingest.
 FULL_COVERAGE = 1.0
@@ -90,25 +90,24 @@ def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> d
         if row["table_name"] in tables:
             key_names.setdefault(row["table_name"], []).append(row["column_name"])
 
-    spans: dict[str, list] = {}
-    for table, names in sorted(key_names.items()):
-        values = {c: _ordered_value(tables[table], c) for c in names}
-        values = {c: v for c, v in values.items() if v is not None}
-        if not values:
-            continue
+    def span(table: str) -> list[tuple]:
+        compared = [v for v in (_ordered_value(tables[table], c) for c in key_names[table]) if v is not None]
+        if not compared:
+            return []
         aggs = []
-        for i, (kind, value) in enumerate(values.values()):
-            whole = F.max(value != F.floor(value)) if kind == "num" else F.lit(False)
-            aggs += [F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}"), whole.alias(f"f{i}")]
+        for i, (kind, value) in enumerate(compared):
+            fraction = F.max(value != F.floor(value)) if kind == "num" else F.lit(False)
+            aggs += [F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}"), fraction.alias(f"f{i}")]
         found = tables[table].agg(*aggs).first()
-        for i, (kind, _) in enumerate(values.values()):
-            low, high, fraction = found[f"l{i}"], found[f"h{i}"], bool(found[f"f{i}"])
-            if low is not None:
-                spans.setdefault(kind, []).append((low, high, fraction))
+        return [(kind, found[f"l{i}"], found[f"h{i}"], bool(found[f"f{i}"]))
+                for i, (kind, _) in enumerate(compared) if found[f"l{i}"] is not None]
 
-    kept: dict[str, list[str]] = {}
-    for table, df in sorted(tables.items()):
-        tested, aggs = [], []
+    spans: dict[str, list] = {}
+    for kind, *limits in (s for found in each(sorted(key_names), span) for s in found):
+        spans.setdefault(kind, []).append(limits)
+
+    def plausible(table: str) -> set[str]:
+        df, tested, aggs = tables[table], [], []
         for name in df.columns:
             compared = _ordered_value(df, name)
             if compared is None or compared[0] not in spans:
@@ -121,15 +120,24 @@ def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> d
                         .alias(f"s{len(tested)}"))
             tested.append(name)
         found = df.agg(*aggs).first() if aggs else None
-        names = {c for i, c in enumerate(tested) if (found[f"s{i}"] or 0.0) >= threshold}
+        return {c for i, c in enumerate(tested) if (found[f"s{i}"] or 0.0) >= threshold}
+
+    kept: dict[str, list[str]] = {}
+    for table, names in zip(sorted(tables), each(sorted(tables), plausible)):
         names |= set(key_names.get(table, []))
         if names:
-            kept[table] = [c for c in df.columns if c in names]
+            kept[table] = [c for c in tables[table].columns if c in names]
     return kept
 
 
-def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE) -> DataFrame:
-    """Foreign keys of a set of tables; only columns that can matter are counted."""
+def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE,
+             counts: DataFrame | None = None) -> DataFrame:
+    """Foreign keys of a set of tables.
+
+    Counts of all columns serve when there are any; otherwise only columns that can matter are counted.
+    """
+    if counts is not None:
+        return foreign_keys(coverage(tables, columns, counts), threshold)
     kept = plausible_columns(tables, columns, threshold)
     if len(kept) < 2:
         return foreign_keys(coverage(tables, columns.limit(0)), threshold)

@@ -17,7 +17,7 @@ from plumbline.functions.moments import safe_corr
 from plumbline.operators import corruption as ops
 from plumbline.operators.detection import Context, data_columns
 from plumbline.operators.profile_store import TableProfile
-from plumbline.session import materialize
+from plumbline.session import each, materialize
 from plumbline.sources import logs
 
 # The anomalies in their usual order, the errors per table, the sizes of a shift.
@@ -333,10 +333,11 @@ def run_round(run_number: int, clean: dict[str, DataFrame], test: dict[str, Data
     chosen = choose_tables(list(test), rng) if tables is None else tables
     context = Context(clean=clean, batch=test)
     batch, injections, failures = dict(test), [], []
-    for table in sorted(chosen):
-        names = choose_anomalies(rng) if anomalies is None else anomalies
-        out, done, failed = corrupt_table(
-            test[table], profiles[table], names, f"{seed}/{run_number}/{table}", context, key)
+    # all choices that share the round's generator come first, in table order
+    work = [(t, choose_anomalies(rng) if anomalies is None else anomalies) for t in sorted(chosen)]
+    results = each(work, lambda w: corrupt_table(
+        test[w[0]], profiles[w[0]], w[1], f"{seed}/{run_number}/{w[0]}", context, key))
+    for (table, _), (out, done, failed) in zip(work, results):
         batch[table] = out
         for change, affected, _ in done:
             # a whole new column has no count of its own

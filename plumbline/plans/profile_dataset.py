@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from plumbline.functions.columns import numeric_columns, quoted
 from plumbline.operators import association, keys, numeric_profile
 from plumbline.operators import table_profile as tp
 from plumbline.operators.profile_store import Frames
-from plumbline.session import materialize
+from plumbline.session import each, materialize
 
 # Fixed value: decimals kept when a profile is saved.
 DECIMALS = 4
@@ -45,9 +46,18 @@ def _gather(spark: SparkSession, name: str, frames: list[DataFrame]) -> DataFram
     return tp.union_all(frames) if frames else spark.createDataFrame([], _EMPTY[name])
 
 
-def profile_columns(tables: tp.Tables, exact_unique: bool = True, small_cells: int = tp.SMALL_CELLS,
-                    ) -> tuple[tp.Tables, DataFrame, DataFrame]:
-    """(tables with date strings cast, value counts, column profile), the counts computed once.
+class Columns(NamedTuple):
+    """Tables with date strings cast, their value counts, the column profile, and the columns not counted."""
+
+    typed: tp.Tables
+    counts: DataFrame
+    columns: DataFrame
+    settled: set[tuple[str, str]]
+
+
+def profile_columns(tables: tp.Tables, exact_unique: bool = True,
+                    small_cells: int = tp.SMALL_CELLS) -> Columns:
+    """Column profile of a set of tables, the value counts computed once.
 
     Without `exact_unique`, columns proven to be neither keys nor categories are not counted in full.
     """
@@ -67,7 +77,7 @@ def profile_columns(tables: tp.Tables, exact_unique: bool = True, small_cells: i
         settled = tp.settled_columns(typed)
     counts = materialize(tp.value_counts(typed, skip=settled), "counts")
     columns = materialize(tp.column_profile(typed, counts, types, settled), "columns")
-    return typed, counts, columns
+    return Columns(typed, counts, columns, settled)
 
 
 def _recount(types: DataFrame, typed: tp.Tables, dates: dict[str, list[str]]) -> DataFrame:
@@ -92,7 +102,7 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
     rows = {name: df for name, df in tables.items()}
     if key is not None:
         tables = {name: df.drop(key) for name, df in tables.items()}
-    typed, counts, columns = profile_columns(tables, exact_unique=False, small_cells=small_cells)
+    typed, counts, columns, settled = profile_columns(tables, exact_unique=False, small_cells=small_cells)
     frames: Frames = {
         "profile_table": tp.table_profile(typed, counts),
         "profile_column": columns,
@@ -112,12 +122,13 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
         measured = {t: names(t, lambda r: r["is_categorical"]) for t in tables}
         frames["profile_category"] = tp.category_distribution(typed, measured)
     if wanted("profile_distribution"):
-        stored = {t: [c for c in numeric_columns(df) if c in details[t]] for t, df in sorted(typed.items())}
-        frames["profile_distribution"] = _gather(spark, "profile_distribution", [
-            tp.numeric_distribution(t, typed[t], c) for t, c in stored.items() if c])
+        stored = [(t, numeric_columns(df)) for t, df in sorted(typed.items()) if numeric_columns(df)]
+        frames["profile_distribution"] = _gather(spark, "profile_distribution", each(
+            stored, lambda s: tp.numeric_distribution(s[0], typed[s[0]], s[1])))
     if wanted("profile_text"):
         times = {t: [f.name for f in df.schema if tp.base_type(f.dataType) == "datetime"] for t, df in typed.items()}
-        texts = [tp.datetime_distribution(t, typed[t], c) for t, c in sorted(times.items()) if c]
+        texts = each([s for s in sorted(times.items()) if s[1]],
+                     lambda s: tp.datetime_distribution(s[0], typed[s[0]], s[1]))
         strings = {t: df for t, df in typed.items() if any(tp.base_type(f.dataType) == "str" for f in df.schema)}
         if strings:
             texts.append(tp.string_distribution(strings).select("table_name", "column_name", F.inline(F.array(*[
@@ -125,8 +136,9 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
                 for stat in ("count", "unique", "top", "freq")]))))
         frames["profile_text"] = _gather(spark, "profile_text", texts)
     if wanted("profile_correlation"):
-        frames["profile_correlation"] = _gather(spark, "profile_correlation", [
-            association.correlations(t, df) for t, df in sorted(typed.items()) if len(numeric_columns(df)) > 1])
+        paired = [t for t, df in sorted(typed.items()) if len(numeric_columns(df)) > 1]
+        frames["profile_correlation"] = _gather(spark, "profile_correlation", each(
+            paired, lambda t: association.correlations(t, typed[t])))
     if wanted("profile_cramers_v"):
         frames["profile_cramers_v"] = _gather(spark, "profile_cramers_v", [
             association.cramers_v(t, df, categorical[t]) for t, df in sorted(typed.items())
@@ -138,7 +150,9 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
                       for t, df in linked.items()}
         own = columns.filter(~F.col("table_name").isin(*views)) if views else columns
         threshold = keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE
-        links = materialize(keys.discover(linked, own, threshold), "links")
+        # the profile's counts hold the same values when nothing was cast, added or left out
+        same = test is None and not views and not settled and all(typed[t] is tables[t] for t in tables)
+        links = materialize(keys.discover(linked, own, threshold, counts if same else None), "links")
         frames["profile_fk"] = links
         if numeric:
             frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
@@ -152,41 +166,45 @@ def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, col
     numerical: dict[str, list[str]] = {}
     for row in keys.numerical_columns(columns, links).orderBy("table_name", "ordinal").collect():
         numerical.setdefault(row["table_name"], []).append(row["column_name"])
-    parts: dict[str, list[DataFrame]] = {name: [] for name in _EMPTY}
-    for t, df in sorted(tables.items()):
-        own = numerical.get(t, [])
+
+    def profile(t: str) -> dict[str, DataFrame]:
+        df, own, found = tables[t], numerical.get(t, []), {}
         if categorical[t] and own:
-            parts["profile_corr_ratio"].append(association.correlation_ratio(t, df, categorical[t], own))
+            found["profile_corr_ratio"] = association.correlation_ratio(t, df, categorical[t], own)
         # a single numeric column has nothing to be profiled against
         if len(own) < 2:
-            continue
+            return found
         suspects = numeric_profile.disguised_missing(t, df, own)
         placeholders = suspects.collect()
         clean = numeric_profile.without_placeholders(rows[t], placeholders)
-        parts["profile_dmv"].append(spark.createDataFrame(placeholders, suspects.schema))
-        parts["profile_rows"].append(numeric_profile.row_counts(t, df, own, placeholders))
+        found["profile_dmv"] = spark.createDataFrame(placeholders, suspects.schema)
+        found["profile_rows"] = numeric_profile.row_counts(t, df, own, placeholders)
         pca = numeric_profile.principal_components(t, clean, own)
-        parts["profile_pca"].append(pca.components)
-        parts["profile_pca_loading"].append(pca.loadings)
+        found["profile_pca"], found["profile_pca_loading"] = pca.components, pca.loadings
         if with_clusters:
-            found = numeric_profile.clusters(t, clean, own, quoted(key) if key else None)
-            parts["profile_kmeans"].append(found.centroids)
-            parts["profile_kmeans_score"].append(found.scores)
+            grouped = numeric_profile.clusters(t, clean, own, quoted(key) if key else None)
+            found["profile_kmeans"], found["profile_kmeans_score"] = grouped.centroids, grouped.scores
+        return found
+
+    parts = each(sorted(tables), profile)
     wanted = ("profile_corr_ratio", "profile_dmv", "profile_rows", "profile_pca", "profile_pca_loading",
               "profile_kmeans", "profile_kmeans_score")
-    return {name: _gather(spark, name, parts[name]) for name in wanted}
+    return {name: _gather(spark, name, [p[name] for p in parts if name in p]) for name in wanted}
 
 
 # --- saving and reading --------------------------------------------------------------------------------
 
 def save_profile(frames: Frames, folder: str) -> None:
     """Every frame as parquet, floats rounded; replaces an earlier profile."""
-    for name, df in frames.items():
+    def save(name: str) -> None:
+        df = frames[name]
         rounded = df.select(*[
             F.round(quoted(f.name), DECIMALS).alias(f.name) if f.dataType.typeName() == "double"
             else quoted(f.name) for f in df.schema])
         rounded.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
+    each(frames, save)
+
 
 def load_profile(spark: SparkSession, folder: str, names: tuple[str, ...] = PROFILE_FRAMES) -> Frames:
     """The saved frames; those never written are empty."""

@@ -22,7 +22,7 @@ from plumbline.plans.corruption_round import ANOMALIES, run_round
 from plumbline.plans.profile_dataset import (
     load_profile, profile_columns, profile_dataset, profile_lines, save_profile,
 )
-from plumbline.session import shared_dir
+from plumbline.session import each, shared_dir
 from plumbline.sources import tables as source
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -115,15 +115,15 @@ def _columns(spark, folder, *names):
 
 
 def column_profile(spark, folder):
-    return profile_columns(_widened(spark, folder))[2]
+    return profile_columns(_widened(spark, folder)).columns
 
 
 def primary_keys(spark, folder):
-    return _columns(spark, folder)[2].filter("potential_primary_key").select("table_name", "column_name")
+    return _columns(spark, folder).columns.filter("potential_primary_key").select("table_name", "column_name")
 
 
 def primary_key_columns(spark, folder):
-    found = keys.primary_key_columns(_columns(spark, folder)[2])
+    found = keys.primary_key_columns(_columns(spark, folder).columns)
     return found.select("column_name", F.array_join("tables", ",").alias("tables"))
 
 
@@ -132,7 +132,7 @@ def null_profile(spark, folder):
 
 
 def category_distribution(spark, folder):
-    tables, _, columns = _columns(spark, folder)
+    tables, _, columns, _ = _columns(spark, folder)
     names = {t: [] for t in tables}
     for row in columns.filter("is_categorical").orderBy("table_name", "ordinal").collect():
         names[row["table_name"]].append(row["column_name"])
@@ -141,13 +141,13 @@ def category_distribution(spark, folder):
 
 def numeric_distribution(spark, folder):
     tables = load(spark, folder)
-    return tp.union_all([tp.numeric_distribution(t, df, numeric_columns(df))
-                         for t, df in sorted(tables.items()) if numeric_columns(df)])
+    measured = [(t, numeric_columns(df)) for t, df in sorted(tables.items()) if numeric_columns(df)]
+    return tp.union_all(each(measured, lambda m: tp.numeric_distribution(m[0], tables[m[0]], m[1])))
 
 
 def datetime_distribution(spark, folder):
     tables = load(spark, folder, *TIMES)
-    return tp.union_all([tp.datetime_distribution(t, tables[t], c) for t, c in sorted(TIMES.items())])
+    return tp.union_all(each(sorted(TIMES.items()), lambda s: tp.datetime_distribution(s[0], tables[s[0]], s[1])))
 
 
 def string_distribution(spark, folder):
@@ -162,8 +162,8 @@ def datetime_strings(spark, folder):
 
 def correlations(spark, folder):
     tables = load(spark, folder)
-    return tp.union_all([association.correlations(t, df) for t, df in sorted(tables.items())
-                         if len(numeric_columns(df)) > 1])
+    paired = [t for t, df in sorted(tables.items()) if len(numeric_columns(df)) > 1]
+    return tp.union_all(each(paired, lambda t: association.correlations(t, tables[t])))
 
 
 def cramers_v(spark, folder):
@@ -180,14 +180,15 @@ def correlation_ratio(spark, folder):
 # --- keys ---------------------------------------------------------------------------------------------------
 
 def fk_coverage(spark, folder):
-    tables, counts, columns = _columns(spark, folder)
+    tables, counts, columns, _ = _columns(spark, folder)
     return keys.coverage(tables, columns, counts).drop("parent_rank")
 
 
 def _links(spark, folder):
     tables = load(spark, folder)
-    columns = profile_columns(tables, exact_unique=False)[2]
-    return columns, keys.discover(tables, columns)
+    found = profile_columns(tables, exact_unique=False)
+    counts = None if found.settled else found.counts
+    return found.columns, keys.discover(tables, found.columns, counts=counts)
 
 
 def foreign_keys(spark, folder):
@@ -203,7 +204,7 @@ def numerical_columns(spark, folder):
 
 
 def categorical_columns(spark, folder):
-    return keys.categorical_columns(_columns(spark, folder)[2])
+    return keys.categorical_columns(_columns(spark, folder).columns)
 
 
 def pair_coverage(spark, folder):
@@ -254,16 +255,16 @@ def kmeans_profile(spark, folder):
 # --- sources ----------------------------------------------------------------------------------------------
 
 def split_counts(spark, folder):
-    frames = []
-    for t in TABLES:
+    def sides(t: str) -> DataFrame:
         df = source.with_row_id(spark, f"{folder.rstrip('/')}/{t}.parquet")
         clean, test = source.split(df, df.count())
-        frames.append(tp.union_all([
+        return tp.union_all([
             side.agg(F.count(F.lit(1)).alias("nb_rows"), F.min("row_id").alias("first_row"),
                      F.max("row_id").alias("last_row")).select(
                 F.lit(t).alias("table_name"), F.lit(role).alias("role"), "nb_rows", "first_row", "last_row")
-            for role, side in (("clean", clean), ("test", test))]))
-    return tp.union_all(frames)
+            for role, side in (("clean", clean), ("test", test))])
+
+    return tp.union_all(each(TABLES, sides))
 
 
 def split_keys(spark, folder):

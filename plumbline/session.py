@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+Item = TypeVar("Item")
+Result = TypeVar("Result")
+
+# Jobs of different tables submitted at the same time.
+CONCURRENT_JOBS = 8
+
+
+def each(items: Iterable[Item], work: Callable[[Item], Result]) -> list[Result]:
+    """Results of `work` in order; the jobs of several items share the cluster instead of queueing."""
+    items = list(items)
+    if len(items) < 2:
+        return [work(item) for item in items]
+    with ThreadPoolExecutor(min(CONCURRENT_JOBS, len(items))) as pool:
+        return list(pool.map(work, items))
+
+
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library relies on (UTC, AQE, skew handling)."""
     builder = SparkSession.builder.appName(app)

@@ -71,7 +71,7 @@ def test_month_is_read_before_day(spark):
 
 def test_date_strings_are_cast_before_profiling(spark):
     dates = [f"2020-01-{d:02d}" for d in range(1, 29)] * 4 + ["n/a"]
-    typed, _, columns = profile_columns({"t": single(spark, dates, "string")})
+    typed, _, columns, _ = profile_columns({"t": single(spark, dates, "string")})
     row = columns.first()
     assert (row["datatype"], row["null_values"], row["nb_unique"]) == ("datetime", True, 29)
     assert typed["t"].schema["a"].dataType.typeName() == "timestamp"
