@@ -233,6 +233,8 @@ def _before(df: DataFrame, change: Change, seed: str, key: str) -> dict:
 
 def _after(staged: DataFrame, change: Change, hit: str) -> dict:
     """What the log keeps of a column after it was changed."""
+    if change.anomaly == "insert_null":
+        return {"nb_nulls_in_column": staged.filter(quoted(change.column).isNull()).count()}
     if change.anomaly == "correlation_break":
         if base_type(staged.schema[change.params["col_paired"]].dataType) == "str":
             return {}

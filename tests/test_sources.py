@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.detection import Context
+from plumbline.plans.closed_loop import run_pipeline
 from plumbline.operators.profile_store import read_profiles
 from plumbline.plans.profile_dataset import profile_dataset
 from plumbline.sources import logs
@@ -108,3 +109,17 @@ def test_stream_of_batches(spark, tmp_path):
     query.awaitTermination(120)
     rows = [(r["column"], r["anomaly"], r["nb_rows_affected"], r["run_number"]) for r in spark.read.parquet(found).collect()]
     assert ("x", "insert_null", 200, 0) in rows
+
+
+def test_pipeline(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "towns.csv").write_text("town_id,town\n" + "".join(f"{i},t{i}\n" for i in range(300)))
+    (folder / "visits.csv").write_text("visit,town,amount,kind\n" + "".join(
+        f"{i},{i * 7 % 290},{i % 83 + 0.5},{'abc'[i % 3]}\n" for i in range(2000)))
+    scores = run_pipeline(spark, str(folder), str(tmp_path / "out"), runs=2, clusters=False, seed="c")
+    assert {r["run_number"] for r in scores.collect()} == {1, 2}
+    injections = logs.read(spark, str(tmp_path / "out"), "injections")
+    assert injections.count() > 2 and scores.agg(F.sum("matched")).first()[0] > 1
+    assert logs.read(spark, str(tmp_path / "out"), "failures").count() == 0
+    assert set(source.load_tables(spark, str(tmp_path / "out"), "batch")) == {"towns", "visits"}
