@@ -13,6 +13,7 @@ Links are needed as connected components, so no group of copies is unfolded into
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from .texts import chunks, mix, shingle_sets
 
 #: N-grams are ordered by the load of their bucket in a table of this many counters, then by hash.
 ORDER_BUCKETS = 1 << 16
+#: Up to so many document ids are broadcast to pick the texts that must be compared; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def _bytes_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -82,43 +85,54 @@ def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) ->
     return docs.mapInArrow(per_batch(describe, schema), "doc_id long, n int, set_key binary, group_key binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(class_id, values) of the wanted classes (class_id, set_key, doc_id), from the text of one document each."""
-    schema = pa.schema([("set_key", pa.binary()), ("values", pa.binary())])
+def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(set_key, packed) of the wanted classes: the compressed text of one document each, smaller than its set."""
+    schema = pa.schema([("set_key", pa.binary()), ("packed", pa.binary())])
 
-    def build(columns):
-        sets = list(_bytes_sets(columns["text"], width))
-        return {"set_key": [_key(x) for x in sets], "values": [x.tobytes() for x in sets]}
+    def pack(batches):
+        seen = set()
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            keys = [_key(values) for values in _bytes_sets(batch.column(0), width)]
+            new = [at for at, key in enumerate(keys) if not (key in seen or seen.add(key))]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in new], pa.binary()),
+                                              pa.array([zlib.compress(texts[i], 1) for i in new], pa.binary())], schema=schema)
 
     some = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.join(some, docs["doc_id"].eqNullSafe(some["wanted"]), "left_semi").select("text")
-    built = texts.mapInArrow(per_batch(build, schema), "set_key binary, values binary")
-    return built.join(wanted, "set_key").groupBy("class_id").agg(F.first("values").alias("values"))
+    if some.count() <= BROADCAST_ROWS:
+        some = F.broadcast(some)
+    return docs.join(some, docs["doc_id"].eqNullSafe(some["wanted"]), "left_semi").select("text").mapInArrow(
+        pack, "set_key binary, packed binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough, counted on the whole sets."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(columns):
+        left, right = (column.dictionary_encode() for column in (columns["x"], columns["y"]))
+        x, y = ([s for _, parts in chunks([zlib.decompress(t) for t in side.dictionary.to_pylist()])
+                 for s in shingle_sets(parts, width)] for side in (left, right))
         kept = []
-        for x, y in zip(columns["x"].to_pylist(), columns["y"].to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(100 * both >= percent * (len(x) + len(y) - both))
-        mask = np.array(kept, bool)
-        return {"a": columns["a"].filter(pa.array(mask)), "b": columns["b"].filter(pa.array(mask))}
+        for i, j in zip(left.indices.to_pylist(), right.indices.to_pylist()):
+            both = len(np.intersect1d(x[i], y[j], assume_unique=True))
+            kept.append(100 * both >= percent * (len(x[i]) + len(y[j]) - both))
+        mask = pa.array(kept, pa.bool_())
+        return {"a": columns["a"].filter(mask), "b": columns["b"].filter(mask)}
 
-    x = sets.select(F.col("class_id").alias("a"), F.col("values").alias("x"))
-    y = sets.select(F.col("class_id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(per_batch(compare, schema), "a long, b long")
+    x = texts.select(F.col("set_key").alias("kx"), F.col("packed").alias("x"))
+    y = texts.select(F.col("set_key").alias("ky"), F.col("packed").alias("y"))
+    return pairs.join(x, "kx").join(y, "ky").select("a", "b", "x", "y").mapInArrow(
+        per_batch(compare, schema), "a long, b long")
 
 
 def _tested(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, label: str) -> DataFrame:
+    keys = classes.select("class_id", "set_key", "doc_id")
     ends = pairs.select(F.col("a").alias("class_id")).unionByName(pairs.select(F.col("b").alias("class_id"))).distinct()
-    wanted = classes.join(ends, "class_id", "left_semi").select("class_id", "set_key", "doc_id")
-    sets = materialize(_sets(docs, wanted, width), f"{label}-sets")
-    return materialize(_verified(pairs, sets, percent), f"{label}-links")
+    texts = materialize(_texts(docs, keys.join(ends, "class_id", "left_semi"), width), f"{label}-texts")
+    pairs = pairs.join(keys.select(F.col("class_id").alias("a"), F.col("set_key").alias("kx")), "a").join(
+        keys.select(F.col("class_id").alias("b"), F.col("set_key").alias("ky")), "b")
+    return materialize(_verified(pairs, texts, width, percent), f"{label}-links")
 
 
 def _fits(percent: int) -> str:
@@ -148,16 +162,17 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         "set_key", "group_id", "doc_id", F.monotonically_increasing_id().alias("class_id")), "jaccard-classes")
 
     postings = groups.select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
-    leaders = postings.groupBy("token").agg(F.count("*").alias("groups"), F.min(F.struct(
-        F.xxhash64("token", "group_id").alias("draw"), "group_id", "n", "at")).alias("lead")).where("groups > 1")
+    shared = postings.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     # a group may hold several classes: its n-grams matter even where no other group has them, but those classes share
     # all of them, so one n-gram, the first, is enough
     firsts = classes.groupBy("group_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("classes"))
-    postings = materialize(postings.join(leaders.select("token", "lead"), "token"), "jaccard-postings")
+    postings = materialize(postings.join(shared, "token").withColumn(
+        "draw", F.xxhash64("token", "group_id")), "jaccard-postings")
 
-    a = postings.select("group_id", "n", "at", F.col("lead")).alias("p").select(
-        F.struct("group_id", "n", "at").alias("a"), F.col("lead").alias("b"))
-    stars = a.where("a.group_id <> b.group_id").where(_fits(percent)).select(
+    first = postings.groupBy("token").agg(F.min("draw").alias("draw"))
+    leaders = postings.join(first, ["token", "draw"])
+    stars = postings.alias("a").join(leaders.alias("b"), F.expr(
+        "a.token = b.token AND a.group_id <> b.group_id AND " + _fits(percent))).select(
         F.col("a.group_id").alias("ga"), F.col("b.group_id").alias("gb")).distinct()
     stars = stars.join(firsts.select(F.col("group_id").alias("ga"), F.col("class_id").alias("a")), "ga").join(
         firsts.select(F.col("group_id").alias("gb"), F.col("class_id").alias("b")), "gb").select(

@@ -26,4 +26,39 @@ SELECT sets.doc_id, len(s) AS n_shingles, component_id
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-STATEMENTS = {"op2_ngram_jaccard": OP2}
+OP7 = f"""
+WITH docs AS (
+  SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '{WORD}', 'w', 'g'))
+         - length(regexp_replace(coalesce(text, ''), '{WORD}', '', 'g')) AS size,
+         1.5 - (CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\p{{L}}\s]', '', 'g')) END)::DOUBLE
+               / greatest(coalesce(length(text), 0), 1) AS quality,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw
+  FROM documents),
+keyed AS (SELECT *, -ln((draw::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / quality AS key FROM docs),
+sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM docs GROUP BY source),
+ranked AS (
+  SELECT *, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS budget, source_size::DOUBLE * 2 AS cap,
+         (sum(weight) OVER ()) - coalesce(sum(weight) OVER before, 0) AS weights,
+         coalesce(sum(source_size::DOUBLE * 2) OVER before, 0) AS gone
+  FROM sizes
+  WINDOW before AS (ORDER BY source_size::DOUBLE * 2 / weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+held AS (SELECT *, cap * weights <= (budget - gone) * weight AS full_up FROM ranked),
+free AS (SELECT budget - gone AS rest, weights AS over FROM held WHERE NOT full_up ORDER BY cap / weight LIMIT 1),
+aims AS (
+  SELECT source, source_size, CASE WHEN full_up THEN cap ELSE (SELECT rest FROM free) * weight / (SELECT over FROM free) END
+         AS target FROM held),
+epochs AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM aims),
+summed AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS rest,
+         sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM keyed k JOIN epochs e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (whole + CASE WHEN upto - rest <= rest - (upto - size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM summed
+"""
+
+STATEMENTS = {"op2_ngram_jaccard": OP2, "op7_source_mix": OP7}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_jaccard
+from . import mixing, ngram_jaccard
 from .common import table
 
 
@@ -12,4 +12,8 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op7_source_mix": op7_source_mix}
