@@ -19,7 +19,7 @@ from plumbline.session import materialize
 from .common import WORD
 
 #: Rows that a bucket of keys holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: Column) -> Column:

@@ -27,6 +27,8 @@ from .texts import chunks, mix, shingle_sets
 
 #: N-grams are ordered by the load of their bucket in a table of this many counters, then by hash.
 ORDER_BUCKETS = 1 << 16
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 4
 #: Up to so many document ids are broadcast to pick the texts that must be compared; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -46,6 +48,15 @@ def _key(values: np.ndarray) -> bytes:
     return b"".join(int(mix(values ^ np.uint64(s)).sum(dtype=np.uint64) + np.uint64(n)).to_bytes(8, "big") for s in (0x5851F42D, 0xC2B2AE35))
 
 
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """The parity of the number of n-grams in each of 64 * SKETCH_WORDS buckets.
+
+    An n-gram that only one of two sets has flips one bit, so sketches differ in no more bits than the sets in n-grams.
+    """
+    odd = np.bincount((values >> np.uint64(32)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bucket_loads(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
     """How many n-gram occurrences (once per document) fall into each bucket; each task sends one row per bucket at most."""
 
@@ -67,11 +78,11 @@ def bucket_loads(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
 def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()),
-                        ("prefix", pa.list_(pa.int64()))])
+                        ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
     rank = np.argsort(np.argsort(loads, kind="stable"), kind="stable").astype(np.int32)
 
     def describe(columns):
-        ns, set_keys, group_keys, prefixes = [], [], [], []
+        ns, set_keys, group_keys, prefixes, sketches = [], [], [], [], []
         for values in _bytes_sets(columns["text"], width):
             n = len(values)
             short = n - -(-percent * n // 100) + 1 if n else 0
@@ -80,9 +91,12 @@ def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) ->
             set_keys.append(_key(values))
             group_keys.append(_key(np.append(prefix, np.uint64(n))))
             prefixes.append(prefix.view(np.int64))
-        return {"doc_id": columns["doc_id"], "n": ns, "set_key": set_keys, "group_key": group_keys, "prefix": prefixes}
+            sketches.append(_sketch(values))
+        return {"doc_id": columns["doc_id"], "n": ns, "set_key": set_keys, "group_key": group_keys, "prefix": prefixes,
+                "sketch": sketches}
 
-    return docs.mapInArrow(per_batch(describe, schema), "doc_id long, n int, set_key binary, group_key binary, prefix array<long>")
+    return docs.mapInArrow(per_batch(describe, schema), "doc_id long, n int, set_key binary, group_key binary, "
+                            "prefix array<long>, sketch array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -141,6 +155,12 @@ def _fits(percent: int) -> str:
             f"{100 + percent} * least(a.n - a.at, b.n - b.at) >= {percent} * (a.n + b.n)")
 
 
+def _near(percent: int) -> str:
+    """Sketches a.sketch, b.sketch still allow the similarity."""
+    apart = " + ".join(f"bit_count(a.sketch[{i}] ^ b.sketch[{i}])" for i in range(SKETCH_WORDS))
+    return f"{100 + percent} * (a.n + b.n - ({apart})) >= {2 * percent} * (a.n + b.n)"
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of its set and the smallest doc_id its links reach.
@@ -157,9 +177,11 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
 
     groups = materialize(filled.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
                          .withColumn("group_id", F.monotonically_increasing_id()), "jaccard-groups")
-    classes = filled.groupBy("set_key").agg(F.first("group_key").alias("group_key"), F.min("doc_id").alias("doc_id"))
-    classes = materialize(classes.join(groups.select("group_key", "group_id"), "group_key").select(
-        "set_key", "group_id", "doc_id", F.monotonically_increasing_id().alias("class_id")), "jaccard-classes")
+    classes = filled.groupBy("set_key").agg(F.first("group_key").alias("group_key"), F.min("doc_id").alias("doc_id"),
+                                            F.first("sketch").alias("sketch"))
+    classes = materialize(classes.join(groups.select("group_key", "group_id", "n"), "group_key").select(
+        "set_key", "group_id", "doc_id", "n", "sketch", F.monotonically_increasing_id().alias("class_id")),
+        "jaccard-classes")
 
     postings = groups.select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
@@ -179,30 +201,29 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     inside = classes.join(firsts.where("classes > 1").withColumnRenamed("class_id", "a"), "group_id").where(
         "class_id <> a").select("a", F.col("class_id").alias("b"))
-    pairs = materialize(stars.unionByName(inside).distinct(), "jaccard-pairs")
+    ends = classes.select("class_id", F.struct("n", "sketch").alias("end"))
+    pairs = stars.unionByName(inside).distinct().toDF("x", "y").join(ends.toDF("x", "a"), "x").join(
+        ends.toDF("y", "b"), "y").where(_near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = materialize(pairs, "jaccard-pairs")
     links = _tested(pairs, classes, docs, width, percent, "jaccard-first")
     roots = components(links, "jaccard-first")
 
     labelled = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "class_id", "group_id", F.coalesce("root", "class_id").alias("root"))
+        "class_id", "group_id", "sketch", F.coalesce("root", "class_id").alias("root"))
     parts = labelled.select("group_id", "root").distinct()
     split = parts.groupBy("group_id").agg(F.count("*").alias("roots")).where("roots > 1").select("group_id")
     own = groups.join(split, "group_id", "left_semi").select(
         "group_id", "n", F.lit(0).alias("at"), F.expr("prefix[0]").alias("token"))
-    rest = postings.select("group_id", "n", "at", "token").unionByName(own).distinct().join(parts, "group_id")
-    per_root = rest.groupBy("token", "root").agg(F.count("*").alias("rows"))
-    open_tokens = per_root.groupBy("token").agg(F.count("*").alias("roots"), F.max_by("root", F.struct(
-        "rows", "root")).alias("largest")).where("roots > 1").select("token", "largest")
-    rest = materialize(rest.join(open_tokens, "token"), "jaccard-rest")
+    rest = postings.select("group_id", "n", "at", "token").unionByName(own).distinct()
+    per_root = rest.join(parts, "group_id").groupBy("token", "root").agg(F.count("*").alias("rows"))
+    open_tokens = per_root.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct(
+        "rows", "root")).alias("most")).where("roots > 1").select("token", F.col("most.root").alias("largest"))
+    rest = materialize(rest.join(open_tokens, "token").join(labelled, "group_id").drop("group_id"), "jaccard-rest")
     cross = rest.where("root <> largest").alias("a").join(rest.alias("b"), F.expr(
-        "a.token = b.token AND a.root <> b.root AND "
-        "(b.root = b.largest OR struct(a.group_id, a.root) < struct(b.group_id, b.root)) AND " + _fits(percent)))
-    cross = cross.select(F.col("a.group_id").alias("ga"), F.col("a.root").alias("ra"), F.col("b.group_id").alias("gb"),
-                         F.col("b.root").alias("rb")).distinct()
-    side = labelled.select("class_id", "group_id", "root")
-    cross = cross.join(side.toDF("a", "ga", "ra"), ["ga", "ra"]).join(side.toDF("b", "gb", "rb"), ["gb", "rb"]).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
+        "a.token = b.token AND a.root <> b.root AND (b.root = b.largest OR a.class_id < b.class_id) AND "
+        + _fits(percent) + " AND " + _near(percent)))
+    cross = cross.select(F.least("a.class_id", "b.class_id").alias("a"), F.greatest("a.class_id", "b.class_id").alias("b"))
+    cross = materialize(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
     more = _tested(cross, classes, docs, width, percent, "jaccard-second")
 
     # links of the first round count as one star per component
