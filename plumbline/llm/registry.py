@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, ngram_jaccard
+from . import language, mixing, ngram_jaccard, quality, toxicity
 from .common import table
+from .fitting import remainder
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def _held_out(by: int, rest: int):
+    return F.coalesce(remainder(F.col("doc_id"), by) == rest, F.lit(False)).alias("held_out")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard, "op7_source_mix": op7_source_mix}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_language_id": op3_language_id,
+    "op4_quality_cnn": op4_quality_cnn,
+    "op7_source_mix": op7_source_mix,
+    "op8_toxicity": op8_toxicity,
+}
