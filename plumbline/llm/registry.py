@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, ngram_jaccard, quality, toxicity
+from . import language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 from .common import table
 from .fitting import remainder
 
@@ -38,10 +38,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op4_quality_cnn": op4_quality_cnn,
     "op7_source_mix": op7_source_mix,
     "op8_toxicity": op8_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
