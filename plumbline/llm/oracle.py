@@ -5,6 +5,23 @@ from __future__ import annotations
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+OP1 = """
+WITH RECURSIVE vecs AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM named
+"""
+
 OP2 = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({LOWER}, '{WORD}') AS w FROM documents),
@@ -61,4 +78,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM summed
 """
 
-STATEMENTS = {"op2_ngram_jaccard": OP2, "op7_source_mix": OP7}
+STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op7_source_mix": OP7}

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
+from . import cap_filters, language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 from .common import table
 from .fitting import remainder
 
 
+def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cap_filters.link_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.similar_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -43,6 +48,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cap_filters": op1_cap_filters,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op4_quality_cnn": op4_quality_cnn,
