@@ -43,6 +43,24 @@ SELECT sets.doc_id, len(s) AS n_shingles, component_id
 FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
+OP5 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+numbered AS (
+  SELECT *, 15 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<:])', '\\\1', 'g'))
+         AS chars,
+         row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+placed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS stop FROM numbered)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(CASE WHEN role = 'assistant' OR n = turns THEN stop ELSE 0 END)::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
 OP7 = f"""
 WITH docs AS (
   SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '{WORD}', 'w', 'g'))
@@ -78,4 +96,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM summed
 """
 
-STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op7_source_mix": OP7}
+STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op5_chat_examples": OP5, "op7_source_mix": OP7}

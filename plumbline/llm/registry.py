@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cap_filters, language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
+from . import cap_filters, chat, decontaminate, language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 from .common import table
 from .fitting import remainder
 
@@ -33,6 +33,25 @@ def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    turns = turns.unionByName(spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")))
+    found = chat.read_back(chat.format_conversations(turns))
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.concat_ws("", "losses")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.concat_ws("", spoken), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start", "n_words")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,6 +71,8 @@ QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_language_id": op3_language_id,
     "op4_quality_cnn": op4_quality_cnn,
+    "op5_chat_examples": op5_chat_examples,
+    "op6_decontaminate": op6_decontaminate,
     "op7_source_mix": op7_source_mix,
     "op8_toxicity": op8_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
