@@ -1,28 +1,74 @@
-"""The corpus pipeline: documents through the operators of plumbline.llm, one stage after the other."""
+"""The corpus pipeline: documents through five operators of plumbline.llm, one stage after the other."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ngram_jaccard
+from plumbline.llm import decontaminate, mixing, ngram_jaccard, suffix_dedup, toxicity
 from plumbline.llm.common import table
 from plumbline.session import shared_dir
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Documents with at least this toxicity score are rejected.
+TOXIC = 0.7
+#: Up to so many ids of rejected documents are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones stays: the one that names the group."""
-    found = ngram_jaccard.similar_components(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(DOCUMENT_COLUMNS)
+def _without(docs: DataFrame, rejected: DataFrame, on) -> DataFrame:
+    small = rejected.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(rejected) if small else rejected, on, "left_anti")
 
 
-STAGES = [("ngram_jaccard", near_copies)]
+def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of TOXIC or more go; those without text stay."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_below(docs.select(DOCUMENT_COLUMNS), lexicon, TOXIC)
 
-#: Classifiers, hashes of byte windows and fingerprints are not expressible in SQL; tests/llm holds brute-force twins.
+
+def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones (five words, Jaccard 0.8) stays: the one with the smallest id.
+
+    Documents without words are in no group and stay. Rows that repeat a doc_id and its text are one document and stay together.
+    """
+    found = ngram_jaccard.similar_components(docs, width=5, percent=80)
+    named = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rejected = named.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return _without(docs, rejected, "doc_id").select(DOCUMENT_COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that occur twice are cut out of the texts; a document of which nothing is left goes."""
+    found = suffix_dedup.remove_repeats(docs, with_text=True, carry=("lang", "source", F.col("text").isNull().alias("none")))
+    found = found.where("n_removed = 0 OR kept <> ''")
+    text = F.when(~F.col("none"), F.col("kept")).alias("text")
+    return found.select("doc_id", text, "lang", "source", F.length("kept").cast("long").alias("n_chars"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(
+        F.col("doc_id").alias("leaking"), F.col("text_hash").alias("hash")).distinct()
+    on = docs["doc_id"].eqNullSafe(leaks["leaking"]) & (F.xxhash64(docs["text"]) == leaks["hash"])
+    return _without(docs, leaks, on).select(DOCUMENT_COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document that is left."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", non_toxic),
+    ("ngram_jaccard", one_of_similar),
+    ("suffix_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("source_mix", mixed),
+]
+
+#: A fitted lexicon and SimHash fingerprints cannot be expressed in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.session import materialize
 
@@ -333,8 +333,9 @@ def _kept(columns, with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int = HOT_CONTEXTS, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row, and with `with_text` the text that stays.
+                   text: str = "text", carry: tuple[str | Column, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row, with `with_text` the text that stays (`kept`), and the columns
+    to `carry` along.
 
     Every copy of a repeated string is removed, the first one too, also when both are in one document. A null text is empty; empty
     texts and those under SPAN bytes lose nothing. Rows that repeat a doc_id stay rows, and equal texts count as copies. A
@@ -342,8 +343,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
     gives an empty result.
     """
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("doc_id"),
-                       F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("text")).withColumn(
+                       F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("text"), *carry).withColumn(
         "text_hash", F.xxhash64("text"))
+    carry = docs.columns[2:-1]
     rows = _anchor_rows(docs)
     counts = rows.groupBy("gram", "context").agg(F.count("*").alias("copies"))
     counts = materialize(counts, "suffix-counts")
@@ -372,11 +374,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
     cut = _with_texts(docs, spans).mapInArrow(
         per_batch(lambda columns: _kept(columns, with_text), schema),
         "doc_id long, text_hash long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    whole = docs.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
+    whole = docs.select("doc_id", "text_hash", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), *carry,
                         *([F.col("text").cast("string").alias("whole")] if with_text else []))
     out = whole.join(cut, ["doc_id", "text_hash"], "left")
     return out.select(
         F.when(F.col("doc_id") != -(1 << 62), F.col("doc_id")).alias("doc_id"), "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
-        *([F.coalesce("kept", "whole").alias("kept")] if with_text else []))
+        *([F.coalesce("kept", "whole").alias("kept")] if with_text else []), *carry)

@@ -81,10 +81,16 @@ def matches(machine, text: str) -> tuple[float, int, str]:
     return sum(w for _, _, w in hits), len(hits), folded
 
 
-def _features(machine, text: str) -> tuple[float, float]:
-    """The sum of weights on a log scale, and per hundred words."""
-    total, _, folded = matches(machine, text)
-    return math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))) if total else 0.0
+def _features(machine, text: str) -> tuple[float, float, int]:
+    """The sum of weights on a log scale, the same per hundred words, and the number of matches."""
+    total, n, folded = matches(machine, text)
+    return (math.log1p(total), math.log1p(100 * total / max(1, len(folded.split()))), n) if n else (0.0, 0.0, 0)
+
+
+def _score(machine, lexicon: Lexicon, text: str) -> tuple[float, int]:
+    a, b, n = _features(machine, text)
+    z = lexicon.score[0] * a + lexicon.score[1] * b + lexicon.score[2]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), n
 
 
 def learn(sample: list[tuple[object, str]]) -> Lexicon:
@@ -122,7 +128,7 @@ def learn(sample: list[tuple[object, str]]) -> Lexicon:
     exceptions = sorted(p for p, n in phrases[0].items() if n >= 2 and n > 2 * phrases[1][p] and " " in p.strip())
     lexicon = Lexicon({w: round(weights[w], 4) for w in sorted(best)}, exceptions)
     machine = lexicon.automaton()
-    x = np.array([_features(machine, text) for _, text in sample])
+    x = np.array([_features(machine, text)[:2] for _, text in sample])
     y = np.array([label for label, _ in sample], float)
     lexicon.score = tuple(float(v) for v in logistic(x, y))
     return lexicon
@@ -142,10 +148,8 @@ def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
             made.append(lexicon.automaton())
         scores, counts = [], []
         for value in columns["text"].to_pylist():
-            total, n, folded = matches(made[0], value or "")
-            a, b = (math.log1p(total), math.log1p(100 * total / max(1, len(folded.split())))) if n else (0.0, 0.0)
-            z = lexicon.score[0] * a + lexicon.score[1] * b + lexicon.score[2]
-            scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            rating, n = _score(made[0], lexicon, value or "")
+            scores.append(rating)
             counts.append(n)
         return {"doc_id": columns["doc_id"], "score": scores, "n_matches": counts}
 
@@ -153,6 +157,20 @@ def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
         per_batch(rate, schema), "doc_id long, score double, n_matches long")
 
 
+def keep_below(docs: DataFrame, lexicon: Lexicon, limit: float, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose text scores below the limit; each text is read once, nothing is joined."""
+    made = []
+
+    def select(batches):
+        for batch in batches:
+            if not made:
+                made.append(lexicon.automaton())
+            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+            yield batch.filter(pa.array([_score(made[0], lexicon, t or "")[0] < limit for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(select, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", hold_out: tuple[int, int] | None = (3, 1)) -> Lexicon:
     """A lexicon learned from labelled documents; `hold_out` (modulus, remainder of crc32 of the id) is left out."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label"))
