@@ -11,12 +11,22 @@ from plumbline.session import materialize
 
 #: A word: anything but space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, after the session's Arrow batches are held to BATCH_ROWS rows: whole texts are handed to Python in batches, and two
+    workers share what an executor has beside its heap."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def per_batch(work: Callable[[dict[str, pa.Array]], dict[str, object]], schema: pa.Schema):
     """A function for mapInArrow: columns of a batch by name in, columns of the result out. Strings arrive as bytes."""
 

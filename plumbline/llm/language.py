@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, per_batch
+from .common import as_bytes, per_batch, small_batches
 from .fitting import FIT_BYTES, bounded_sample, linear_svm, remainder
 from .texts import LOWER, chunks, joined
 
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, machines: Machines, doc_id: str = "doc_id", text:
             scores.append(np.where(known, sure, 0.0))
         return {"doc_id": columns["doc_id"], "lang_pred": langs, "score": np.concatenate(scores)}
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         per_batch(predict, schema), "doc_id long, lang_pred string, score double")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.session import materialize
 
-from .common import as_bytes, components, per_batch
+from .common import as_bytes, components, per_batch, small_batches
 from .texts import chunks, mix, shingle_sets
 
 #: N-grams are ordered by the load of their bucket in a table of this many counters, then by hash.
@@ -170,7 +170,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     stay rows of their own; an unlinked row's component is its own doc_id. A null doc_id stays null and is no component's
     name unless all of its members have none. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     loads = bucket_loads(docs, width)
     described = materialize(_described(docs, loads, width, percent), "jaccard-described")
     filled = described.where("n > 0")

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import as_bytes, per_batch
+from .common import as_bytes, per_batch, small_batches
 from .fitting import bounded_sample, remainder
 from .texts import chunks
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, net: Network, doc_id: str = "doc_id", text: str = "te
         found = [net.probability(pooled(net, parts)) for _, parts in chunks(as_bytes(columns["text"]))]
         return {"doc_id": columns["doc_id"], "score": np.concatenate(found).astype(np.float64)}
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         per_batch(rate, schema), "doc_id long, score double")
 
 

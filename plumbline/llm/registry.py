@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cap_filters, chat, decontaminate, language, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
+from . import cap_filters, chat, decontaminate, language, licenses, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 from .common import table
 from .fitting import remainder
 
@@ -62,6 +62,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.summarize(docs, licenses.scan(docs, licenses.fit(docs)))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -75,5 +80,6 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_source_mix": op7_source_mix,
     "op8_toxicity": op8_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.session import materialize
 
-from .common import per_batch
+from .common import per_batch, small_batches
 from .texts import mix
 
 SPAN, GRAM = 200, 40
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
     character that is cut in half is left out of the text (not of the digest). Other columns are ignored; an empty table
     gives an empty result.
     """
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("doc_id"),
+    docs = small_batches(docs).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("doc_id"),
                        F.coalesce(F.encode(F.col(text), "UTF-8"), F.lit(b"")).alias("text"), *carry).withColumn(
         "text_hash", F.xxhash64("text"))
     carry = docs.columns[2:-1]

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_batch
+from .common import per_batch, small_batches
 from .fitting import bounded_sample, logistic, remainder
 
 #: Different labelled texts that the lexicon is learned from, per label.
@@ -153,7 +153,7 @@ def score(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str =
             counts.append(n)
         return {"doc_id": columns["doc_id"], "score": scores, "n_matches": counts}
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         per_batch(rate, schema), "doc_id long, score double, n_matches long")
 
 
@@ -168,7 +168,7 @@ def keep_below(docs: DataFrame, lexicon: Lexicon, limit: float, text: str = "tex
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             yield batch.filter(pa.array([_score(made[0], lexicon, t or "")[0] < limit for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(select, docs.schema)
+    return small_batches(docs).mapInArrow(select, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", hold_out: tuple[int, int] | None = (3, 1)) -> Lexicon:
