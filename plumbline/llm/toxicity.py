@@ -19,7 +19,7 @@ from .common import per_batch, small_batches
 from .fitting import bounded_sample, logistic, remainder
 
 #: Different labelled texts that the lexicon is learned from, per label.
-FIT_TEXTS = 4_000
+FIT_TEXTS = 1_500
 #: Words that a learned lexicon holds at most: those of the largest weight times use.
 LEXICON_WORDS = 2_000
 
@@ -104,10 +104,12 @@ def learn(sample: list[tuple[object, str]]) -> Lexicon:
     if not docs[1]:
         return Lexicon({}, [], (0.0, 0.0, -3.0))
     found = {0: Counter(), 1: Counter()}
-    for label, text in sample:
-        words = _TOKEN.findall(fold(text))
-        found[label].update(set(words))
+    for _, text in (s for s in sample if s[0] == 1):
+        found[1].update(set(_TOKEN.findall(fold(text))))
     least = max(3, docs[1] // 200)
+    found[1] = Counter({word: n for word, n in found[1].items() if n >= least})
+    for _, text in (s for s in sample if s[0] == 0):
+        found[0].update(found[1].keys() & set(_TOKEN.findall(fold(text))))
     wanted = {}
     for word, n in found[1].items():
         gain = math.log((n + 0.5) / (docs[1] + 1)) - math.log((found[0][word] + 0.5) / (docs[0] + 1))
