@@ -86,7 +86,7 @@ def _parse_sql(name: str) -> str:
         return "coalesce(" + ", ".join(
             f"try_to_timestamp({slashed}, '{day}{TIME_OF_DAY}')" for day in layouts) + ")"
 
-    return f"""CASE WHEN octet_length({text}) <= {MAX_DATE_BYTES} THEN coalesce(
+    return f"""CASE WHEN octet_length(trim({text})) <= {MAX_DATE_BYTES} THEN coalesce(
         try_cast(trim({text}) AS timestamp),
         CASE WHEN {slashed} RLIKE '{NUMERIC_SHAPE}' THEN {first_fit(NUMERIC_LAYOUTS)}
              WHEN {slashed} RLIKE '{MONTH_NAME_SHAPE}' THEN {first_fit(MONTH_NAME_LAYOUTS)} END) END"""
@@ -100,7 +100,7 @@ def parse_datetime(name: str) -> Column:
 def is_date_text(name: str) -> Column:
     """True when the column's string parses as a date and holds a date separator."""
     text = _name_sql(name)
-    return F.expr(f"""CASE WHEN octet_length({text}) <= {MAX_DATE_BYTES} AND {text} RLIKE '{DATE_SEPARATOR}'
+    return F.expr(f"""CASE WHEN octet_length(trim({text})) <= {MAX_DATE_BYTES} AND {text} RLIKE '{DATE_SEPARATOR}'
         AND {text} RLIKE '[0-9]' THEN ({_parse_sql(name)}) IS NOT NULL ELSE false END""")
 
 

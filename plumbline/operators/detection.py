@@ -330,13 +330,17 @@ def duplicate_primary_key(batch: DataFrame, profile: TableProfile, column: str,
     Repeated whole rows count once. The batch is reduced to one row per (key, row) and then per key; the
     clean table gives only the keys the batch also holds.
     """
+    def value(df: DataFrame) -> Column:
+        # 1 and 1.0 are one key; adding zero makes -0.0 and 0.0 one
+        family, num, txt = cell_key(df, column)
+        return F.concat_ws("|", family.cast("string"), (num + F.lit(0.0)).cast("string"), txt).alias("k")
+
     fingerprint = row_fingerprint(batch, data_columns(batch, key))
-    holders = batch.filter(quoted(column).isNotNull()).select(
-        quoted(column).cast("string").alias("k"), fingerprint.alias("f")).groupBy("k", "f").agg(
-        F.count(F.lit(1)).alias("n"))
+    holders = batch.filter(quoted(column).isNotNull()).select(value(batch), fingerprint.alias("f")).groupBy(
+        "k", "f").agg(F.count(F.lit(1)).alias("n"))
     per_key = holders.groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
     if clean is not None and column in clean.columns:
-        seen = clean.select(quoted(column).cast("string").alias("k")).join(
+        seen = clean.filter(quoted(column).isNotNull()).select(value(clean)).join(
             per_key.select("k"), "k", "left_semi").distinct().withColumn("in_clean", F.lit(1))
         per_key = per_key.join(seen, "k", "left").withColumn(
             "held", F.when(F.col("in_clean").isNull(), F.col("held") - 1).otherwise(F.col("held")))

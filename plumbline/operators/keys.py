@@ -10,9 +10,8 @@ from plumbline.functions.columns import as_double, base_type, epoch_micros, quot
 from plumbline.operators.table_profile import Tables, columns_frame, value_counts
 from plumbline.session import each, materialize
 
-# Coverage wanted on whole tables, and when rows were capped at ingest.
+# Fixed value: coverage wanted.
 FULL_COVERAGE = 1.0
-CAPPED_COVERAGE = 0.95
 
 
 def primary_key_columns(columns: DataFrame) -> DataFrame:
@@ -130,14 +129,8 @@ def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> d
     return kept
 
 
-def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE,
-             counts: DataFrame | None = None) -> DataFrame:
-    """Foreign keys of a set of tables.
-
-    Counts of all columns serve when there are any; otherwise only columns that can matter are counted.
-    """
-    if counts is not None:
-        return foreign_keys(coverage(tables, columns, counts), threshold)
+def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE) -> DataFrame:
+    """Foreign keys of a set of tables; only columns that can matter are counted."""
     kept = plausible_columns(tables, columns, threshold)
     if len(kept) < 2:
         return foreign_keys(coverage(tables, columns.limit(0)), threshold)

@@ -392,7 +392,7 @@ VIEW_JOIN = """SELECT o_orderkey, o_custkey, o_orderstatus, c_name, c_mktsegment
 BOUNDED_SQL = """SELECT * FROM (
     SELECT c_nationkey, c_mktsegment, count(*) AS nb_orders, round(sum(o_totalprice), 2) AS total
     FROM orders JOIN customer ON o_custkey = c_custkey
-    GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment) LIMIT 100"""
+    GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment)"""
 
 
 # --- corruption ---------------------------------------------------------------------------------------------

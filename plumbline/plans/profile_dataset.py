@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,20 +48,15 @@ def _gather(spark: SparkSession, name: str, frames: list[DataFrame]) -> DataFram
 
 
 class Columns(NamedTuple):
-    """Tables with date strings cast, their value counts, the column profile, and the columns not counted."""
+    """Tables with date strings cast, their value counts and the column profile."""
 
     typed: tp.Tables
     counts: DataFrame
     columns: DataFrame
-    settled: set[tuple[str, str]]
 
 
-def profile_columns(tables: tp.Tables, exact_unique: bool = True,
-                    small_cells: int = tp.SMALL_CELLS) -> Columns:
-    """Column profile of a set of tables, the value counts computed once.
-
-    Without `exact_unique`, columns proven to be neither keys nor categories are not counted in full.
-    """
+def profile_columns(tables: tp.Tables) -> Columns:
+    """Column profile of a set of tables, the value counts computed once."""
     types = materialize(tp.column_types(tables), "types")
     # one row per column
     known = types.collect()
@@ -72,12 +68,9 @@ def profile_columns(tables: tp.Tables, exact_unique: bool = True,
     if any(typed[t] is not tables[t] for t in tables):
         # values that are no dates became NULL, which counts as missing from here on
         types = _recount(types, typed, dates)
-    settled: set[tuple[str, str]] = set()
-    if not exact_unique and sum(row["nb_rows"] for row in known) > small_cells:
-        settled = tp.settled_columns(typed)
-    counts = materialize(tp.value_counts(typed, skip=settled), "counts")
-    columns = materialize(tp.column_profile(typed, counts, types, settled), "columns")
-    return Columns(typed, counts, columns, settled)
+    counts = materialize(tp.value_counts(typed), "counts")
+    columns = materialize(tp.column_profile(typed, counts, types), "columns")
+    return Columns(typed, counts, columns)
 
 
 def _recount(types: DataFrame, typed: tp.Tables, dates: dict[str, list[str]]) -> DataFrame:
@@ -89,20 +82,18 @@ def _recount(types: DataFrame, typed: tp.Tables, dates: dict[str, list[str]]) ->
 
 
 def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tuple[str, ...] = (),
-                    capped: bool = False, numeric: bool = True, clusters: bool = True,
-                    key: str | None = None, parts: set[str] | None = None,
-                    small_cells: int = tp.SMALL_CELLS) -> Frames:
+                    numeric: bool = True, clusters: bool = True, key: str | None = None,
+                    parts: set[str] | None = None) -> Frames:
     """The wanted profile frames of a set of tables, all by default.
 
     `test` holds the other side of the split: keys are looked up over both. Tables named in `views` are
-    profiled but take no part in foreign keys. `key` names a row identity column to leave out. Tables with
-    fewer cells than `small_cells` are counted in full instead of being settled from a slice first.
+    profiled but take no part in foreign keys. `key` names a row identity column to leave out.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = {name: df for name, df in tables.items()}
     if key is not None:
         tables = {name: df.drop(key) for name, df in tables.items()}
-    typed, counts, columns, settled = profile_columns(tables, exact_unique=False, small_cells=small_cells)
+    typed, counts, columns = profile_columns(tables)
     frames: Frames = {
         "profile_table": tp.table_profile(typed, counts),
         "profile_column": columns,
@@ -149,10 +140,7 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
             linked = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df
                       for t, df in linked.items()}
         own = columns.filter(~F.col("table_name").isin(*views)) if views else columns
-        threshold = keys.CAPPED_COVERAGE if capped else keys.FULL_COVERAGE
-        # the profile's counts hold the same values when nothing was cast, added or left out
-        same = test is None and not views and not settled and all(typed[t] is tables[t] for t in tables)
-        links = materialize(keys.discover(linked, own, threshold, counts if same else None), "links")
+        links = materialize(keys.discover(linked, own), "links")
         frames["profile_fk"] = links
         if numeric:
             frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
@@ -212,7 +200,10 @@ def load_profile(spark: SparkSession, folder: str, names: tuple[str, ...] = PROF
     for name in names:
         try:
             frames[name] = spark.read.parquet(f"{folder.rstrip('/')}/{name}")
-        except Exception:  # noqa: BLE001 - not part of this profile
+        except AnalysisException as error:
+            # only a frame that was never written is empty; anything else is an error
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             if name in _EMPTY:
                 frames[name] = spark.createDataFrame([], _EMPTY[name])
     return frames
@@ -230,7 +221,7 @@ def read_calibration(frames: Frames, table: str) -> dict:
     """
     known = sorted(r["table_name"] for r in frames["profile_table"].select("table_name").collect())
     if table not in known:
-        return {"error": f"{table} was not calibrated", "calibrated_tables": known}
+        return {"error": f"{table} has no profile", "calibrated_tables": known}
     found = {}
     for name, df in frames.items():
         if name not in _ML_FRAMES:

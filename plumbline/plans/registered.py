@@ -132,7 +132,7 @@ def null_profile(spark, folder):
 
 
 def category_distribution(spark, folder):
-    tables, _, columns, _ = _columns(spark, folder)
+    tables, _, columns = _columns(spark, folder)
     names = {t: [] for t in tables}
     for row in columns.filter("is_categorical").orderBy("table_name", "ordinal").collect():
         names[row["table_name"]].append(row["column_name"])
@@ -180,15 +180,14 @@ def correlation_ratio(spark, folder):
 # --- keys ---------------------------------------------------------------------------------------------------
 
 def fk_coverage(spark, folder):
-    tables, counts, columns, _ = _columns(spark, folder)
+    tables, counts, columns = _columns(spark, folder)
     return keys.coverage(tables, columns, counts).drop("parent_rank")
 
 
 def _links(spark, folder):
     tables = load(spark, folder)
-    found = profile_columns(tables, exact_unique=False)
-    counts = None if found.settled else found.counts
-    return found.columns, keys.discover(tables, found.columns, counts=counts)
+    found = profile_columns(tables)
+    return found.columns, keys.discover(tables, found.columns)
 
 
 def foreign_keys(spark, folder):
@@ -289,7 +288,7 @@ def bounded_sql(spark, folder):
     return source.bounded_query(spark, """
         SELECT c_nationkey, c_mktsegment, count(*) AS nb_orders, round(sum(o_totalprice), 2) AS total
         FROM orders JOIN customer ON o_custkey = c_custkey
-        GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment;""")
+        GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment;""", max_rows=1_000_000)
 
 
 def whole_column(spark, folder):

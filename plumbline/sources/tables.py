@@ -116,7 +116,7 @@ def split(df: DataFrame, rows: int, share: float = CLEAN_SHARE, how: str = "posi
     return df.filter(first), df.filter(~first)
 
 
-def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv", max_rows: int | None = None,
+def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv",
            columns: dict[str, list[str]] | None = None, how: str = "position") -> list[str]:
     """Every file of a folder becomes a table: clean and test copies below `target`, replaced if present.
 
@@ -130,8 +130,6 @@ def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv", max_
         staged = f"{shared_dir(spark).rstrip('/')}/plumbline/ingest/{name}"
         read(spark, path, columns.get(name)).write.mode("overwrite").parquet(staged)
         df = with_row_id(spark, staged)
-        if max_rows is not None:
-            df = df.filter(F.col("row_id") < max_rows)
         clean, test = split(df, df.count(), how=how)
         write_table(clean, target, "clean", name)
         write_table(test, target, "test", name)
@@ -184,19 +182,20 @@ def create_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def bounded_query(spark: SparkSession, query: str, max_rows: int = MAX_ROWS_RETURNED) -> DataFrame:
-    """The first rows of one SELECT statement; anything else is refused."""
+def bounded_query(spark: SparkSession, query: str, max_rows: int) -> DataFrame:
+    """The first `max_rows` rows of one SELECT statement; anything else is refused."""
     text = query.strip().rstrip(";").strip()
     if not re.match(r"(?i)select\b", text):
-        raise ValueError("only SELECT queries are allowed")
+        raise ValueError("a statement must be a SELECT")
     return spark.sql(f"SELECT * FROM ({text}) LIMIT {int(max_rows)}")
 
 
 def run_query(spark: SparkSession, query: str, max_rows: int = MAX_ROWS_RETURNED) -> dict:
-    """Rows and their number, or the error as data so that a caller can mend the query."""
+    """Rows, their number and whether there were more, or the error as data so that a caller can mend the query."""
     try:
-        rows = [r.asDict() for r in bounded_query(spark, query, max_rows).collect()]
+        rows = [r.asDict() for r in bounded_query(spark, query, max_rows + 1).collect()]
     except Exception as error:  # noqa: BLE001 - handed back to the caller
-        prefix = "" if isinstance(error, ValueError) else "query failed: "
+        prefix = "" if isinstance(error, ValueError) else "not executed: "
         return {"error": f"{prefix}{error}"}
-    return {"nb_rows_returned": len(rows), "rows": rows}
+    kept = rows[:max_rows]
+    return {"nb_rows_returned": len(kept), "truncated": len(rows) > max_rows, "rows": kept}
