@@ -65,7 +65,7 @@ OP7 = f"""
 WITH docs AS (
   SELECT doc_id, source, length(regexp_replace(coalesce(text, ''), '{WORD}', 'w', 'g'))
          - length(regexp_replace(coalesce(text, ''), '{WORD}', '', 'g')) AS size,
-         1.5 - (CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\p{{L}}\s]', '', 'g')) END)::DOUBLE
+         1.5 - (CASE WHEN text IS NULL THEN 0 ELSE length(regexp_replace(text, '[\\p{{L}}\\s]', '', 'g')) END)::DOUBLE
                / greatest(coalesce(length(text), 0), 1) AS quality,
          ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS draw
   FROM documents),
