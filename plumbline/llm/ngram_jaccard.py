@@ -27,7 +27,7 @@ from .texts import chunks, mix, shingle_sets
 
 #: N-grams are ordered by the load of their bucket in a table of this many counters, then by hash.
 ORDER_BUCKETS = 1 << 16
-#: 64-bit words of a set's parity sketch.
+#: 64-bit words of a set's short parity sketch, which travels with its n-grams.
 SKETCH_WORDS = 4
 #: Up to so many document ids are broadcast to pick the texts that must be compared; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -48,15 +48,23 @@ def _key(values: np.ndarray) -> bytes:
     return b"".join(int(mix(values ^ np.uint64(s)).sum(dtype=np.uint64) + np.uint64(n)).to_bytes(8, "big") for s in (0x5851F42D, 0xC2B2AE35))
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
-    """The parity of the number of n-grams in each of 64 * SKETCH_WORDS buckets.
+def _sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """The parity of the number of n-grams in each of 64 * words buckets.
 
     An n-gram that only one of two sets has flips one bit, so sketches differ in no more bits than the sets in n-grams.
     """
-    odd = np.bincount((values >> np.uint64(32)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((values >> np.uint64(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _long_sketch(values: np.ndarray) -> np.ndarray:
+    """A sketch with a bit per n-gram at least, so that unlike sets differ in about half of them however large the sets are.
+
+    Its number of words is a power of two: the halves of one, combined by exclusive or, are the sketch of half the words.
+    """
+    return _sketch(values, 1 << max(0, (len(values) - 1) // 64).bit_length())
+
+
 def bucket_loads(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
     """How many n-gram occurrences (once per document) fall into each bucket; each task sends one row per bucket at most."""
 
@@ -78,11 +86,11 @@ def bucket_loads(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
 def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()),
-                        ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+                        ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("long_sketch", pa.list_(pa.int64()))])
     rank = np.argsort(np.argsort(loads, kind="stable"), kind="stable").astype(np.int32)
 
     def describe(columns):
-        ns, set_keys, group_keys, prefixes, sketches = [], [], [], [], []
+        ns, set_keys, group_keys, prefixes, sketches, long_sketches = [], [], [], [], [], []
         for values in _bytes_sets(columns["text"], width):
             n = len(values)
             short = n - -(-percent * n // 100) + 1 if n else 0
@@ -92,11 +100,12 @@ def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) ->
             group_keys.append(_key(np.append(prefix, np.uint64(n))))
             prefixes.append(prefix.view(np.int64))
             sketches.append(_sketch(values))
+            long_sketches.append(_long_sketch(values))
         return {"doc_id": columns["doc_id"], "n": ns, "set_key": set_keys, "group_key": group_keys, "prefix": prefixes,
-                "sketch": sketches}
+                "sketch": sketches, "long_sketch": long_sketches}
 
     return docs.mapInArrow(per_batch(describe, schema), "doc_id long, n int, set_key binary, group_key binary, "
-                            "prefix array<long>, sketch array<long>")
+                            "prefix array<long>, sketch array<long>, long_sketch array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -161,6 +170,26 @@ def _near(percent: int) -> str:
     return f"{100 + percent} * (a.n + b.n - ({apart})) >= {2 * percent} * (a.n + b.n)"
 
 
+def _folded(sketch: str, other: str) -> str:
+    """A long sketch, halved if the other one has half as many words."""
+    return (f"IF(size({sketch}) = 2 * size({other}), zip_with(slice({sketch}, 1, size({other})), "
+            f"slice({sketch}, size({other}) + 1, size({other})), (p, q) -> p ^ q), {sketch})")
+
+
+def _near_ends(percent: int) -> str:
+    """Long sketches of the structs a, b still allow the similarity; those of sets more than twofold apart are not compared."""
+    a, b = "a.long_sketch", "b.long_sketch"
+    apart = (f"IF(greatest(size({a}), size({b})) > 2 * least(size({a}), size({b})), 0, aggregate(zip_with("
+             f"{_folded(a, b)}, {_folded(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (sum, bits) -> sum + bits))")
+    return f"{100 + percent} * (a.n + b.n - {apart}) >= {2 * percent} * (a.n + b.n)"
+
+
+def _plausible(pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes whose long sketches allow the similarity, as (a, b)."""
+    return pairs.toDF("x", "y").join(ends.toDF("x", "a"), "x").join(ends.toDF("y", "b"), "y").where(
+        _near_ends(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of its set and the smallest doc_id its links reach.
@@ -178,9 +207,9 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     groups = materialize(filled.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
                          .withColumn("group_id", F.monotonically_increasing_id()), "jaccard-groups")
     classes = filled.groupBy("set_key").agg(F.first("group_key").alias("group_key"), F.min("doc_id").alias("doc_id"),
-                                            F.first("sketch").alias("sketch"))
+                                            F.first("sketch").alias("sketch"), F.first("long_sketch").alias("long_sketch"))
     classes = materialize(classes.join(groups.select("group_key", "group_id", "n"), "group_key").select(
-        "set_key", "group_id", "doc_id", "n", "sketch", F.monotonically_increasing_id().alias("class_id")),
+        "set_key", "group_id", "doc_id", "n", "sketch", "long_sketch", F.monotonically_increasing_id().alias("class_id")),
         "jaccard-classes")
 
     postings = groups.select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
@@ -201,10 +230,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     inside = classes.join(firsts.where("classes > 1").withColumnRenamed("class_id", "a"), "group_id").where(
         "class_id <> a").select("a", F.col("class_id").alias("b"))
-    ends = classes.select("class_id", F.struct("n", "sketch").alias("end"))
-    pairs = stars.unionByName(inside).distinct().toDF("x", "y").join(ends.toDF("x", "a"), "x").join(
-        ends.toDF("y", "b"), "y").where(_near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = materialize(pairs, "jaccard-pairs")
+    ends = classes.select("class_id", F.struct("n", "long_sketch").alias("end"))
+    pairs = materialize(_plausible(stars.unionByName(inside).distinct(), ends, percent), "jaccard-pairs")
     links = _tested(pairs, classes, docs, width, percent, "jaccard-first")
     roots = components(links, "jaccard-first")
 
@@ -223,7 +250,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
         "a.token = b.token AND a.root <> b.root AND (b.root = b.largest OR a.class_id < b.class_id) AND "
         + _fits(percent) + " AND " + _near(percent)))
     cross = cross.select(F.least("a.class_id", "b.class_id").alias("a"), F.greatest("a.class_id", "b.class_id").alias("b"))
-    cross = materialize(cross.distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
+    cross = _plausible(cross.distinct().join(pairs, ["a", "b"], "left_anti"), ends, percent)
+    cross = materialize(cross, "jaccard-cross")
     more = _tested(cross, classes, docs, width, percent, "jaccard-second")
 
     # links of the first round count as one star per component
