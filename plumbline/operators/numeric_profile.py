@@ -1,34 +1,22 @@
-"""Numerical profile of one table: disguised missing values, principal components, clusters."""
+"""Numerical profile of one table: disguised missing values, principal components."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import clustering
-from plumbline.functions.clustering import fit_once, silhouette_sum, squared_distances
 from plumbline.functions.columns import as_double, quoted
-from plumbline.functions.draws import uniform
 from plumbline.functions.moments import pair_frames
 from plumbline.functions.percentiles import MAX_VALUES, exact_percentiles
 
-# the helpers travel with the tasks, so executors need no copy of this package
-cloudpickle.register_pickle_by_value(clustering)
-
 # Fixed values of the numerical profile.
 MIN_FREQUENCY = 0.01
 FENCE_MULTIPLIER = 10
 VARIANCE_KEPT = 0.95
 MIN_LOADING = 0.3
-SAMPLE_ROWS = 10_000
-SAMPLE_SEED = 42
-FIRST_K, LAST_K, K_PATIENCE = 2, 20, 5
-STARTS = 10
 
 _BUCKETS = 4096
 _SUSPECTS = "table_name string, column_name string, value double, frequency double, gap_to_fence_iqr double"
@@ -151,122 +139,3 @@ def principal_components(table: str, df: DataFrame, columns: list[str]) -> Compo
                if abs(loadings[j, i]) >= MIN_LOADING]
     main = list(dict.fromkeys(c for _, _, c, _ in weights))
     return Components(spark.createDataFrame(rows, schema), spark.createDataFrame(weights, loading_schema), main)
-
-
-# --- clusters --------------------------------------------------------------------------------------
-
-def bounded_sample(df: DataFrame, columns: list[str], key: Column | None = None,
-                   size: int = SAMPLE_ROWS) -> DataFrame:
-    """Uniform sample of at most `size` rows, the same on every run.
-
-    Rows are thinned by their draw first, so the final ordering sees little more than `size` rows.
-    """
-    key = F.monotonically_increasing_id() if key is None else key
-    drawn = df.select(*[as_double(df, c).alias(c) for c in columns], uniform(f"sample-{SAMPLE_SEED}", key)
-                      .alias("__draw"))
-    rows = drawn.count()
-    if rows > size:
-        share = min(1.0, (size + 6 * size ** 0.5) / rows)
-        while share < 1.0 and drawn.filter(F.col("__draw") < share).count() < size:
-            share = min(1.0, share * 2)
-        drawn = drawn.filter(F.col("__draw") < share)
-    return drawn.orderBy("__draw").limit(size).drop("__draw")
-
-
-@dataclass
-class Clusters:
-    scores: DataFrame
-    centroids: DataFrame
-    best_k: int | None
-    best_score: float | None
-
-
-def _fits(spark, points, ks: list[int], starts: int) -> dict[int, tuple]:
-    """Best of `starts` runs per k; every (k, start) is a task of its own."""
-    shared = spark.sparkContext.broadcast(points)
-
-    def run(batches):
-        for batch in batches:
-            for k, start in zip(batch["k"], batch["start"]):
-                centers, _, inertia = fit_once(shared.value, int(k), SAMPLE_SEED + int(start))
-                yield pd.DataFrame({"k": [k], "start": [start], "inertia": [inertia],
-                                    "centers": [centers.ravel().tolist()]})
-
-    grid = spark.createDataFrame([(k, s) for k in ks for s in range(starts)], "k int, start int")
-    runs = grid.repartition(len(ks) * starts, "k", "start").mapInPandas(
-        run, "k int, start int, inertia double, centers array<double>")
-    best = runs.groupBy("k").agg(F.min_by("centers", F.struct("inertia", "start")).alias("centers"))
-    return {r["k"]: np.array(r["centers"]).reshape(r["k"], -1) for r in best.collect()}
-
-
-def _scores(spark, points, labels: dict[int, np.ndarray], block: int = 500) -> dict[int, float]:
-    """Mean silhouette per k; a task takes a block of points and measures it for every k."""
-    shared = spark.sparkContext.broadcast((points, labels))
-
-    def run(batches):
-        for batch in batches:
-            everything, found = shared.value
-            for start in batch["id"] * block:
-                stop = min(start + block, len(everything))
-                part = everything[start:stop]
-                distances = np.sqrt(squared_distances(part, everything))
-                distances[np.arange(stop - start), np.arange(start, stop)] = 0.0
-                for k, all_labels in found.items():
-                    total = silhouette_sum(part, all_labels[start:stop], distances, all_labels, k)
-                    yield pd.DataFrame({"k": [k], "total": [total]})
-
-    blocks = -(-len(points) // block)
-    sums = spark.range(0, blocks, 1, blocks).mapInPandas(run, "k int, total double")
-    return {r["k"]: r["total"] / len(points) for r in sums.groupBy("k").agg(F.sum("total").alias("total"))
-            .collect()}
-
-
-def clusters(table: str, df: DataFrame, columns: list[str], key: Column | None = None,
-             starts: int = STARTS) -> Clusters:
-    """K-means sweep over k on a bounded standardised sample, scored by silhouette.
-
-    The sample is at most 10,000 rows whatever the table holds; the (k, start) runs and the silhouette
-    blocks are spread over the cluster.
-    """
-    spark = df.sparkSession
-    score_schema = "table_name string, k int, score double"
-    centroid_schema = "table_name string, cluster int, share double, column_name string, centroid double"
-    complete = df.dropna(subset=columns)
-    sample = bounded_sample(complete, columns, key).toPandas().to_numpy(dtype=float)
-    if len(sample) == 0:
-        return Clusters(spark.createDataFrame([], score_schema), spark.createDataFrame([], centroid_schema),
-                        None, None)
-    mean, scale = sample.mean(0), sample.std(0)
-    scale = np.where(scale > 0, scale, 1.0)
-    points = (sample - mean) / scale
-
-    scores: dict[int, float] = {}
-    centers: dict[int, np.ndarray] = {}
-    best_k, best_score, ks = None, -1.0, list(range(FIRST_K, LAST_K + 1))
-    while ks:
-        possible = [k for k in ks if k <= len(points)]
-        if not possible:
-            break
-        fitted = _fits(spark, points, possible, starts)
-        labels = {k: squared_distances(points, c).argmin(1) for k, c in fitted.items()}
-        scorable = {k: found for k, found in labels.items() if 2 <= len(np.unique(found)) < len(points)}
-        if scorable:
-            scores.update(_scores(spark, points, scorable))
-            centers.update({k: fitted[k] for k in scorable})
-        for k in sorted(scorable):
-            if scores[k] > best_score:
-                best_k, best_score = k, scores[k]
-        # past the first sweep, go on one k at a time while the best is less than K_PATIENCE behind
-        following = max(ks) + 1
-        ks = [following] if best_k is not None and following < best_k + K_PATIENCE else []
-
-    score_rows = [(table, k, round(score, 4)) for k, score in sorted(scores.items())]
-    rows = []
-    if best_k is not None:
-        labels = squared_distances(points, centers[best_k]).argmin(1)
-        original = centers[best_k] * scale + mean
-        rows = [(table, c, round(float((labels == c).mean()), 4), name, round(float(original[c, j]), 4))
-                for c in range(best_k) for j, name in enumerate(columns)]
-    return Clusters(spark.createDataFrame(score_rows, score_schema),
-                    spark.createDataFrame(rows, centroid_schema), best_k,
-                    round(best_score, 4) if best_k is not None else None)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import numeric_columns, quoted
 from plumbline.operators import association, keys, numeric_profile
+from plumbline.operators.clusters import clusters as find_clusters
 from plumbline.operators import table_profile as tp
 from plumbline.operators.profile_store import Frames
 from plumbline.session import each, materialize
@@ -143,13 +144,12 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
         links = materialize(keys.discover(linked, own), "links")
         frames["profile_fk"] = links
         if numeric:
-            frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters, key))
+            frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters))
     return frames
 
 
 def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, columns: DataFrame,
-                    links: DataFrame, categorical: dict[str, list[str]], with_clusters: bool,
-                    key: str | None) -> Frames:
+                    links: DataFrame, categorical: dict[str, list[str]], with_clusters: bool) -> Frames:
     """What runs on numeric columns once it is known which keys other tables point at."""
     numerical: dict[str, list[str]] = {}
     for row in keys.numerical_columns(columns, links).orderBy("table_name", "ordinal").collect():
@@ -170,7 +170,7 @@ def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, col
         pca = numeric_profile.principal_components(t, clean, own)
         found["profile_pca"], found["profile_pca_loading"] = pca.components, pca.loadings
         if with_clusters:
-            grouped = numeric_profile.clusters(t, clean, own, quoted(key) if key else None)
+            grouped = find_clusters(t, clean, own)
             found["profile_kmeans"], found["profile_kmeans_score"] = grouped.centroids, grouped.scores
         return found
 

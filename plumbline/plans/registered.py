@@ -15,6 +15,7 @@ from plumbline.functions.columns import numeric_columns, quoted
 from plumbline.functions.draws import uniform
 from plumbline.operators import association, corruption, keys, numeric_profile, reconciliation
 from plumbline.operators import table_profile as tp
+from plumbline.operators.clusters import clusters
 from plumbline.operators.detection import Context, detect
 from plumbline.operators.profile_store import read_profiles
 from plumbline.plans.closed_loop import detect_tables, numbered_findings
@@ -247,7 +248,7 @@ def pca_profile(spark, folder):
 
 def kmeans_profile(spark, folder):
     lineitem = load(spark, folder, "lineitem")["lineitem"]
-    found = numeric_profile.clusters("lineitem", lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
+    found = clusters("lineitem", lineitem, ["l_quantity", "l_extendedprice", "l_discount"])
     return found.scores.withColumn("is_best", F.col("k") == F.lit(found.best_k))
 
 

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions.clustering import silhouette_sum, squared_distances
 from plumbline.functions.columns import as_double, is_date_text, nan_to_null, parse_datetime
 from plumbline.functions.percentiles import exact_percentiles
 from plumbline.operators import association, keys, numeric_profile
 from plumbline.operators import table_profile as tp
+from plumbline.operators.clusters import clusters
 from plumbline.plans.profile_dataset import (
     load_profile, profile_columns, profile_dataset, profile_json, read_calibration, save_profile,
 )
@@ -215,43 +215,36 @@ def test_principal_components_match_svd(spark):
     assert set(found.main_columns) == {"a", "b", "c"}
 
 
-def test_silhouette_matches_definition():
-    rng = np.random.default_rng(1)
-    points = np.concatenate([rng.normal(0, 1, (20, 2)), rng.normal(5, 1, (15, 2)), [[50.0, 50.0]]])
-    labels = np.array([0] * 20 + [1] * 15 + [2])
-    distances = np.sqrt(squared_distances(points, points))
-    np.fill_diagonal(distances, 0)
-    scores = []
-    for i in range(len(points)):
-        own = [distances[i, j] for j in range(len(points)) if labels[j] == labels[i] and j != i]
-        if not own:
-            scores.append(0.0)
-            continue
-        other = min(distances[i, labels == k].mean() for k in set(labels) - {labels[i]})
-        scores.append((other - np.mean(own)) / max(other, np.mean(own)))
-    parts = sum(silhouette_sum(points[s:s + 10], labels[s:s + 10], distances[s:s + 10], labels, 3)
-                for s in range(0, len(points), 10))
-    assert abs(parts - sum(scores)) < 1e-9
-
-
 def test_clusters_find_separate_groups(spark):
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.normal(m, 0.2, (60, 2)) for m in (0, 10, 20)])
-    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "x double, y double")
-    found = numeric_profile.clusters("t", df, ["x", "y"], starts=2)
+    rows = [tuple(map(float, r)) for r in data] + [(None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    found = clusters("t", df, ["x", "y"])
     assert found.best_k == 3 and found.best_score > 0.9
     shares = {r["cluster"]: r["share"] for r in found.centroids.collect()}
     assert all(abs(s - 1 / 3) < 1e-3 for s in shares.values())
-    few = numeric_profile.clusters("t", df.limit(1), ["x", "y"], starts=1)
-    assert few.best_k is None and few.scores.count() == 0
-
-
-def test_sample_is_bounded_and_repeatable(spark):
-    df = spark.range(5000).select(F.col("id").cast("double").alias("x"))
-    once = numeric_profile.bounded_sample(df, ["x"], F.col("x"), 300)
-    again = numeric_profile.bounded_sample(df.repartition(7), ["x"], F.col("x"), 300)
-    assert once.count() == 300
-    assert sorted(once.collect()) == sorted(again.collect())
+    means = [data[i * 60:(i + 1) * 60].mean(0).round(4).tolist() for i in range(3)]
+    rows = found.centroids.orderBy("cluster", "column_name").collect()
+    assert np.allclose([r["centroid"] for r in rows], np.ravel(means), atol=1e-3)
+    scaled = (data - data.mean(0)) / data.std(0)
+    apart = ((scaled[:, None] - scaled[None]) ** 2).sum(2).reshape(180, 3, 60).sum(2)
+    own = apart[np.arange(180), np.arange(180) // 60] / 59
+    other = np.where(np.arange(3) == np.arange(180)[:, None] // 60, np.inf, apart / 60).min(1)
+    assert abs(found.best_score - ((other - own) / np.maximum(own, other)).mean()) < 1e-4
+    # the same for other partitions
+    other = clusters("t", df.repartition(7), ["x", "y"])
+    assert sorted(other.scores.collect()) == sorted(found.scores.collect())
+
+
+def test_clusters_of_few_or_equal_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0)] * 40 + [(5.0, 2.0)] * 20, "x double, y double")
+    found = clusters("t", df, ["x", "y"], starts=2)
+    assert (found.best_k, found.best_score) == (2, 1.0)
+    assert sorted({r["share"] for r in found.centroids.collect()}) == [0.3333, 0.6667]
+    for few in (df.limit(0), df.limit(1), df.where("x = 1")):
+        found = clusters("t", few, ["x", "y"])
+        assert found.best_k is None and found.scores.count() == 0 and found.centroids.count() == 0
 
 
 def test_profile_is_saved_and_read(spark, tmp_path):
