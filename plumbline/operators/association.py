@@ -12,6 +12,8 @@ from plumbline.functions.moments import pair_frames
 from plumbline.operators.table_profile import union_all
 
 PAIRS_PER_SCAN = 64
+# Spark allows 64 grouping columns.
+COLUMNS_PER_GROUPING = 60
 
 _CORRELATION = "table_name string, col_a string, col_b string, r double"
 _CRAMER = "table_name string, col_a string, col_b string, v double"
@@ -72,6 +74,9 @@ def correlation_ratio(table: str, df: DataFrame, categorical: list[str],
     pairs = [(c, n) for c in categorical for n in numerical if c != n]
     if not pairs:
         return df.sparkSession.createDataFrame([], _RATIO)
+    if len(categorical) > COLUMNS_PER_GROUPING:
+        return union_all([correlation_ratio(table, df, categorical[at:at + COLUMNS_PER_GROUPING], numerical)
+                          for at in range(0, len(categorical), COLUMNS_PER_GROUPING)])
     kept = df.select(
         *[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)],
         *[as_double(df, n).alias(f"x{j}") for j, n in enumerate(numerical)])

@@ -215,6 +215,13 @@ def test_principal_components_match_svd(spark):
     assert set(found.main_columns) == {"a", "b", "c"}
 
 
+def test_correlation_ratio_of_many_columns(spark):
+    df = spark.range(30).selectExpr("id % 5 AS x", *[f"concat('v', id % {2 + i % 4}) AS k{i}" for i in range(70)])
+    found = association.correlation_ratio("t", df, df.columns[1:], ["x"]).collect()
+    assert len({r["categorical"] for r in found}) == len(found) == 70
+    assert {r["categorical"] for r in found if r["eta"] == 1.0} == {f"k{i}" for i in range(70) if 2 + i % 4 == 5}
+
+
 def test_clusters_find_separate_groups(spark):
     rng = np.random.default_rng(2)
     data = np.concatenate([rng.normal(m, 0.2, (60, 2)) for m in (0, 10, 20)])
