@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import decontaminate, mixing, ngram_jaccard, suffix_dedup, toxicity
 from plumbline.llm.common import table
-from plumbline.session import shared_dir
+from plumbline.session import materialize, shared_dir
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with at least this toxicity score are rejected.
@@ -29,14 +29,27 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five words, Jaccard 0.8) stays: the one with the smallest id.
+    """One row of each group of similar ones (five words, Jaccard 0.8) stays: one with the smallest id, null last.
 
-    Documents without words are in no group and stay. Rows that repeat a doc_id and its text are one document and stay together.
+    Rows that repeat a doc_id, or have none, are told apart by their text's hash; of rows that repeat both, the smallest by its
+    other columns stays. Rows without words are in no group and stay.
     """
-    found = ngram_jaccard.similar_components(docs, width=5, percent=80)
-    named = found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rejected = named.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return _without(docs, rejected, "doc_id").select(DOCUMENT_COLUMNS)
+    found = ngram_jaccard.similar_components(docs, width=5, percent=80, with_first=True).select(
+        F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "n_shingles", "first")
+    rows = docs.select(DOCUMENT_COLUMNS)
+    on = rows["doc_id"].eqNullSafe(F.col("of")) & (F.xxhash64(rows["text"]) == F.col("hash"))
+    per_key = found.where("n_shingles > 0").groupBy("of", "hash").agg(F.min("first").alias("first"), F.count("*").alias("copies"))
+    per_key = materialize(per_key.where("NOT first OR copies > 1"), "pipeline-keys")
+    # keys that are not one row already: none of them stays here, and one row of each first one is added again
+    alone = _without(rows, per_key.select("of", "hash"), on)
+    repeated = per_key.where("first").select("of", "hash")
+    n = repeated.count()
+    if not n:
+        return alone
+    copies = rows.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, on, "left_semi")
+    one = copies.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.min(F.struct(
+        "text", "lang", "source", "n_chars")).alias("row"))
+    return alone.unionByName(one.select("doc_id", "row.*").select(DOCUMENT_COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

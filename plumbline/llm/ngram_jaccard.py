@@ -85,7 +85,7 @@ def bucket_loads(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
 
 
 def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()),
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("group_key", pa.binary()),
                         ("prefix", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("long_sketch", pa.list_(pa.int64()))])
     rank = np.argsort(np.argsort(loads, kind="stable"), kind="stable").astype(np.int32)
 
@@ -101,10 +101,10 @@ def _described(docs: DataFrame, loads: np.ndarray, width: int, percent: int) ->
             prefixes.append(prefix.view(np.int64))
             sketches.append(_sketch(values))
             long_sketches.append(_long_sketch(values))
-        return {"doc_id": columns["doc_id"], "n": ns, "set_key": set_keys, "group_key": group_keys, "prefix": prefixes,
+        return {"doc_id": columns["doc_id"], "text_hash": columns["text_hash"], "n": ns, "set_key": set_keys, "group_key": group_keys, "prefix": prefixes,
                 "sketch": sketches, "long_sketch": long_sketches}
 
-    return docs.mapInArrow(per_batch(describe, schema), "doc_id long, n int, set_key binary, group_key binary, "
+    return docs.mapInArrow(per_batch(describe, schema), "doc_id long, text_hash long, n int, set_key binary, group_key binary, "
                             "prefix array<long>, sketch array<long>, long_sketch array<long>")
 
 
@@ -191,25 +191,31 @@ def _plausible(pairs: DataFrame, ends: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id",
-                       text: str = "text") -> DataFrame:
+                       text: str = "text", with_first: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of its set and the smallest doc_id its links reach.
 
+    `with_first` adds text_hash and `first`: whether the row's doc_id and text are those that its component is named by, the
+    smallest doc_id (null last) with the smallest hash of its texts. Rows that are equal in both are all first; a row without
+    words is first.
+
     Sets hold the distinct `width`-word n-grams of the text with A-Z lower-cased; a text with fewer words has its whole
     sequence as the only one. Null, empty and blank texts have the size 0 and link with nothing. Rows that repeat a doc_id
     stay rows of their own; an unlinked row's component is its own doc_id. A null doc_id stays null and is no component's
     name unless all of its members have none. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn(
+        "text_hash", F.xxhash64("text"))
     loads = bucket_loads(docs, width)
     described = materialize(_described(docs, loads, width, percent), "jaccard-described")
     filled = described.where("n > 0")
 
     groups = materialize(filled.groupBy("group_key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
                          .withColumn("group_id", F.monotonically_increasing_id()), "jaccard-groups")
-    classes = filled.groupBy("set_key").agg(F.first("group_key").alias("group_key"), F.min("doc_id").alias("doc_id"),
+    classes = filled.groupBy("set_key").agg(F.first("group_key").alias("group_key"), F.min(F.struct(
+                                                F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"),
                                             F.first("sketch").alias("sketch"), F.first("long_sketch").alias("long_sketch"))
     classes = materialize(classes.join(groups.select("group_key", "group_id", "n"), "group_key").select(
-        "set_key", "group_id", "doc_id", "n", "sketch", "long_sketch", F.monotonically_increasing_id().alias("class_id")),
+        "set_key", "group_id", "first", F.col("first.doc_id").alias("doc_id"), "n", "sketch", "long_sketch", F.monotonically_increasing_id().alias("class_id")),
         "jaccard-classes")
 
     postings = groups.select("group_id", "n", F.posexplode("prefix").alias("at", "token"))
@@ -258,9 +264,12 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(stars.unionByName(more), "jaccard-all")
     named = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "set_key", "doc_id", F.coalesce("root", "class_id").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "root").select("set_key", "component_id", F.lit(True).alias("known"))
-    return described.select("doc_id", "n", "set_key").join(named, "set_key", "left").select(
+        "set_key", "first", F.coalesce("root", "class_id").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("named_by"))
+    named = named.drop("first").join(smallest, "root").select("set_key", "named_by")
+    out = described.select("doc_id", "text_hash", "n", "set_key").join(named, "set_key", "left")
+    own = F.col("doc_id").eqNullSafe(F.col("named_by.doc_id")) & (F.col("text_hash") == F.col("named_by.text_hash"))
+    return out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(F.col("n") > 0, F.col("named_by.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *(["text_hash", ((F.col("n") == 0) | own).alias("first")] if with_first else []))

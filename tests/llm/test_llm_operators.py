@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import cap_filters, chat, decontaminate, language, licenses, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, score double"
@@ -46,6 +47,33 @@ def test_ngram_components_match_brute_force(spark):
     assert ngram_jaccard.similar_components(docs_frame(spark, []), 3, 90).count() == 0
 
 
+def test_one_row_of_similar_ones_stays_and_keeps_its_text(spark):
+    a, b, c, d = (sentence(40 + k, 60) for k in range(4))
+    near = a.split()
+    near[30] = "changed"
+    near = " ".join(near)
+    rows = [(1, a), (1, a), (2, near), (None, near), (None, b), (None, b), (None, c), (5, d), (5, near), (6, d), (5, sentence(60, 60)),
+            (7, None), (7, None), (None, None), (8, "   "), (9, sentence(61, 60)), (9, sentence(61, 60).upper())]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    own, root = [sets(t, 5) for _, t in rows], list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if own[i] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(root[i] if own[i] else -1 - i, []).append(i)
+    ids = lambda r: (r[0] is None, r[0] or 0)
+    wanted = sorted(min(ids(rows[i]) for i in members) for members in groups.values())
+    one = corpus_pipeline.one_of_similar(spark, frame, "")
+    kept = [(r["doc_id"], r["text"]) for r in one.collect()]
+    assert sorted(ids(r) for r in kept) == wanted and set(kept) <= set(rows)
+    left = corpus_pipeline.without_repeats(spark, one, "")
+    assert sorted(kept, key=str) == sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+
+
 def brute_repeats(texts):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i:i + 200] for d in data for i in range(len(d) - 199))
