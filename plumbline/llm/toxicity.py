@@ -27,7 +27,9 @@ LEXICON_WORDS = 2_000
 LOOK_ALIKES = dict(zip("аеіїоорсухѕԁһјкмтвнΑΒΕΖΗΙΚΜΝΟΡΤΥΧαοιρνκτυ", "aeiioopcyxsdhjkmtbhabezhikmnoptyxaoipvktu"))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
-_FOLD = {ord(a): b for a, b in (LOOK_ALIKES | LEET).items()} | {ord("İ"): "i"} | {
+# Letters are folded before they are lower-cased, so capitals are in the map as well; Greek ones that look unlike their small
+# letter have their own entry.
+_FOLD = {ord(a): b for a, b in ({a.upper(): b for a, b in LOOK_ALIKES.items()} | LOOK_ALIKES | LEET).items()} | {ord("İ"): "i"} | {
     c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
 _FOLD_ASCII = bytes(ord(LEET.get(chr(c).lower(), chr(c).lower())) for c in range(128)) + bytes(range(128, 256))
 _TOKEN = re.compile(r"[^\W\d_]+")

@@ -183,6 +183,14 @@ def test_toxic_words_are_learned_and_matched_folded(spark):
     assert toxicity.learn([]).weights == {} and toxicity.score(docs_frame(spark, []), lexicon).count() == 0
 
 
+def test_capital_look_alikes_are_folded():
+    small = "аеіїоорсухѕԁһјкмтвн"
+    assert toxicity.fold(small.upper()) == toxicity.fold(small) == "aeiioopcyxsdhjkmtbh"
+    assert toxicity.fold("ΝΥνυ") == "nyvu"
+    machine = toxicity.Lexicon({"idiot": 2.0}).automaton()
+    assert [toxicity.matches(machine, t)[1] for t in ("you ІDІОТ", "you іdіот", "ІДІОТ")] == [1, 1, 0]
+
+
 def test_network_sees_the_last_bytes(spark):
     good = [(1, sentence(400 + i, 30)) for i in range(60)]
     bad = [(0, sentence(500 + i, 25) + " %%% $$$ %%% $$$ %%%") for i in range(60)]
