@@ -1,12 +1,16 @@
 """Licence notices in documents: a trained paragraph classifier confirmed by templates, in DataFrame functions only.
 
-A paragraph is a line; its features are the word 2-grams and 3-grams that also occur in a template. A sparse multinomial logistic
-regression is fitted on templates with words dropped at random and on paragraphs of the corpus that share no feature with
+A paragraph is what stands between blank lines, however it is wrapped; its features are the word 2-grams and 3-grams that also
+occur in a template. A place is a stretch of a paragraph, as long as a template, whose n-grams stand in the template's order up to
+SLACK inserted or missing words. Every family of which a place holds enough of a template is compared there: by a sparse
+multinomial logistic regression, as the family's probability against the unknown class on the place's own n-grams, and with the
+other families at the same place, of which the best confirmed stays. So notices side by side are all found.
+
+The regression is fitted on templates with words dropped at random and on paragraphs of the corpus that share no feature with
 a template (the unknown class). The probability from which a family is believed is calibrated on variants and paragraphs that were
-not fitted. A believed family counts when the paragraph also holds enough of one of the family's templates.
+not fitted.
 
-A paragraph without any template n-gram has the constant score, which is unknown, so only n-grams that meet the vocabulary,
-which is as large as the templates, leave the scan.
+Only n-grams that meet the vocabulary, which is as large as the templates, leave the scan.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.session import materialize
 
 UNKNOWN = "unknown"
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 62)
 #: Variants of each template, and paragraphs of the corpus at most, that the classifier is fitted on.
 VARIANTS, FIT_PARAGRAPHS = 24, 2_000
 #: Share of a template's n-grams that a paragraph must hold to confirm its family.
 CONFIRMED = 0.6
+#: Words by which n-grams of one notice may be out of step, and words to a block of a paragraph.
+SLACK, BLOCK = 8, 64
 
 # Short notices of public licences, by family.
 TEMPLATES = {
@@ -88,10 +96,25 @@ def ngrams(column: str) -> Column:
     return F.expr(f"concat({two}, {three})")
 
 
+def _gram_key(w: str, n: int, i: str = "0") -> str:
+    return "xxhash64(" + ", ".join(f"{w}[{i} + {k}]" for k in range(n)) + ")"
+
+
 def _paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, paragraph, w): the words of each line that has two or more."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "text_hash", "paragraph", words(F.col("line")).alias("w"))
+    """(doc_id, text_hash, paragraph, w): the words of each part between blank lines."""
+    parts = docs.select("doc_id", "text_hash", F.posexplode_outer(F.split("text", r"\n[ \t\r]*\n")).alias("paragraph", "part"))
+    return parts.select("doc_id", "text_hash", "paragraph", words(F.col("part")).alias("w"))
+
+
+def _placed(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, at, two, three): keys of the 2-gram and 3-gram (null at the end) that begin at each word of `w`."""
+    return rows.where("size(w) >= 2").select(*keep, F.expr(
+        f"inline(transform(sequence(0, size(w) - 2), i -> struct(i AS at, {_gram_key('w', 2, 'i')} AS two, "
+        f"IF(i + 2 < size(w), {_gram_key('w', 3, 'i')}, NULL) AS three)))"))
+
+
+def _either(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, "at", F.explode(F.array("two", "three")).alias("gram")).where("gram IS NOT NULL")
 
 
 class Model:
@@ -140,7 +163,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
                   [float(x) for x in constant], 0.5)
     seen = fitted.transform(counted.transform(rows.where("tested"))).select("family", vector_to_array(
         "probability").alias("p"))
-    best = F.array_max(F.slice("p", 2, len(families) - 1))
+    best = F.array_max(F.transform(F.slice("p", 2, len(families) - 1), lambda p: p / (p + F.col("p")[0])))
     quantiles = seen.withColumn("best", best).agg(
         F.max(F.when(F.col("family") == UNKNOWN, F.col("best"))).alias("noise"),
         F.percentile_approx(F.when(F.col("family") != UNKNOWN, F.col("best")), 0.02).alias("signal")).first()
@@ -150,53 +173,70 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 
 
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, paragraph, family, probability, likeness, confirmed) for each paragraph with a believed family.
+    """(doc_id, text_hash, paragraph, at, family, probability, likeness, confirmed) for each place that holds enough of a template.
 
-    `paragraph` is the line's number, `likeness` the largest share of a template of the family that it holds; `confirmed` is
-    likeness of at least CONFIRMED. Null and empty texts give no row, nor do texts without letters or digits. Equal rows are one;
-    rows that repeat a doc_id with another text are told apart by its hash. Other columns are ignored; an empty table gives an
-    empty result.
+    `paragraph` is the number of the part between blank lines, `at` the word in it at which the notice would begin, `likeness` the
+    share of the template that is held, at least CONFIRMED; `probability` is the family's against unknown. `confirmed` is whether
+    it is believed and no other believed family holds the same place better (by likeness, then by n-grams held, then by name).
+    Null and empty texts give no row, nor do texts without letters or digits. Equal rows are one; rows that repeat a doc_id with
+    another text are told apart by its hash. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL").withColumn(
         "text_hash", F.xxhash64("text"))
-    vocabulary = spark.createDataFrame(model.vocabulary, "name string, weights array<double>").select(
-        F.xxhash64("name").alias("gram"), "weights")
-    grams = _paragraphs(docs).select("doc_id", "text_hash", "paragraph", F.explode_outer(
-        F.transform(ngrams("w"), lambda g: F.xxhash64(g))).alias("gram"))
-    # the vocabulary is as large as the templates
-    hits = grams.join(F.broadcast(vocabulary.select("gram")), "gram").distinct()
-    hits = materialize(hits, "licence-hits")
+    named = spark.createDataFrame(model.vocabulary, "name string, weights array<double>").withColumn("w", F.split("name", " "))
+    vocabulary = named.select(F.expr(f"IF(size(w) = 2, {_gram_key('w', 2)}, xxhash64(w[0], w[1], get(w, 2)))").alias("gram"), "weights")
+    twos = named.where("size(w) = 2").select(F.expr(_gram_key("w", 2)).alias("two"))
     place = ["doc_id", "text_hash", "paragraph"]
-    scores = [F.sum(F.col("weights")[k]).alias(f"s{k}") for k in range(len(model.families))]
-    logits = hits.join(F.broadcast(vocabulary), "gram").groupBy(*place).agg(*scores)
-    logits = logits.select(*place, F.array(*[F.col(f"s{k}") + F.lit(c) for k, c in enumerate(model.constant)]).alias("z"))
-    powers = F.transform("z", lambda z: F.exp(z - F.array_max("z")))
-    total = F.aggregate("e", F.lit(0.0), lambda a, e: a + e)
-    best = logits.withColumn("e", powers).withColumn("p", F.transform("e", lambda e: e / total)).withColumn(
-        "probability", F.array_max(F.slice("p", 2, len(model.families) - 1)))
-    best = best.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position(
-        F.col("p"), F.col("probability")).cast("int"))).where((F.col("probability") >= model.level) & (F.col("family") != UNKNOWN))
-    own = templates(spark).select("family", "number", F.explode(F.array_distinct(ngrams("w"))).alias("g")).select(
-        "family", "number", F.xxhash64("g").alias("gram"))
-    own = own.join(own.groupBy("family", "number").agg(F.count("*").alias("size")), ["family", "number"])
-    found = best.select(*place, "family", "probability")
-    held = hits.join(F.broadcast(own), "gram").groupBy(*place, "family", "number").agg(
-        (F.count("*") / F.max("size")).alias("share")).groupBy(*place, "family").agg(F.max("share").alias("likeness"))
-    keys = [found[c].eqNullSafe(held[c]) for c in (*place, "family")]
-    on = keys[0]
-    for k in keys[1:]:
-        on = on & k
-    likeness = F.coalesce(held["likeness"], F.lit(0.0))
-    return found.join(held, on, "left").select(
-        *[found[c] for c in (*place, "family")], "probability", likeness.alias("likeness"), (likeness >= CONFIRMED).alias("confirmed"))
+    # the vocabulary is as large as the templates, and holds the 2-gram that each of its 3-grams begins with
+    hits = _placed(_paragraphs(docs), *place).join(F.broadcast(twos), "two", "left_semi")
+    hits = _either(hits, *place).join(F.broadcast(vocabulary.select("gram")), "gram", "left_semi").distinct()
+    hits = materialize(hits.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "licence-hits")
+
+    own = _either(_placed(templates(spark), "family", "number", "w"), "family", "number", "w").groupBy("family", "number").agg(
+        F.max(F.size("w")).alias("long"), F.count_distinct("gram").alias("size"), F.collect_list(F.struct("at", "gram")).alias("all"))
+    own = own.select("family", "number", "long", "size", F.expr("inline(all)")).withColumnRenamed("at", "offset")
+    of = [*place, "family", "number", "long", "size"]
+    lines = hits.join(F.broadcast(own), "gram").groupBy(*of, (F.col("at") - F.col("offset")).alias("start")).agg(
+        F.collect_set("gram").alias("grams"))
+    near = lines.withColumn("bucket", F.explode(F.expr(f"array(floor(start / {SLACK}), floor(start / {SLACK}) - 1)")))
+    near = near.groupBy(*of, "bucket").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"), F.max(F.struct(
+        F.size("grams").alias("n"), (-F.col("start")).alias("back"))).alias("most"))
+    near = near.select(*place, "family", "long", (-F.col("most.back")).alias("at"), F.size("grams").alias("held"),
+                       (F.size("grams") / F.col("size")).alias("likeness")).where(f"likeness >= {CONFIRMED}")
+    best = near.groupBy(*place, "family", "at").agg(F.max(F.struct("likeness", "held", "long")).alias("best"))
+    found = materialize(best.select(*place, "family", "at", "best.*"), "licence-places")
+
+    reach = found.withColumn("block", F.explode(F.expr(
+        f"sequence(floor((at - {SLACK}) / {BLOCK}), floor((at + long + {SLACK}) / {BLOCK}))")))
+    block = F.floor(F.col("at") / BLOCK).alias("block")
+    inside = reach.withColumnRenamed("at", "begins").join(hits.select(*place, "at", "gram", block), [*place, "block"]).where(
+        f"at BETWEEN begins - {SLACK} AND begins + long + {SLACK}")
+    number = F.array_position(F.array(*[F.lit(f) for f in model.families]), F.col("family")).cast("int")
+    constant = F.array(*[F.lit(c) for c in model.constant])
+    odds = inside.select(*place, "family", "begins", "gram").distinct().join(F.broadcast(vocabulary), "gram").groupBy(
+        *place, "family", "begins").agg(F.sum(F.element_at("weights", number) - F.col("weights")[0]).alias("z"))
+    odds = odds.withColumn("z", F.col("z") + F.element_at(constant, number) - constant[0])
+    odds = odds.withColumn("probability", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), "z"))))).drop("z")
+    found = materialize(found.join(odds.withColumnRenamed("begins", "at"), [*place, "family", "at"]), "licence-scored")
+
+    believed = found.where(F.col("probability") >= model.level).withColumn(
+        "block", F.explode(F.expr(f"sequence(floor(at / {BLOCK}), floor((at + long) / {BLOCK}))")))
+    worse = believed.alias("a").join(believed.alias("b"), [*place, "block"]).where(
+        "a.family <> b.family AND 2 * (least(a.at + a.long, b.at + b.long) - greatest(a.at, b.at)) >= least(a.long, b.long) AND "
+        "struct(b.likeness, b.held, b.family) > struct(a.likeness, a.held, a.family)").select(
+        *place, F.col("a.family").alias("family"), F.col("a.at").alias("at"), F.lit(True).alias("worse")).distinct()
+    confirmed = (F.col("probability") >= model.level) & F.col("worse").isNull()
+    return found.join(worse, [*place, "family", "at"], "left").select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text_hash", "paragraph", "at", "family", "probability",
+        "likeness", confirmed.alias("confirmed"))
 
 
 def summarize(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, licenses, probability) for every row of `docs`: confirmed families, sorted, and the largest
-    probability of a confirmed paragraph (0 without one)."""
+    probability of a confirmed notice (0 without one)."""
     per_doc = found.where("confirmed").groupBy("doc_id", "text_hash").agg(
-        F.count("*").alias("n_paragraphs"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("licenses"),
+        F.count_distinct("paragraph").alias("n_paragraphs"), F.concat_ws(",", F.array_sort(F.collect_set("family"))).alias("licenses"),
         F.max("probability").alias("probability")).withColumnsRenamed({"doc_id": "of", "text_hash": "hash"})
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"))
     return rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["of"]) & (rows["text_hash"] == per_doc["hash"]), "left").select(

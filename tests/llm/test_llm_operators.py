@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -220,3 +221,19 @@ def test_licences_are_confirmed_by_templates(spark):
     found = [r["licenses"] for r in licenses.summarize(df, licenses.scan(df, model)).orderBy("doc_id").collect()]
     assert found == ["apache", "mit", "", "", "", ""]
     assert licenses.scan(df.limit(0), model).count() == 0
+
+
+def wrapped(text, columns=72, prefix=" * "):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, columns))
+
+
+def test_wrapped_and_neighbouring_notices_are_found(spark):
+    whole = {family: max(texts, key=len) for family, texts in licenses.TEMPLATES.items()}
+    lesser = whole["gpl"].replace("General Public", "Lesser General Public")
+    cases = [(wrapped(whole[family]), family) for family in ("apache", "gpl", "lgpl", "agpl", "bsd", "isc", "mit", "mpl")]
+    cases += [(wrapped(lesser, 40), "lgpl"), ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", "apache,mit"),
+              (sentence(70, 90) + " under the terms of the of the license " + " ".join([whole["isc"], sentence(71, 300), whole["bsd"]]), "bsd,isc"),
+              ("Licensed under CC BY-SA 4.0.", "cc-by-sa"), ("it is subject to the terms of the deal, in the case of any of the parties", "")]
+    df = docs_frame(spark, [text for text, _ in cases]).unionByName(spark.createDataFrame([(None, cases[0][0], "", "", 0.0)], DOCS))
+    found = {r["doc_id"]: (r["licenses"], r["n_paragraphs"]) for r in licenses.summarize(df, licenses.scan(df, licenses.fit(df))).collect()}
+    assert found == {i: (want, int(bool(want))) for i, (_, want) in enumerate(cases)} | {None: ("apache", 1)}
