@@ -6,9 +6,9 @@ SLACK inserted or missing words. Every family of which a place holds enough of a
 multinomial logistic regression, as the family's probability against the unknown class on the place's own n-grams, and with the
 other families at the same place, of which the best confirmed stays. So notices side by side are all found.
 
-The regression is fitted on templates with words dropped at random and on paragraphs of the corpus that share no feature with
-a template (the unknown class). The probability from which a family is believed is calibrated on variants and paragraphs that were
-not fitted.
+The regression is fitted on templates with words dropped at random and on stretches of ordinary paragraphs of the corpus, which may
+share features with templates but hold none of them (the unknown class). The probability from which a family is believed is
+calibrated on variants and stretches that were not fitted.
 
 Only n-grams that meet the vocabulary, which is as large as the templates, leave the scan.
 """
@@ -25,7 +25,8 @@ from plumbline.session import materialize
 UNKNOWN = "unknown"
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 62)
-#: Variants of each template, and paragraphs of the corpus at most, that the classifier is fitted on.
+#: Variants of each template, and paragraphs of the corpus and stretches with template n-grams out of them at most, that the
+#: classifier is fitted on.
 VARIANTS, FIT_PARAGRAPHS = 24, 2_000
 #: Share of a template's n-grams that a paragraph must hold to confirm its family.
 CONFIRMED = 0.6
@@ -136,17 +137,25 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         "w", F.filter("w", lambda x, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64("variant", "template", i), F.lit(8)) > 0)))
     known = known.select("family", "variant", ngrams("w").alias("grams"))
     vocabulary = {r["gram"] for r in templates(spark).select(F.explode(ngrams("w")).alias("gram")).distinct().collect()}
-    of_templates = templates(spark).select(F.explode(ngrams("w")).alias("gram")).distinct()
+    of_templates = templates(spark).select("family", "number", F.explode(F.array_distinct(ngrams("w"))).alias("gram"))
+    of_templates = of_templates.join(of_templates.groupBy("family", "number").agg(F.count("*").alias("size")), ["family", "number"])
 
     rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), F.col(text).alias("text"))
     rows = _paragraphs(rows).where("size(w) >= 2").select("w", F.xxhash64("w").alias("key"))
     total = rows.count()
     share = int(min(1.0, FIT_PARAGRAPHS / max(1, total)) * 1_000_000)
     drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).groupBy("key").agg(F.first("w").alias("w"))
-    grams = materialize(drawn.select("key", ngrams("w").alias("grams")), "licence-sample")
-    holding = grams.select("key", F.explode("grams").alias("gram")).join(F.broadcast(of_templates), "gram").select("key").distinct()
-    other = grams.join(holding, "key", "left_anti").select(
-        F.lit(UNKNOWN).alias("family"), F.pmod("key", F.lit(VARIANTS)).cast("int").alias("variant"), "grams")
+    stretches = drawn.select("key", F.explode(F.expr(
+        f"transform(sequence(0, size(w) - 1, {BLOCK // 2}), i -> slice(w, i + 1, {BLOCK}))")).alias("w"))
+    stretches = materialize(stretches.select("key", F.xxhash64("w").alias("part"), F.array_distinct(ngrams("w")).alias("grams")),
+                            "licence-sample")
+    held = stretches.select("key", "part", F.explode("grams").alias("gram")).distinct().join(F.broadcast(of_templates), "gram")
+    held = materialize(held.groupBy("key", "part", "family", "number").agg((F.count("*") / F.max("size")).alias("share")), "licence-held")
+    # ordinary text: shares n-grams with templates, and no template confirms any part of its paragraph
+    ordinary = held.groupBy("key").agg(F.max("share").alias("most")).where(F.col("most") < CONFIRMED)
+    ordinary = held.join(ordinary, "key", "left_semi").select("part").distinct().orderBy(F.hash("part"), "part").limit(FIT_PARAGRAPHS)
+    other = stretches.join(ordinary, "part", "left_semi").groupBy("part").agg(F.first("grams").alias("grams")).select(
+        F.lit(UNKNOWN).alias("family"), F.pmod("part", F.lit(VARIANTS)).cast("int").alias("variant"), "grams")
     # an empty paragraph is unknown, whatever the corpus holds
     blank = spark.range(VARIANTS).select(F.lit(UNKNOWN).alias("family"), F.col("id").cast("int").alias("variant"),
                                          F.array().cast("array<string>").alias("grams"))

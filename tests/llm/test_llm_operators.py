@@ -237,3 +237,23 @@ def test_wrapped_and_neighbouring_notices_are_found(spark):
     df = docs_frame(spark, [text for text, _ in cases]).unionByName(spark.createDataFrame([(None, cases[0][0], "", "", 0.0)], DOCS))
     found = {r["doc_id"]: (r["licenses"], r["n_paragraphs"]) for r in licenses.summarize(df, licenses.scan(df, licenses.fit(df))).collect()}
     assert found == {i: (want, int(bool(want))) for i, (_, want) in enumerate(cases)} | {None: ("apache", 1)}
+
+
+def test_ordinary_words_of_notices_are_not_believed(spark):
+    texts = [f"{sentence(800 + i, 30)} is subject to the terms of the {sentence(900 + i, 30)}" for i in range(60)]
+    texts += [f"{sentence(1000 + i, 9)} in compliance with the {sentence(1100 + i, 9)}" for i in range(60)]
+    model = licenses.fit(docs_frame(spark, texts))
+    weights = dict(model.vocabulary)
+
+    def beliefs(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        grams = {" ".join(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
+        z = np.array(model.constant) + sum(np.array(weights[g]) for g in grams if g in weights)
+        return dict(zip(model.families[1:], 1 / (1 + np.exp(z[0] - z[1:]))))
+
+    for text in ("it is subject to the terms of the deal", "in compliance with the law", "nothing"):
+        assert max(beliefs(text).values()) < model.level
+    # they speak for the unknown class, which holds such text
+    assert all(max(weights[g][0] for g in grams) > 0 for grams in (("subject to", "subject to the", "terms of the"), ("in compliance", "compliance with")))
+    for family, known in licenses.TEMPLATES.items():
+        assert all(beliefs(text)[family] >= model.level for text in known)
