@@ -96,4 +96,34 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM summed
 """
 
-STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op5_chat_examples": OP5, "op7_source_mix": OP7}
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) AS s(size)),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS left_part, array_to_string(w[k + 1 : size], ' ') AS right_part
+  FROM candidates, (VALUES (1), (2)) AS c(k) WHERE k < size),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN counts x ON x.lang = cuts.lang AND x.phrase = left_part JOIN counts y ON y.lang = cuts.lang AND y.phrase = right_part),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE size = 3) GROUP BY ALL),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held ON held.lang = lowest.lang AND held.phrase = lowest.phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals ON totals.lang = kept.lang
+QUALIFY rank <= 2000
+"""
+
+STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op5_chat_examples": OP5, "op7_source_mix": OP7,
+              "op13_collocations": OP13}

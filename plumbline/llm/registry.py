@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import cap_filters, chat, decontaminate, language, licenses, mixing, ngram_jaccard, quality, suffix_dedup, toxicity
+from . import (cap_filters, chat, collocations, decontaminate, language, licenses, mixing, ngram_jaccard, periodic, quality,
+               suffix_dedup, token_index, toxicity)
 from .common import table
 from .fitting import remainder
 
@@ -71,6 +75,43 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_token_index(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """`tokenizer` is the path of a tokenizer's JSON file on the driver; executors get its content."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents")
+    store = token_index.write_store(docs, Path(tokenizer).read_text(encoding="utf-8"), end=2)
+    return token_index.fetch(docs, store).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def looped_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the documents, drawn by id, end in repetitions of some of their words."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), looped_tail)
+    told = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = periodic.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", told), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cap_filters": op1_cap_filters,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -82,4 +123,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_token_index": op11_token_index,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
