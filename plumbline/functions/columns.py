@@ -26,19 +26,22 @@ TIME_OF_DAY = "[ H:mm[:ss]]"
 
 # No accepted date layout is longer than this many bytes.
 MAX_DATE_BYTES = 64
-# Longer strings are counted under their SHA-256, so a shuffle never carries whole documents.
+# Longer strings are counted under their first characters and their SHA-256, so a shuffle never carries whole documents.
 MAX_KEY_BYTES = 64
+KEY_PREFIX = 32
+# Families of cell keys that hold strings.
+SHORT_TEXT, LONG_TEXT = 1, 4
 
 _TWO_53 = float(2 ** 53)
 _TWO_63 = float(2 ** 63)
 
 
-def _name_sql(name: str) -> str:
+def name_sql(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
 def quoted(name: str) -> Column:
-    return F.col(_name_sql(name))
+    return F.col(name_sql(name))
 
 
 def base_type(data_type: T.DataType) -> str | None:
@@ -71,15 +74,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if base_type(f.dataType) in ("int", "float", "bool")]
 
 
+def double_sql(df: DataFrame, name: str) -> str:
+    """A number or boolean as a double; one text, since every part of a composed column is a call into the JVM."""
+    column = name_sql(name)
+    return f"CAST(CAST({column} AS INT) AS DOUBLE)" if isinstance(df.schema[name].dataType, T.BooleanType) else f"CAST({column} AS DOUBLE)"
+
+
 def as_double(df: DataFrame, name: str) -> Column:
-    column = quoted(name)
-    if isinstance(df.schema[name].dataType, T.BooleanType):
-        return column.cast("int").cast("double")
-    return column.cast("double")
+    return F.expr(double_sql(df, name))
 
 
 def _parse_sql(name: str) -> str:
-    text = _name_sql(name)
+    text = name_sql(name)
     slashed = f"translate(trim({text}), '-', '/')"
 
     def first_fit(layouts: tuple[str, ...]) -> str:
@@ -97,57 +103,61 @@ def parse_datetime(name: str) -> Column:
     return F.expr(_parse_sql(name))
 
 
+def date_text_sql(name: str) -> str:
+    text = name_sql(name)
+    return f"""CASE WHEN octet_length(trim({text})) <= {MAX_DATE_BYTES} AND {text} RLIKE '{DATE_SEPARATOR}'
+        AND {text} RLIKE '[0-9]' THEN ({_parse_sql(name)}) IS NOT NULL ELSE false END"""
+
+
 def is_date_text(name: str) -> Column:
     """True when the column's string parses as a date and holds a date separator."""
-    text = _name_sql(name)
-    return F.expr(f"""CASE WHEN octet_length(trim({text})) <= {MAX_DATE_BYTES} AND {text} RLIKE '{DATE_SEPARATOR}'
-        AND {text} RLIKE '[0-9]' THEN ({_parse_sql(name)}) IS NOT NULL ELSE false END""")
+    return F.expr(date_text_sql(name))
 
 
 def epoch_micros(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def cell_key(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+def cell_sql(df: DataFrame, name: str) -> tuple[str, str, str]:
     """(family, num, txt) under which equal values of any two columns meet.
 
     Numbers meet numbers (1 = 1.0), strings meet strings, and a number never meets a string. Whole
     numbers a double cannot hold exactly are kept as digits. Both keys are NULL for a NULL cell.
     """
-    column = quoted(name)
-    data_type = df.schema[name].dataType
+    column, data_type = name_sql(name), df.schema[name].dataType
     kind = base_type(data_type)
-    no_num, no_txt = F.lit(None).cast("double"), F.lit(None).cast("string")
-
-    def family(code: int) -> Column:
-        return F.lit(code).cast("tinyint")
-
+    no_num, no_txt = "CAST(NULL AS DOUBLE)", "CAST(NULL AS STRING)"
     if kind == "bool" or isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType)):
-        return family(0), as_double(df, name), no_txt
+        return "0Y", double_sql(df, name), no_txt
     if isinstance(data_type, T.DecimalType):
-        as_num = column.cast("double")
-        exact = as_num.cast(data_type) == column
-        return (F.when(exact, family(0)).otherwise(family(2)), F.when(exact, as_num),
-                F.when(~exact, column.cast("string")))
+        as_num = double_sql(df, name)
+        exact = f"CAST({as_num} AS {data_type.simpleString()}) = {column}"
+        return (f"CASE WHEN {exact} THEN 0Y ELSE 2Y END", f"CASE WHEN {exact} THEN {as_num} END",
+                f"CASE WHEN NOT ({exact}) THEN CAST({column} AS STRING) END")
     if kind in ("int", "float"):
         # compared against both ends: abs() of the smallest long would overflow
         if kind == "int":
-            wide = (column >= F.lit(2 ** 53)) | (column <= F.lit(-(2 ** 53)))
+            wide, digits = f"({column} >= {2 ** 53}L OR {column} <= {-(2 ** 53)}L)", f"CAST({column} AS STRING)"
         else:
-            size = F.abs(column.cast("double"))
-            wide = (size >= F.lit(_TWO_53)) & (size < F.lit(_TWO_63))
-        digits = column.cast("bigint").cast("string") if kind == "int" else (
-            F.when(wide, column).try_cast("bigint").cast("string"))
-        return (F.when(wide, family(2)).otherwise(family(0)),
-                F.when(~wide, column.cast("double")), F.when(wide, digits))
+            size = f"abs({double_sql(df, name)})"
+            wide = f"({size} >= {_TWO_53!r}D AND {size} < {_TWO_63!r}D)"
+            digits = f"CAST(try_cast(CASE WHEN {wide} THEN {column} END AS BIGINT) AS STRING)"
+        return (f"CASE WHEN {wide} THEN 2Y ELSE 0Y END", f"CASE WHEN NOT {wide} THEN CAST({column} AS DOUBLE) END",
+                f"CASE WHEN {wide} THEN {digits} END")
     if kind == "str":
-        short = F.octet_length(column) <= MAX_KEY_BYTES
-        return (F.when(short, family(1)).otherwise(family(4)), no_num,
-                F.when(short, column).otherwise(F.sha2(column, 256)))
+        short = f"octet_length({column}) <= {MAX_KEY_BYTES}"
+        return (f"CASE WHEN {short} THEN {SHORT_TEXT}Y ELSE {LONG_TEXT}Y END", no_num,
+                f"CASE WHEN {short} THEN {column} ELSE concat(substring({column}, 1, {KEY_PREFIX}), sha2({column}, 256)) END")
     if kind == "datetime":
-        return family(3), no_num, epoch_micros(column).cast("string")
+        return "3Y", no_num, f"CAST(unix_micros(CAST({column} AS TIMESTAMP)) AS STRING)"
     # value metrics do not apply: only presence is recorded
-    return family(5), no_num, F.when(column.isNotNull(), F.lit(""))
+    return "5Y", no_num, f"CASE WHEN {column} IS NOT NULL THEN '' END"
+
+
+def cell_key(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    """`cell_sql` as columns."""
+    family, num, txt = cell_sql(df, name)
+    return F.expr(family), F.expr(num), F.expr(txt)
 
 
 def row_fingerprint(df: DataFrame, columns: list[str] | None = None) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Pairs evaluated in one aggregate; more pairs than this take another scan of the columns involved.
-PAIRS_PER_SCAN = 100
-
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson's r over rows where both are present; NULL when either does not vary."""
@@ -18,59 +18,76 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.covar_pop(x, y) / F.when(spread > 0, spread)
 
 
-def pair_frames(df: DataFrame, values: dict[str, Column]) -> list[DataFrame]:
-    """Frames of (col_a, col_b, r, n) holding each pair once, in column order.
+@dataclass
+class Gram:
+    """Sums over the rows where both columns of a pair are present, as square arrays over the columns.
 
-    A first scan finds means, gaps and constant columns. The second sums products of centred values: one
-    sum per pair of columns without gaps, since their own sums are shared by all pairs. Pairs with gaps
-    are measured on the rows where both are present.
+    Values are taken relative to each column's mean. `rows` counts the rows, `products` sums x_i x_j, `sums` and `squares` sum x_i and
+    x_i squared, and `low`, `high` are the least and greatest x_i, each at [i, j] over the rows where j is present as well.
     """
-    names = list(values)
-    known = df.agg(F.count(F.lit(1)).alias("n"), *[a for i, c in enumerate(names) for a in (
-        F.count(values[c]).alias(f"n{i}"), F.avg(values[c]).alias(f"m{i}"),
-        (F.min(values[c]) < F.max(values[c])).alias(f"v{i}"))]).first()
-    rows = known["n"]
-    centred = {i: values[c] - F.lit(known[f"m{i}"]) for i, c in enumerate(names) if known[f"v{i}"]}
-    whole = {i for i in centred if known[f"n{i}"] == rows}
-    pairs = [(i, j) for i, j in combinations(range(len(names)), 2) if i in centred and j in centred]
-    constant = [(i, j) for i, j in combinations(range(len(names)), 2) if i not in centred or j not in centred]
-
-    frames = []
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        aggs: dict[str, Column] = {}
-        found = []
-        for i, j in pairs[start:start + PAIRS_PER_SCAN]:
-            x, y = centred[i], centred[j]
-            if i in whole and j in whole:
-                aggs[f"s{i}"], aggs[f"q{i}"] = F.sum(x), F.sum(x * x)
-                aggs[f"s{j}"], aggs[f"q{j}"] = F.sum(y), F.sum(y * y)
-                aggs[f"p{i}_{j}"] = F.sum(x * y)
-                n, sx, sy, qx, qy = F.lit(rows), f"s{i}", f"s{j}", f"q{i}", f"q{j}"
-                varies = F.lit(True)
-            else:
-                x_kept, y_kept = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-                key = f"{i}_{j}"
-                aggs.update({
-                    f"n{key}": F.count(x_kept), f"p{key}": F.sum(x * y),
-                    f"sx{key}": F.sum(x_kept), f"sy{key}": F.sum(y_kept),
-                    f"qx{key}": F.sum(x_kept * x_kept), f"qy{key}": F.sum(y_kept * y_kept),
-                    f"v{key}": (F.min(x_kept) < F.max(x_kept)) & (F.min(y_kept) < F.max(y_kept))})
-                n, sx, sy, qx, qy = F.col(f"n{key}"), f"sx{key}", f"sy{key}", f"qx{key}", f"qy{key}"
-                varies = F.col(f"v{key}")
-            found.append((i, j, _r(n, *[F.col(s) for s in (f"p{i}_{j}", sx, sy, qx, qy)], varies), n))
-        frames.append(df.agg(*[a.alias(c) for c, a in aggs.items()]).select(F.inline(F.array(*[
-            F.struct(F.lit(names[i]).alias("col_a"), F.lit(names[j]).alias("col_b"), r.alias("r"),
-                     n.cast("long").alias("n")) for i, j, r, n in found]))))
-    if constant:
-        frames.append(df.sparkSession.createDataFrame(
-            [(names[i], names[j], None, None) for i, j in constant],
-            "col_a string, col_b string, r double, n long"))
-    return frames
-
-
-def _r(n: Column, p: Column, sx: Column, sy: Column, qx: Column, qy: Column, varies: Column) -> Column:
-    some = F.when(varies & (n > 0), n)
-    spread = F.sqrt(qx - sx * sx / some) * F.sqrt(qy - sy * sy / some)
-    r = (p - sx * sy / some) / F.when(spread > 0, spread)
-    # least and greatest would turn a missing r into a bound
-    return F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r)
+
+    names: list[str]
+    rows: np.ndarray
+    products: np.ndarray
+    sums: np.ndarray
+    squares: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def correlation(self) -> np.ndarray:
+        """Pearson's r of each pair; NaN where a side does not vary."""
+        with np.errstate(invalid="ignore", divide="ignore"):
+            n = np.where(self.rows > 0, self.rows, np.nan)
+            own = self.squares - self.sums * self.sums / n
+            r = (self.products - self.sums * self.sums.T / n) / (np.sqrt(own) * np.sqrt(own.T))
+        varies = (self.low < self.high) & (self.low < self.high).T
+        return np.where(varies & np.isfinite(r), np.clip(r, -1.0, 1.0), np.nan)
+
+
+_PARTS = ("rows", "products", "sums", "squares")
+_SCHEMA = pa.schema([("i", pa.int32()), ("j", pa.int32()), *[(p, pa.float64()) for p in (*_PARTS, "low", "high")]])
+
+
+def _partial(x: np.ndarray) -> list[np.ndarray]:
+    """The arrays of Gram for some rows; a missing value is NaN."""
+    there = ~np.isnan(x)
+    mask, filled = there.astype(np.float64), np.where(there, x, 0.0)
+    low = np.where(there, x, np.inf).min(0)[:, None].repeat(x.shape[1], 1)
+    high = np.where(there, x, -np.inf).max(0)[:, None].repeat(x.shape[1], 1)
+    for j in np.flatnonzero(~there.all(0)):  # only columns with gaps leave out rows of the others
+        both = there & there[:, [j]]
+        low[:, j], high[:, j] = np.where(both, x, np.inf).min(0), np.where(both, x, -np.inf).max(0)
+    return [mask.T @ mask, filled.T @ filled, filled.T @ mask, (filled * filled).T @ mask, low, high]
+
+
+def gram(df: DataFrame, values: dict[str, Column]) -> Gram:
+    """One scan for the means, one for all sums of all pairs: a task adds up one matrix product per batch and sends one number per
+    pair and sum. The arrays that reach the driver grow with the schema alone. NaN counts as missing."""
+    names, k = list(values), len(values)
+    held = df.select(*[values[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    held = held.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in held.columns])
+    means = held.agg(*[F.avg(c).alias(c) for c in held.columns]).first()
+    centred = held.select(*[(F.col(c) - F.lit(means[c])).alias(c) if means[c] is not None else F.col(c) for c in held.columns])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # an infinite value has no place relative to a mean
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.float64)
+            part = _partial(x)
+            total = part if total is None else [a + b for a, b in zip(total[:4], part[:4])] + [
+                np.minimum(total[4], part[4]), np.maximum(total[5], part[5])]
+        if total is not None:
+            i, j = np.divmod(np.arange(k * k), k)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)),
+                                              *[pa.array(t.ravel()) for t in total]], schema=_SCHEMA)
+
+    summed = centred.mapInArrow(add_up, "i int, j int, " + ", ".join(f"{f.name} double" for f in list(_SCHEMA)[2:])).groupBy("i", "j").agg(
+        *[F.sum(p).alias(p) for p in _PARTS], F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    found = {p: np.zeros((k, k)) for p in (*_PARTS, "low", "high")}
+    for row in summed:
+        for p, array in found.items():
+            array[row["i"], row["j"]] = row[p]
+    return Gram(names, **found)

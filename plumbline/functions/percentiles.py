@@ -1,130 +1,191 @@
-"""Exact percentiles with linear interpolation, whatever the column's size.
+"""Exact order statistics of any number of columns by radix selection.
 
-`percentile` keeps a map of every distinct value in one reducer, so it is only run where the number
-of values is bounded. Above the bound, sketches narrow each wanted rank to a bracket of values, the
-bracket is verified by counting, and only the values inside it reach `percentile`. Every pass is one
-aggregate over the scan: nothing but sketches and counters is shuffled.
+Values are compared as 64-bit whole numbers that keep their order: whole numbers as they are, times in microseconds, doubles by the bits
+of their floating-point form. A pass counts, for every range that still holds a wanted rank, how many values have which leading 16 bits
+within the range: one scan for all columns of a table, at most 65,537 counters a range and task. Each pass shortens a range by 16 bits,
+so four passes end at single values whatever the values are, and nothing ever holds the values of a column. A range of few values
+is counted value by value at once, which usually ends the search after two passes.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Values one reducer may hold for one column.
-MAX_VALUES = 1_000_000
-# percentile_approx: ranks are right to within 1 / accuracy of the rows.
-ACCURACY = 10_000
-MAX_PASSES = 8
+from plumbline.functions.columns import as_double, base_type, epoch_micros, quoted
+
+#: Bits settled per pass.
+DIGIT_BITS = 16
+#: Values of a range that are counted one by one.
+FEW_VALUES = 1 << 16
+
+
+def double_keys(values: np.ndarray) -> np.ndarray:
+    """The bits of doubles as whole numbers in the order of the values; both zeros are 0."""
+    bits = np.abs(values).view(np.int64)
+    return np.where(values < 0, -bits, bits)
+
+
+def key_double(key: int) -> float:
+    """The double of a key."""
+    value = float(np.array([abs(key)], np.int64).view(np.float64)[0])
+    return -value if key < 0 else value
+
+
+def ordered(df: DataFrame, name: str) -> Column:
+    """A column as a double or a bigint in the order of its values."""
+    kind = base_type(df.schema[name].dataType)
+    if kind == "datetime":
+        return epoch_micros(quoted(name))
+    if kind == "float":
+        return as_double(df, name)
+    return quoted(name).cast("int").cast("bigint") if kind == "bool" else quoted(name).cast("bigint")
 
 
 @dataclass
-class _Bracket:
-    """Values between low and high (None: unbounded) hold both ranks around the wanted position."""
+class Span:
+    """The ends and the number of a column's values."""
 
-    position: float
-    low: float | None
-    high: float | None
-    below: int
-    inside: int
+    low: float | int | None
+    high: float | int | None
+    count: int
 
-    def wide(self, limit: int) -> bool:
-        return self.inside > limit and (self.low is None or self.high is None or self.low < self.high)
 
-    def keep(self, value: Column) -> Column:
-        if self.low is None:
-            return value
-        return F.when(value.between(F.lit(self.low), F.lit(self.high)), value)
+@dataclass
+class _Range:
+    """Keys from low to high: `inside` values, `below` smaller ones, and the ranks wanted among them."""
 
-    def share(self) -> float:
-        """Wanted position relative to the values inside."""
-        share = (self.position - self.below) / (self.inside - 1) if self.inside > 1 else 0.0
-        return min(max(share, 0.0), 1.0)
+    column: int
+    low: int
+    high: int
+    below: int
+    inside: int
+    ranks: list[int] = field(default_factory=list)
+    shift: int = 0
+    dense: bool = False
 
-    def holds(self, below: int, inside: int) -> bool:
-        return below <= math.floor(self.position) and math.ceil(self.position) < below + inside
+    def __post_init__(self) -> None:
+        """How many low bits a pass leaves out, and whether its counters stand in an array or by value."""
+        if self.inside > FEW_VALUES:
+            self.shift = max(0, (self.high - self.low).bit_length() - DIGIT_BITS)
+        self.dense = self.shift > 0 or self.high - self.low < FEW_VALUES
 
 
-def exact_percentiles(df: DataFrame, values: dict[str, Column], shares: list[float],
-                      counts: dict[str, int], limit: int = MAX_VALUES) -> dict[str, Percentiles]:
-    """The aggregates that give the exact percentiles of each double expression.
+def values_at_ranks(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]],
+                    spans: dict[str, Span]) -> dict[str, dict[int, float | int]]:
+    """The value at each wanted rank (from 0) of each column of doubles or whole numbers, missing ones left out.
 
-    `counts` holds the number of non-null values per name, known from an earlier pass.
+    `spans` are known from an earlier scan.
     """
-    brackets = {
-        (name, i): _Bracket(share * max(counts[name] - 1, 0), None, None, 0, counts[name])
-        for name in values for i, share in enumerate(shares)
-    }
-    for _ in range(MAX_PASSES):
-        open_ones = {key: b for key, b in brackets.items() if b.wide(limit)}
-        if not open_ones:
-            break
-        if not _narrow(df, values, open_ones):
+    names = [n for n in values if ranks[n]]
+    if not names:
+        return {n: {} for n in values}
+    held = df.select(*[values[n].alias(f"x{i}") for i, n in enumerate(names)])
+    is_double = [f.dataType.typeName() == "double" for f in held.schema]
+
+    def key(value, i: int) -> int:
+        return int(double_keys(np.array([value], np.float64))[0]) if is_double[i] else int(value)
+
+    found: list[dict[int, int]] = [{} for _ in names]
+    ranges = [_Range(i, key(spans[n].low, i), key(spans[n].high, i), 0, spans[n].count, sorted(set(ranks[n])))
+              for i, n in enumerate(names)]
+    while True:
+        for r in ranges:
+            if r.low == r.high:
+                found[r.column].update({rank: r.low for rank in r.ranks})
+        ranges = [r for r in ranges if r.low < r.high]
+        if not ranges:
             break
-    return {name: Percentiles(values[name], [brackets[(name, i)] for i in range(len(shares))])
-            for name in values}
-
-
-class Percentiles:
-    """Percentiles of one expression: those within the same bracket share one aggregate."""
-
-    def __init__(self, value: Column, brackets: list[_Bracket]):
-        self._value, self._brackets = value, brackets
-        self._groups: dict[tuple, list[int]] = {}
-        for i, b in enumerate(brackets):
-            self._groups.setdefault((b.low, b.high), []).append(i)
-
-    def aggregates(self, prefix: str) -> list[Column]:
-        return [
-            F.percentile(self._brackets[members[0]].keep(self._value),
-                         F.array(*[F.lit(self._brackets[i].share()) for i in members])).alias(f"{prefix}{n}")
-            for n, members in enumerate(self._groups.values())]
-
-    def results(self, prefix: str) -> list[Column]:
-        """One column per share, over the aggregated row."""
-        found = {i: F.col(f"`{prefix}{n}`")[place]
-                 for n, members in enumerate(self._groups.values()) for place, i in enumerate(members)}
-        return [found[i] for i in range(len(self._brackets))]
-
-
-def _narrow(df: DataFrame, values: dict[str, Column], brackets: dict[tuple[str, int], _Bracket]) -> bool:
-    """Propose a narrower bracket for each key from a sketch, and take it if the counts agree."""
-    margin = 4.0 / ACCURACY
-    # positions within the same bracket share one sketch
-    groups: dict[tuple, list[tuple[str, int]]] = {}
-    for key, bracket in brackets.items():
-        groups.setdefault((key[0], bracket.low, bracket.high), []).append(key)
-    sketches = []
-    for n, members in enumerate(groups.values()):
-        ends = []
-        for key in members:
-            bracket = brackets[key]
-            centre = (bracket.position - bracket.below) / max(bracket.inside - 1, 1)
-            ends += [F.lit(max(centre - margin, 0.0)), F.lit(min(centre + margin, 1.0))]
-        kept = brackets[members[0]].keep(values[members[0][0]])
-        sketches.append(F.percentile_approx(kept, F.array(*ends), F.lit(ACCURACY)).alias(f"s{n}"))
-    sketched = df.agg(*sketches).first()
-    proposed = {key: (float(sketched[f"s{n}"][2 * i]), float(sketched[f"s{n}"][2 * i + 1]))
-                for n, members in enumerate(groups.values()) for i, key in enumerate(members)}
-    keys = list(brackets)
-
-    counters = []
-    for n, key in enumerate(keys):
-        low, high = proposed[key]
-        value = values[key[0]]
-        counters.append(F.count_if(value < F.lit(low)).alias(f"b{n}"))
-        counters.append(F.count_if(value.between(F.lit(low), F.lit(high))).alias(f"i{n}"))
-    counted = df.agg(*counters).first()
-
-    progress = False
-    for n, key in enumerate(keys):
-        bracket = brackets[key]
-        below, inside = int(counted[f"b{n}"]), int(counted[f"i{n}"])
-        if bracket.holds(below, inside) and inside < bracket.inside:
-            bracket.low, bracket.high = proposed[key]
-            bracket.below, bracket.inside = below, inside
-            progress = True
-    return progress
+        ranges = _pass(held, is_double, ranges)
+    result = {n: {} for n in values}
+    for i, n in enumerate(names):
+        result[n] = {rank: key_double(k) if is_double[i] else k for rank, k in found[i].items()}
+    return result
+
+
+_COUNTS = pa.schema([("range", pa.int32()), ("digit", pa.int64()), ("n", pa.int64())])
+
+
+def _pass(held: DataFrame, is_double: list[bool], ranges: list[_Range]) -> list[_Range]:
+    """Each range cut into the sub-ranges that hold its ranks."""
+    by_column: dict[int, list[int]] = {}
+    for n, r in enumerate(ranges):
+        by_column.setdefault(r.column, []).append(n)
+    for members in by_column.values():
+        members.sort(key=lambda n: ranges[n].low)
+    columns = sorted(by_column)
+
+    def digits(x: np.ndarray, members: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, digits of the keys within it)."""
+        low = np.array([ranges[n].low for n in members], np.int64)
+        of = np.searchsorted(low, x, side="right") - 1
+        of[(of >= 0) & (x > np.array([ranges[n].high for n in members], np.int64)[of])] = -1
+        for place, n in enumerate(members):
+            yield n, x[of == place] >> ranges[n].shift
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense: dict[int, np.ndarray] = {}
+        few: dict[int, dict[int, int]] = {}
+        for batch in batches:
+            for place, c in enumerate(columns):
+                x = batch.column(place).drop_null().to_numpy(zero_copy_only=False)
+                for n, digit in digits(double_keys(x) if is_double[c] else x, by_column[c]):
+                    first = ranges[n].low >> ranges[n].shift
+                    if ranges[n].dense:
+                        room = (ranges[n].high >> ranges[n].shift) - first + 1
+                        total = dense.setdefault(n, np.zeros(room, np.int64))
+                        total += np.bincount(digit - first, minlength=room)
+                    else:
+                        own = few.setdefault(n, {})
+                        for value, times in zip(*(a.tolist() for a in np.unique(digit, return_counts=True))):
+                            own[value] = own.get(value, 0) + times
+        for n, total in dense.items():
+            at = np.flatnonzero(total)
+            yield _rows(n, at + (ranges[n].low >> ranges[n].shift), total[at])
+        for n, own in few.items():
+            yield _rows(n, np.array(list(own), np.int64), np.array(list(own.values()), np.int64))
+
+    counted = held.select(*[f"x{c}" for c in columns]).mapInArrow(count, "range int, digit long, n long").groupBy(
+        "range", "digit").agg(F.sum("n").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(
+        Window.partitionBy("range").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = held.sparkSession.createDataFrame(
+        [(n, rank - r.below) for n, r in enumerate(ranges) for rank in r.ranks], "range int, rank long")
+    # one row per wanted rank reaches the driver
+    hits = upto.join(F.broadcast(wanted), "range").where("rank < upto AND rank >= upto - n").collect()
+    cut: dict[tuple[int, int], _Range] = {}
+    for h in hits:
+        whole, before, digit = ranges[h["range"]], int(h["upto"]) - int(h["n"]), int(h["digit"])
+        part = cut.setdefault((h["range"], digit), _Range(
+            whole.column, max(whole.low, digit << whole.shift), min(whole.high, ((digit + 1) << whole.shift) - 1),
+            whole.below + before, int(h["n"])))
+        part.ranks.append(int(h["rank"]) + whole.below)
+    return list(cut.values())
+
+
+def _rows(n: int, digit: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(digit), n, np.int32)), pa.array(digit.astype(np.int64)),
+                                       pa.array(count)], schema=_COUNTS)
+
+
+def ranks_of(shares: list[float], count: int) -> list[int]:
+    """The ranks on either side of each percentile's position."""
+    positions = [share * (count - 1) for share in shares] if count else []
+    return sorted({r for p in positions for r in (math.floor(p), math.ceil(p))})
+
+
+def interpolated(share: float, count: int, value_at: dict[int, float]) -> float | None:
+    """The percentile by linear interpolation between the values at two ranks."""
+    if not count:
+        return None
+    position = share * (count - 1)
+    low, high = math.floor(position), math.ceil(position)
+    if low == high or value_at[low] == value_at[high]:
+        return float(value_at[low])
+    return (high - position) * value_at[low] + (position - low) * value_at[high]

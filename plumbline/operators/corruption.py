@@ -276,16 +276,18 @@ def orphan_key_map(keys: DataFrame, parents: DataFrame, seed: str) -> DataFrame:
         "new_key IS NOT NULL AND new_key <> old_key")
     free = tried.join(known, "new_key", "left_anti").groupBy("old_key").agg(
         F.min_by("new_key", "number").alias("new_key"))
+    found = old.join(free, "old_key", "left")
     if kind == "string":
         longest = known.agg(F.max(F.length("new_key"))).first()[0] or 0
-        beyond = F.concat("old_key", F.repeat(
-            F.lit("0"), F.greatest(F.lit(longest) - F.length("old_key"), F.lit(0)) + 1))
-    else:
-        highest = known.agg(F.max("new_key").cast(kind)).first()[0]
-        top = F.greatest(F.col("old_key"), F.lit(highest).cast(kind))
-        beyond = F.try_add(top, F.lit(1)).cast(kind)
-    return old.join(free, "old_key", "left").select(
-        "old_key", F.coalesce("new_key", beyond).alias("new_key"))
+        # the mark keeps apart keys of which one begins with the other
+        beyond = F.concat("old_key", F.lit("x"), F.repeat(F.lit("0"), F.greatest(F.lit(longest) - F.length("old_key"), F.lit(0))))
+        return found.select("old_key", F.coalesce("new_key", beyond).alias("new_key"))
+    # above every key there is, one apart
+    tops = known.agg(F.max("new_key").cast(kind)).first()[0], old.agg(F.max("old_key")).first()[0]
+    top = max((v for v in tops if v is not None), default=0)
+    taken = number_rows(found.filter("new_key IS NULL").select("old_key"), ["old_key"], "place").select(
+        "old_key", F.try_add(F.lit(top).cast(kind), F.col("place").cast(kind) + 1).cast(kind).alias("beyond"))
+    return found.join(taken, "old_key", "left").select("old_key", F.coalesce("new_key", "beyond").alias("new_key"))
 
 
 def orphan_foreign_key(df: DataFrame, column: str, parents: DataFrame, rate: float, seed: str,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_double, base_type, epoch_micros, quoted
-from plumbline.operators.table_profile import Tables, columns_frame, value_counts
+from plumbline.functions.columns import base_type, cell_key, double_sql, name_sql, quoted
+from plumbline.operators.table_profile import Tables, category_distribution, cells, columns_frame, value_counts
+from plumbline.operators.value_sets import SLICES
 from plumbline.session import each, materialize
 
 # Fixed value: coverage wanted.
@@ -30,56 +35,71 @@ def ranked_parents(columns: DataFrame) -> DataFrame:
         "table_name", "column_name", F.row_number().over(order).alias("parent_rank"))
 
 
-def coverage(tables: Tables, columns: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Share of each column's non-null rows found in each key of another table, where any is found.
-
-    All pairs come out of one grouping by value. A value's group holds one entry per column in which it
-    occurs (never more than the dataset has columns); it gives one row per child with the set of keys
-    that hold the value, and those rows are summed per distinct set before a set is ever unfolded.
-    """
-    spark = next(iter(tables.values())).sparkSession
-    if counts is None:
-        counts = value_counts(tables, with_rows=False)
-    attributes = columns_frame(spark, tables)
-    parents = ranked_parents(columns).join(attributes, ["table_name", "column_name"]).select(
+def _numbered_parents(tables: Tables, columns: DataFrame) -> DataFrame:
+    """parent (attr), parent_table, parent_column, parent_rank: one row per key column."""
+    attributes = columns_frame(next(iter(tables.values())).sparkSession, tables)
+    return ranked_parents(columns).join(attributes, ["table_name", "column_name"]).select(
         F.col("attr").alias("parent"), F.col("table_name").alias("parent_table"),
         F.col("column_name").alias("parent_column"), "parent_rank")
+
+
+def _by_value(counts: DataFrame, parents: DataFrame) -> DataFrame:
+    """family, num, txt, children (the columns a value occurs in, with counts), holders (the keys that hold it).
+
+    A value's group holds one entry per column in which it occurs, never more than the dataset has columns.
+    """
     # schema-sized, hence safe to broadcast
     is_parent = parents.select(F.col("parent").alias("attr"), F.lit(True).alias("is_key"))
-    filled = counts.filter("attr >= 0 AND family BETWEEN 0 AND 4")
-    totals = filled.groupBy("attr").agg(F.sum("cnt").alias("total"))
-    by_value = (
-        filled.join(F.broadcast(is_parent), "attr", "left")
-        .groupBy("family", "num", "txt").agg(
-            F.collect_list(F.struct("attr", "cnt")).alias("children"),
-            F.sort_array(F.collect_list(F.when(F.col("is_key"), F.col("attr")))).alias("holders"))
-        .filter(F.size("holders") > 0))
-    hits = (
-        by_value.select(F.inline("children"), "holders")
-        .groupBy("attr", "holders").agg(F.sum("cnt").alias("cnt"))
-        .select(F.col("attr").alias("child"), F.explode("holders").alias("parent"), "cnt")
-        .groupBy("child", "parent").agg(F.sum("cnt").alias("hits")))
+    return counts.join(F.broadcast(is_parent), "attr", "left").groupBy("family", "num", "txt").agg(
+        F.collect_list(F.struct("attr", "cnt")).alias("children"),
+        F.sort_array(F.collect_list(F.when(F.col("is_key"), F.col("attr")))).alias("holders"))
+
+
+def _comparable(counts: DataFrame) -> DataFrame:
+    return counts.filter("attr >= 0 AND family BETWEEN 0 AND 4")
+
+
+def _named_coverage(tables: Tables, hits: DataFrame, totals: DataFrame, parents: DataFrame) -> DataFrame:
+    """Coverage by names from (child, parent, hits) and (child, total); a table's own keys are left out."""
+    attributes = columns_frame(next(iter(tables.values())).sparkSession, tables)
     child = attributes.select(F.col("attr").alias("child"), F.col("table_name").alias("child_table"),
                               F.col("column_name").alias("child_column"))
     return (
-        hits.join(totals.withColumnRenamed("attr", "child"), "child").join(child, "child")
-        .join(parents, "parent").filter("child_table <> parent_table")
+        hits.join(totals, "child").join(child, "child").join(parents, "parent").filter("child_table <> parent_table")
         .select("child_table", "child_column", "parent_table", "parent_column", "parent_rank",
                 F.round(F.col("hits") / F.col("total"), 4).alias("coverage")))
 
 
-def _ordered_value(df: DataFrame, name: str) -> tuple[str, Column] | None:
-    """(kind, value) by which columns that may match are compared; numbers and booleans are one kind."""
+def coverage(tables: Tables, columns: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Share of each column's non-null rows found in each key of another table, where any is found.
+
+    All pairs come out of one grouping by value; its groups give one row per child with the set of keys
+    that hold the value, and those rows are summed per distinct set before a set is ever unfolded.
+    """
+    filled = _comparable(materialize(value_counts(tables), "coverage") if counts is None else counts)
+    parents = _numbered_parents(tables, columns)
+    totals = filled.groupBy(F.col("attr").alias("child")).agg(F.sum("cnt").alias("total"))
+    hits = (
+        _by_value(filled, parents).filter(F.size("holders") > 0).select(F.inline("children"), "holders")
+        .groupBy("attr", "holders").agg(F.sum("cnt").alias("cnt"))
+        .select(F.col("attr").alias("child"), F.explode("holders").alias("parent"), "cnt")
+        .groupBy("child", "parent").agg(F.sum("cnt").alias("hits")))
+    return _named_coverage(tables, hits, totals, parents)
+
+
+def _ordered_value(df: DataFrame, name: str) -> tuple[str, str] | None:
+    """(kind, value as SQL) by which columns that may match are compared; numbers and booleans are one kind."""
     kind = base_type(df.schema[name].dataType)
     if kind in ("int", "float", "bool"):
-        return "num", as_double(df, name)
+        return "num", double_sql(df, name)
     if kind == "str":
-        return "str", quoted(name)
-    return ("time", epoch_micros(quoted(name))) if kind == "datetime" else None
+        return "str", name_sql(name)
+    return ("time", f"unix_micros(CAST({name_sql(name)} AS TIMESTAMP))") if kind == "datetime" else None
 
 
-def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> dict[str, list[str]]:
-    """Keys, and the columns enough of whose rows lie within the span of all keys of their kind.
+def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> tuple[dict[str, list[str]], dict[tuple[str, str], int]]:
+    """Keys, and the columns enough of whose rows lie within the span of all keys of their kind; and how many values each column
+    that was looked at has.
 
     A row outside that span (or a fraction, where all numeric keys are whole) can have no parent, so a
     column left out cannot reach the threshold. Two scans, without a shuffle of rows.
@@ -95,9 +115,9 @@ def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> d
             return []
         aggs = []
         for i, (kind, value) in enumerate(compared):
-            fraction = F.max(value != F.floor(value)) if kind == "num" else F.lit(False)
-            aggs += [F.min(value).alias(f"l{i}"), F.max(value).alias(f"h{i}"), fraction.alias(f"f{i}")]
-        found = tables[table].agg(*aggs).first()
+            fraction = f"max({value} <> floor({value}))" if kind == "num" else "false"
+            aggs += [f"min({value}) AS l{i}", f"max({value}) AS h{i}", f"{fraction} AS f{i}"]
+        found = tables[table].selectExpr(*aggs, "count(1) AS n").first()
         return [(kind, found[f"l{i}"], found[f"h{i}"], bool(found[f"f{i}"]))
                 for i, (kind, _) in enumerate(compared) if found[f"l{i}"] is not None]
 
@@ -105,45 +125,173 @@ def plausible_columns(tables: Tables, columns: DataFrame, threshold: float) -> d
     for kind, *limits in (s for found in each(sorted(key_names), span) for s in found):
         spans.setdefault(kind, []).append(limits)
 
-    def plausible(table: str) -> set[str]:
+    def plausible(table: str) -> dict[str, tuple[float, int]]:
         df, tested, aggs = tables[table], [], []
         for name in df.columns:
             compared = _ordered_value(df, name)
             if compared is None or compared[0] not in spans:
                 continue
             kind, value = compared
+            value = F.expr(value)
             within = value.between(F.lit(min(s[0] for s in spans[kind])), F.lit(max(s[1] for s in spans[kind])))
             if kind == "num" and not any(s[2] for s in spans[kind]):
-                within = within & (value == F.floor(value))
-            aggs.append(F.round(F.count_if(within) / F.when(F.count(value) > 0, F.count(value)), 4)
-                        .alias(f"s{len(tested)}"))
+                within = within & F.expr(f"{compared[1]} = floor({compared[1]})")
+            aggs += [F.round(F.count_if(within) / F.when(F.count(value) > 0, F.count(value)), 4).alias(f"s{len(tested)}"),
+                     F.count(value).alias(f"n{len(tested)}")]
             tested.append(name)
         found = df.agg(*aggs).first() if aggs else None
-        return {c for i, c in enumerate(tested) if (found[f"s{i}"] or 0.0) >= threshold}
+        return {c: (found[f"s{i}"] or 0.0, int(found[f"n{i}"])) for i, c in enumerate(tested)}
 
     kept: dict[str, list[str]] = {}
-    for table, names in zip(sorted(tables), each(sorted(tables), plausible)):
-        names |= set(key_names.get(table, []))
+    counted: dict[tuple[str, str], int] = {}
+    for table, shares in zip(sorted(tables), each(sorted(tables), plausible)):
+        names = {c for c, (share, _) in shares.items() if share >= threshold} | set(key_names.get(table, []))
+        counted.update({(table, c): n for c, (_, n) in shares.items()})
         if names:
             kept[table] = [c for c in tables[table].columns if c in names]
-    return kept
+    return kept, counted
 
 
-def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE) -> DataFrame:
-    """Foreign keys of a set of tables; only columns that can matter are counted."""
-    kept = plausible_columns(tables, columns, threshold)
+def _selected(tables: Tables, wanted: set[tuple[str, str]]) -> Tables:
+    return {t: tables[t].select(*[quoted(c) for c in tables[t].columns if (t, c) in wanted])
+            for t in sorted({t for t, _ in wanted})}
+
+
+@dataclass
+class Inclusion:
+    """Coverage of the pairs that may reach the threshold, and the pairs that cannot.
+
+    `refuted` has a row per pair: (child_table, child_column, parent_table, parent_column, missing, witness), rows of the child that were
+    seen without a parent, and one value of theirs.
+    """
+
+    found: DataFrame
+    refuted: DataFrame
+
+
+_COVERAGE = ("child_table string, child_column string, parent_table string, parent_column string, parent_rank int, "
+             "coverage double")
+_REFUTED = ("child_table string, child_column string, parent_table string, parent_column string, missing long, "
+            "witness string")
+
+
+def _few_counts(tables: Tables, few: set[tuple[str, str]], categories: DataFrame) -> DataFrame:
+    """attr, family, num, txt, cnt of columns with few values, from their categories: the tables are not read again.
+
+    `attr` counts the columns of `tables`. At most 100 rows a column.
+    """
+    spark = categories.sparkSession
+    places = {(t, c): a for a, (t, c) in enumerate((t, c) for t, df in sorted(tables.items()) for c in df.columns)}
+    by_type: dict = {}
+    for r in categories.collect():
+        place = r["table_name"], r["column_name"]
+        if place in few:
+            by_type.setdefault(tables[place[0]].schema[place[1]].dataType, []).append((places[place], r["category"], r["cnt"]))
+    frames = []
+    for kind, rows in by_type.items():
+        values = spark.createDataFrame(rows, "attr int, label string, cnt long").select("attr", F.col("label").cast(kind).alias("v"), "cnt")
+        family, num, txt = cell_key(values, "v")
+        frames.append(values.select("attr", family.alias("family"), num.alias("num"), txt.alias("txt"), "cnt"))
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame(
+        [], "attr int, family tinyint, num double, txt string, cnt long")
+
+
+def _few_valued(tables: Tables, columns: DataFrame, few: set[tuple[str, str]], keys: set[tuple[str, str]],
+                categories: DataFrame) -> DataFrame:
+    """Coverage of columns with few values: their values go to the keys, not the keys to them.
+
+    At most 100 values a column are broadcast, so keys are scanned and not shuffled.
+    """
+    subset, held = _selected(tables, few), _selected(tables, keys)
+    counts = materialize(_comparable(_few_counts(subset, few, categories)), "few-values")
+    parents = _numbered_parents(held, columns)
+    asked = counts.select("family", "num", "txt").distinct()
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("family", "num", "txt")]
+    there = cells(held).alias("k").join(F.broadcast(asked.alias("v")), reduce(lambda a, b: a & b, same), "left_semi").distinct()
+    there = there.select(F.col("attr").alias("parent"), "family", "num", "txt")
+    # as many rows as few-valued columns have values, times keys
+    hits = counts.alias("v").join(there.alias("k"), reduce(lambda a, b: a & b, same)).groupBy(
+        F.col("v.attr").alias("child"), "parent").agg(F.sum("cnt").alias("hits"))
+    totals = counts.groupBy(F.col("attr").alias("child")).agg(F.sum("cnt").alias("total"))
+    return _named_coverage(subset, hits, totals, parents)
+
+
+def _missing_in_slice(tables: Tables, columns: DataFrame, slices: int = SLICES) -> DataFrame:
+    """child, parent, missing, witness: rows of one slice of the hash space whose value the key does not hold.
+
+    Equal values fall in one slice whatever their column, so what is missing there is missing altogether.
+    """
+    parents = _numbered_parents(tables, columns)
+    value = F.coalesce(F.col("txt"), F.col("num").cast("string"))
+    seen = (
+        _by_value(_comparable(value_counts(tables, slices)), parents)
+        .select(F.inline("children"), "holders", value.alias("witness"))
+        .groupBy("attr", "holders").agg(F.sum("cnt").alias("cnt"), F.min(F.struct(F.length("witness"), "witness")).alias("witness")))
+    absent = seen.join(F.broadcast(parents.select("parent")), ~F.array_contains("holders", F.col("parent")))
+    return absent.groupBy(F.col("attr").alias("child"), "parent").agg(
+        F.sum("cnt").alias("missing"), F.min("witness.witness").alias("witness"))
+
+
+def inclusion(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE, slices: int = SLICES,
+              categories: DataFrame | None = None) -> Inclusion:
+    """Which columns are covered by which keys of other tables, as far as the threshold may be reached. `categories` are those of the
+    columns that have few, where they are known for these very tables.
+
+    1. Spans of the keys leave out columns that lie elsewhere.
+    2. Columns of few values are answered by a scan of the keys.
+    3. For the others one slice of the hash space is grouped by value. Rows that have no parent there are missing for sure; a pair with
+       too many of them is refuted. Only columns and keys with a pair left are grouped whole.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    kept, counted = plausible_columns(tables, columns, threshold)
     if len(kept) < 2:
-        return foreign_keys(coverage(tables, columns.limit(0)), threshold)
-    subset = {t: tables[t].select(*[quoted(c) for c in names]) for t, names in kept.items()}
-    # read twice, for the totals and for the grouping by value
-    counts = materialize(value_counts(subset, with_rows=False), "keys")
-    return foreign_keys(coverage(subset, columns, counts), threshold)
+        return Inclusion(spark.createDataFrame([], _COVERAGE), spark.createDataFrame([], _REFUTED))
+    flags = {(r["table_name"], r["column_name"]): r for r in columns.collect()}
+    names = {(t, c) for t, own in kept.items() for c in own}
+    keys = {k for k in names if flags[k]["potential_primary_key"]}
+    few = {k for k in names if flags[k]["is_categorical"]}
+    many = {k for k in names - few if counted.get(k)}
+    frames = []
+    if few and keys:
+        if categories is None:
+            categories = category_distribution(tables, {t: [c for c in df.columns if (t, c) in few] for t, df in tables.items()})
+        frames.append(_few_valued(tables, columns, few, keys, categories))
+    refuted: list[tuple] = []
+    if many and keys:
+        subset = _selected(tables, many | keys)
+        named = {a: (t, c) for a, (t, c) in enumerate((t, c) for t, df in sorted(subset.items()) for c in df.columns)}
+        kind = {k: _ordered_value(tables[k[0]], k[1])[0] for k in many | keys if _ordered_value(tables[k[0]], k[1])}
+        open_pairs = {(child, parent) for child in many for parent in keys
+                      if child[0] != parent[0] and kind.get(child) == kind.get(parent)}
+        # one row per pair of columns: schema-sized
+        for r in _missing_in_slice(subset, columns, slices).collect():
+            child, parent = named[r["child"]], named[r["parent"]]
+            if (child, parent) in open_pairs and round_half_up(1 - r["missing"] / counted[child]) < threshold:
+                open_pairs.discard((child, parent))
+                refuted.append((*child, *parent, r["missing"], r["witness"]))
+        if open_pairs:
+            rest = _selected(tables, {side for pair in open_pairs for side in pair})
+            pairs = spark.createDataFrame([(*child, *parent) for child, parent in open_pairs],
+                                          "child_table string, child_column string, parent_table string, parent_column string")
+            frames.append(coverage(rest, columns).join(F.broadcast(pairs), pairs.columns, "left_semi"))
+    found = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], _COVERAGE)
+    return Inclusion(found, spark.createDataFrame(refuted, _REFUTED))
+
+
+def round_half_up(share: float, digits: int = 4) -> float:
+    """As a profile rounds; a share is never negative."""
+    return math.floor(share * 10 ** digits + 0.5 + 1e-9) / 10 ** digits
+
+
+def discover(tables: Tables, columns: DataFrame, threshold: float = FULL_COVERAGE, categories: DataFrame | None = None) -> DataFrame:
+    """Foreign keys of a set of tables; only columns that can matter are counted."""
+    return foreign_keys(inclusion(tables, columns, threshold, categories=categories).found, threshold)
 
 
 def pair_coverage(child: DataFrame, child_column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Coverage of one child column by one key; 0 when the child holds no value."""
-    tables = {"child": child.select(child_column), "parent": parent.select(parent_column)}
-    counts = value_counts(tables, with_rows=False).filter("family >= 0")
+    tables = {"child": child.select(quoted(child_column)), "parent": parent.select(quoted(parent_column))}
+    counts = value_counts(tables).filter("family >= 0")
     by_value = counts.groupBy("family", "num", "txt").agg(
         F.sum(F.when(F.col("attr") == 0, F.col("cnt"))).alias("rows"),
         F.max(F.col("attr") == 1).alias("found"))

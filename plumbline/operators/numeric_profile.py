@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_double, quoted
-from plumbline.functions.moments import pair_frames
-from plumbline.functions.percentiles import MAX_VALUES, exact_percentiles
+from plumbline.functions.moments import gram
+from plumbline.functions.percentiles import Span, interpolated, ordered, ranks_of, values_at_ranks
 
 # Fixed values of the numerical profile.
 MIN_FREQUENCY = 0.01
@@ -18,6 +18,8 @@ FENCE_MULTIPLIER = 10
 VARIANCE_KEPT = 0.95
 MIN_LOADING = 0.3
 
+ROWS = "table_name string, nb_numerical int, nb_entries_profiled long, nb_entries_dropped long"
+
 _BUCKETS = 4096
 _SUSPECTS = "table_name string, column_name string, value double, frequency double, gap_to_fence_iqr double"
 
@@ -44,29 +46,30 @@ def frequent_values(df: DataFrame, columns: list[str], share: float = MIN_FREQUE
             .filter(F.col("cnt") > share * rows).withColumn("frequency", F.col("cnt") / F.lit(max(rows, 1))))
 
 
-def disguised_missing(table: str, df: DataFrame, columns: list[str],
-                      limit: int = MAX_VALUES) -> DataFrame:
+def disguised_missing(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """Placeholders: the most frequent value, above 1 % of rows, far outside the fences of the others."""
-    tops = {r["column_name"]: r for r in frequent_values(df, columns).collect()}
+    spark = df.sparkSession
+    tops = {r["column_name"]: r for r in frequent_values(df, columns).collect()} if columns else {}
     if not tops:
-        return df.sparkSession.createDataFrame([], _SUSPECTS)
-    others = {c: F.when(as_double(df, c) != F.lit(r["value"]), as_double(df, c)) for c, r in tops.items()}
-    counted = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(others.values())]).first()
-    counts = {c: int(counted[f"n{i}"]) for i, c in enumerate(others)}
-    quartiles = exact_percentiles(df, others, [0.25, 0.75], counts, limit)
-    aggs, rows = [], []
-    for i, (c, r) in enumerate(tops.items()):
-        aggs += quartiles[c].aggregates(f"q{i}_")
-        first, third = quartiles[c].results(f"q{i}_")
+        return spark.createDataFrame([], _SUSPECTS)
+    others = {c: F.when(as_double(df, c) != F.lit(r["value"]), ordered(df, c)) for c, r in tops.items()}
+    row = df.agg(*[a for i, v in enumerate(others.values()) for a in (
+        F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.count(v).alias(f"n{i}"))]).first()
+    spans = {c: Span(row[f"l{i}"], row[f"h{i}"], int(row[f"n{i}"])) for i, c in enumerate(others)}
+    at = values_at_ranks(df, others, {c: ranks_of([0.25, 0.75], spans[c].count) for c in others}, spans)
+    found = []
+    for c, r in tops.items():
+        first, third = (interpolated(share, spans[c].count, at[c]) for share in (0.25, 0.75))
+        value = float(r["value"])
+        if first is None or third == first:
+            continue
         iqr = third - first
-        value = F.lit(float(r["value"]))
         low, high = first - FENCE_MULTIPLIER * iqr, third + FENCE_MULTIPLIER * iqr
-        gap = F.when(value > high, value - high).when(value < low, low - value) / F.when(iqr != 0, iqr)
-        rows.append(F.struct(
-            F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), value.alias("value"),
-            F.round(F.lit(float(r["frequency"])), 4).alias("frequency"),
-            F.round(gap, 2).alias("gap_to_fence_iqr")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows))).filter("gap_to_fence_iqr IS NOT NULL")
+        gap = value - high if value > high else low - value if value < low else None
+        if gap is not None:
+            found.append((table, c, value, float(r["frequency"]), gap / iqr))
+    return spark.createDataFrame(found, _SUSPECTS).withColumn("frequency", F.round("frequency", 4)).withColumn(
+        "gap_to_fence_iqr", F.round("gap_to_fence_iqr", 2))
 
 
 def without_placeholders(df: DataFrame, suspects: list) -> DataFrame:
@@ -77,7 +80,12 @@ def without_placeholders(df: DataFrame, suspects: list) -> DataFrame:
 
 
 def row_counts(table: str, df: DataFrame, columns: list[str], suspects: list) -> DataFrame:
-    """How many rows the component and cluster profiles rest on, and how many were dropped."""
+    """How many rows the component and cluster profiles rest on, and how many were dropped.
+
+    A table with fewer than two numeric columns has no such profile: its row only tells how many there are.
+    """
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([(table, len(columns), None, None)], ROWS)
     clean = F.lit(True)
     for row in suspects:
         clean = clean & ~as_double(df, row["column_name"]).eqNullSafe(F.lit(row["value"]))
@@ -85,7 +93,7 @@ def row_counts(table: str, df: DataFrame, columns: list[str], suspects: list) ->
         clean = clean & quoted(c).isNotNull()
     return df.agg(F.count_if(clean).alias("nb_entries_profiled"),
                   F.count_if(~clean).alias("nb_entries_dropped")).select(
-        F.lit(table).alias("table_name"), "nb_entries_profiled", "nb_entries_dropped")
+        F.lit(table).alias("table_name"), F.lit(len(columns)).alias("nb_numerical"), "nb_entries_profiled", "nb_entries_dropped")
 
 
 # --- principal components -----------------------------------------------------------------------------
@@ -100,25 +108,19 @@ class Components:
 def principal_components(table: str, df: DataFrame, columns: list[str]) -> Components:
     """PCA of the standardised complete rows.
 
-    One scan gives the correlation matrix; its eigenvalues (k x k, k columns) are found on the driver.
+    Two scans give the correlation matrix; its eigenvalues (k x k, k columns) are found on the driver.
     """
     spark = df.sparkSession
     complete = df.select(*[as_double(df, c).alias(c) for c in columns]).dropna()
-    values = {c: quoted(c) for c in columns}
-    spread = complete.agg(F.count(F.lit(1)).alias("n"), *[
-        F.var_pop(quoted(c)).alias(f"v{i}") for i, c in enumerate(columns)]).first()
-    n, k = int(spread["n"]), len(columns)
     schema = ("table_name string, component int, variance_explained double, cumulative_variance double, "
               "dimension_kept boolean")
     loading_schema = "table_name string, component int, column_name string, loading double"
+    sums = gram(complete, {c: quoted(c) for c in columns})
+    n, k = int(sums.rows[0, 0]) if columns else 0, len(columns)
     if n < 2:
         return Components(spark.createDataFrame([], schema), spark.createDataFrame([], loading_schema), [])
-    matrix = np.diag([1.0 if (spread[f"v{i}"] or 0) > 0 else 0.0 for i in range(k)])
-    place = {c: i for i, c in enumerate(columns)}
-    for frame in (pair_frames(complete, values) if k > 1 else []):
-        for row in frame.collect():
-            i, j = place[row["col_a"]], place[row["col_b"]]
-            matrix[i, j] = matrix[j, i] = row["r"] or 0.0
+    matrix = np.nan_to_num(sums.correlation())
+    np.fill_diagonal(matrix, (np.diag(sums.low) < np.diag(sums.high)).astype(float))
     found, vectors = np.linalg.eigh(matrix)
     order = np.argsort(found)[::-1][:min(n, k)]
     found, vectors = np.maximum(found[order], 0.0), vectors[:, order]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbering import BUCKET_ROWS, number_rows
+from plumbline.session import materialize
 
 # Section headings and fields of a report, suffix of the tables holding new rows.
 OUTPUT_HEADING = "**OUTPUT**"
@@ -99,8 +100,10 @@ def strict_matches(first: DataFrame, second: DataFrame) -> DataFrame:
         used = pairs.select("run_number", F.col(name).alias("id"))
         return df.join(used, ["run_number", "id"], "left_anti")
 
-    same_column = paired(first, second, [*_GROUP, "column"])
-    first_rest, second_rest = left_over(first, same_column, "id1"), left_over(second, same_column, "id2")
+    # each of these is used several times below
+    same_column = materialize(paired(first, second, [*_GROUP, "column"]), "strict-same")
+    first_rest = materialize(left_over(first, same_column, "id1"), "strict-first")
+    second_rest = materialize(left_over(second, same_column, "id2"), "strict-second")
     # equal columns were paired already, so in a group at most one side has blanks left
     blank_first = paired(first_rest.filter("column = ''"), second_rest.filter("column <> ''"), _GROUP)
     blank_second = paired(first_rest.filter("column <> ''"), second_rest.filter("column = ''"), _GROUP)

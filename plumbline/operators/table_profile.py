@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import (
-    MIN_DATE_SHARE, YES_NO, as_double, base_type, cell_key, epoch_micros, is_date_text, parse_datetime,
-    quoted, row_fingerprint,
+    KEY_PREFIX, LONG_TEXT, MIN_DATE_SHARE, SHORT_TEXT, YES_NO, as_double, base_type, cell_key, cell_sql, date_text_sql,
+    epoch_micros, is_date_text, name_sql, parse_datetime, quoted, row_fingerprint,
 )
-from plumbline.functions.percentiles import MAX_VALUES, exact_percentiles
+from plumbline.functions.percentiles import Span, interpolated, ordered, ranks_of, values_at_ranks
+from plumbline.operators.value_sets import SLICES, Evidence, evidence_counts, in_slice, read_evidence
+from plumbline.session import materialize
 
 # Category limit and the percentiles of a distribution.
 MAX_CATEGORIES = 100
@@ -49,49 +54,47 @@ def tables_frame(spark: SparkSession, tables: Tables) -> DataFrame:
 
 # --- column types -------------------------------------------------------------------------------
 
-def _type_counts(df: DataFrame) -> list[Column]:
-    """What one scan has to count to name every column's type."""
-    counts = [F.count(F.lit(1)).alias("n")]
+def _type_counts(df: DataFrame) -> list[str]:
+    """What one scan has to count to name every column's type, as SQL."""
+    counts = ["count(1) AS n"]
     for i, field in enumerate(df.schema):
-        column, kind = quoted(field.name), base_type(field.dataType)
-        counts.append(F.count(column).alias(f"v{i}"))
+        column, kind = name_sql(field.name), base_type(field.dataType)
+        counts.append(f"count({column}) AS v{i}")
         if kind in ("int", "float"):
-            counts.append(F.count_if(~column.isin(0, 1)).alias(f"x{i}"))
+            counts.append(f"count_if({column} NOT IN (0, 1)) AS x{i}")
         elif kind == "str":
-            counts.append(F.count_if(~column.isin(*YES_NO)).alias(f"x{i}"))
-            counts.append(F.count_if(is_date_text(field.name)).alias(f"d{i}"))
+            labels = ", ".join(f"'{label}'" for label in YES_NO)
+            counts += [f"count_if({column} NOT IN ({labels})) AS x{i}", f"count_if({date_text_sql(field.name)}) AS d{i}"]
     return counts
 
 
-def _type_name(df: DataFrame, i: int) -> Column:
+def _type_name(df: DataFrame, i: int) -> str:
     kind = base_type(df.schema[i].dataType)
     if kind is None:
-        return F.lit(None).cast("string")
-    rows, values = F.col("n"), F.col(f"v{i}")
-    name = F.lit(kind)
-    if kind == "str":
-        dates = F.col(f"d{i}") / F.when(values > 0, values)
-        name = F.when(dates >= MIN_DATE_SHARE, F.lit("datetime")).otherwise(name)
+        return "CAST(NULL AS STRING)"
+    tests = ["WHEN n = 0 THEN 'bool'"]
     if kind in ("int", "float", "str"):
         # a missing value is one more distinct value, so it rules the two-label types out
-        name = F.when((values == rows) & (F.col(f"x{i}") == 0), F.lit("bool")).otherwise(name)
-    return F.when(rows == 0, F.lit("bool")).otherwise(name)
+        tests.append(f"WHEN v{i} = n AND x{i} = 0 THEN 'bool'")
+    if kind == "str":
+        tests.append(f"WHEN v{i} > 0 AND d{i} / v{i} >= {MIN_DATE_SHARE}D THEN 'datetime'")
+    return f"CASE {' '.join(tests)} ELSE '{kind}' END"
 
 
 def column_types(tables: Tables) -> DataFrame:
     """One row per column: datatype, rows and non-null values. One scan per table, no shuffle of its rows."""
     frames = []
     for table, df in sorted(tables.items()):
-        rows = F.array(*[
-            F.struct(F.lit(table).alias("table_name"), F.lit(field.name).alias("column_name"),
-                     F.lit(i).alias("ordinal"), _type_name(df, i).alias("datatype"),
-                     F.col("n").alias("nb_rows"), F.col(f"v{i}").alias("nb_values"))
-            for i, field in enumerate(df.schema)
-        ])
-        frames.append(df.agg(*_type_counts(df)).select(F.inline(rows)))
+        rows = [f"named_struct('table_name', {_text(table)}, 'column_name', {_text(field.name)}, 'ordinal', {i}, "
+                f"'datatype', {_type_name(df, i)}, 'nb_rows', n, 'nb_values', v{i})" for i, field in enumerate(df.schema)]
+        frames.append(df.selectExpr(*_type_counts(df)).selectExpr(f"inline(array({', '.join(rows)}))"))
     return union_all(frames)
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def date_text_share(df: DataFrame, name: str) -> DataFrame:
     """Share of a string column's non-null values that read as dates, and the verdict."""
     column = quoted(name)
@@ -112,45 +115,46 @@ def cast_date_texts(df: DataFrame, date_columns: list[str]) -> DataFrame:
 
 # --- value counts and what follows from them ------------------------------------------------------
 
-def value_counts(tables: Tables, with_rows: bool = True) -> DataFrame:
-    """attr, family, num, txt, cnt: how often each value occurs in each column of each table.
-
-    All columns of all tables go through one aggregation with map-side combine, so a value filling a
-    third of a table is one partial count per task. Whole rows are counted the same way, under their
-    fingerprint, which gives duplicates without shuffling the rows.
-    """
+def cells(tables: Tables, slices: int | None = None) -> DataFrame:
+    """attr, family, num, txt: every cell of every column under the key by which equal values meet; with `slices` only the cells of one
+    slice of the hash space, without missing ones."""
     frames, attr = [], 0
-    for n, (table, df) in enumerate(sorted(tables.items())):
-        cells = []
+    for _, df in sorted(tables.items()):
+        keyed = []
         for name in df.columns:
-            family, num, txt = cell_key(df, name)
-            cells.append(F.struct(F.lit(attr).alias("attr"), family.alias("family"),
-                                  num.alias("num"), txt.alias("txt")))
+            family, num, txt = cell_sql(df, name)
+            cell = f"named_struct('attr', {attr}, 'family', {family}, 'num', {num}, 'txt', {txt})"
+            keyed.append(cell if slices is None else f"CASE WHEN {in_slice(df, name, slices)} THEN {cell} END")
             attr += 1
         # a few columns per branch: each reads only its own columns, and its code stays small enough to compile
-        for start in range(0, len(cells), COLUMNS_PER_BRANCH):
-            frames.append(df.select(F.inline(F.array(*cells[start:start + COLUMNS_PER_BRANCH]))))
-        if with_rows:
-            frames.append(df.select(
-                F.lit(-1 - n).alias("attr"), F.lit(9).cast("tinyint").alias("family"),
-                F.lit(None).cast("double").alias("num"), row_fingerprint(df).alias("txt")))
+        for start in range(0, len(keyed), COLUMNS_PER_BRANCH):
+            part = f"array({', '.join(keyed[start:start + COLUMNS_PER_BRANCH])})"
+            frames.append(df.selectExpr(f"inline({part if slices is None else f'array_compact({part})'})"))
+    return union_all(frames)
+
+
+def value_counts(tables: Tables, slices: int | None = None) -> DataFrame:
+    """attr, family, num, txt, cnt: how often each value occurs in each column of each table.
+
+    All columns of all tables go through one aggregation with map-side combine, so a value filling a
+    third of a table is one partial count per task. With `slices` only one slice of the hash space is counted,
+    without missing cells.
+    """
     # every NULL cell falls in one group per column, whatever its family
-    cells = union_all(frames)
     missing = F.col("num").isNull() & F.col("txt").isNull()
-    return (cells.withColumn("family", F.when(missing, F.lit(-1)).otherwise(F.col("family")).cast("tinyint"))
+    return (cells(tables, slices).withColumn("family", F.when(missing, F.lit(-1)).otherwise(F.col("family")).cast("tinyint"))
             .groupBy("attr", "family", "num", "txt").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _per_attribute(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("attr").agg(F.count(F.lit(1)).alias("nb_unique"))
-
+def table_profile(tables: Tables) -> DataFrame:
+    """table_name, nb_entries, nb_columns, nb_duplicated_rows, duplicates_distribution.
 
-def table_profile(tables: Tables, counts: DataFrame | None = None) -> DataFrame:
-    """table_name, nb_entries, nb_columns, nb_duplicated_rows, duplicates_distribution."""
+    Rows are counted under a 128-bit fingerprint, so no row is shuffled.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if counts is None:
-        counts = value_counts(tables)
-    rows = counts.filter("attr < 0").groupBy("attr").agg(
+    prints = union_all([df.select(F.lit(-1 - n).alias("attr"), row_fingerprint(df).alias("print"))
+                        for n, (_, df) in enumerate(sorted(tables.items()))])
+    rows = prints.groupBy("attr", "print").agg(F.count(F.lit(1)).alias("cnt")).groupBy("attr").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"))
     entries = F.coalesce(F.col("n"), F.lit(0))
     duplicates = entries - F.coalesce(F.col("u"), F.lit(0))
@@ -160,24 +164,77 @@ def table_profile(tables: Tables, counts: DataFrame | None = None) -> DataFrame:
         .alias("duplicates_distribution"))
 
 
-def column_profile(tables: Tables, counts: DataFrame, types: DataFrame) -> DataFrame:
-    """One row per column: type, distinct values (NULL is one), nulls, key and category flags."""
+@dataclass
+class Scanned:
+    """What one scan of a table tells of its columns."""
+
+    types: dict[str, str | None]
+    evidence: dict[str, Evidence]
+    rows: int
+    values: dict[str, int]
+
+
+def scan_columns(df: DataFrame) -> Scanned:
+    """Types and evidence of all columns in one aggregate."""
+    counted = df.selectExpr(*_type_counts(df), *evidence_counts(df))
+    row = counted.selectExpr("*", *[f"{_type_name(df, i)} AS t{i}" for i in range(len(df.schema))]).first()
+    return Scanned({f.name: row[f"t{i}"] for i, f in enumerate(df.schema)}, read_evidence(df, row), int(row["n"]),
+                   {f.name: int(row[f"v{i}"]) for i, f in enumerate(df.schema)})
+
+
+def _distinct(tables: Tables, wanted: dict[str, list[str]], slices: int | None = None) -> dict[tuple[str, str], tuple[int, int]]:
+    """(different values, greatest count of one) of the wanted columns, a missing value being one more; one row per column
+    reaches the driver."""
+    subset = {t: tables[t].select(*[quoted(c) for c in names]) for t, names in wanted.items() if names}
+    if not subset:
+        return {}
+    places = [(t, c) for t, df in sorted(subset.items()) for c in df.columns]
+    found = value_counts(subset, slices).groupBy("attr").agg(
+        F.count(F.lit(1)).alias("u"), F.max("cnt").alias("most")).collect()
+    return {places[r["attr"]]: (int(r["u"]), int(r["most"])) for r in found}
+
+
+def column_profile(tables: Tables, types: dict[str, dict[str, str | None]], scans: dict[str, Scanned],
+                   exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(columns, categories): type, distinct values (NULL is one), nulls, key and category flags of each column, and the categories
+    of those that have few.
+
+    `scans` hold what is known of the tables as they are now, `types` the types they had before date strings were cast. With `exact` the
+    number of distinct values is known for all columns; without, only where a flag had to be settled by counting.
+    """
     spark = next(iter(tables.values())).sparkSession
-    measured = F.col("storage").isNotNull()
-    unique = F.coalesce("nb_unique", F.lit(0))
-    known = types.select("table_name", "column_name", "datatype", "nb_rows", "nb_values")
-    return (
-        columns_frame(spark, tables)
-        .join(_per_attribute(counts), "attr", "left")
-        .join(known, ["table_name", "column_name"])
-        .select(
-            "table_name", "column_name", "ordinal", "datatype",
-            F.when(measured, unique).alias("nb_unique"),
-            (F.col("nb_rows") > F.col("nb_values")).alias("null_values"),
-            (F.col("nb_rows") - F.col("nb_values")).alias("nb_nulls"),
-            (measured & (unique == F.col("nb_rows"))).alias("potential_primary_key"),
-            (measured & (unique <= MAX_CATEGORIES)).alias("is_categorical"),
-        ))
+    evidence = {(t, c): e for t, scan in scans.items() for c, e in scan.evidence.items()}
+
+    def of(test) -> dict[str, list[str]]:
+        return {t: [c for c in df.columns if (t, c) in evidence and test((t, c))] for t, df in tables.items()}
+
+    maybe_few = of(lambda k: evidence[k].may_be_few(MAX_CATEGORIES))
+    categories = materialize(category_distribution(tables, maybe_few), "categories")
+    labels = {(r["table_name"], r["column_name"]): int(r["n"]) for r in categories.groupBy(
+        "table_name", "column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unique = {(t, c): labels.get((t, c), 0) + int(evidence[t, c].nulls > 0) for t, names in maybe_few.items() for c in names}
+    if exact:
+        rest = of(lambda k: k not in unique)
+        unique.update({k: u for k, (u, _) in _distinct(tables, rest).items()})
+    else:
+        maybe_key = of(lambda k: k not in unique and evidence[k].may_be_key)
+        repeated = {k for k, (_, most) in _distinct(tables, maybe_key, SLICES).items() if most > 1}
+        rest = of(lambda k: k not in unique and evidence[k].may_be_key and k not in repeated)
+        unique.update({k: u for k, (u, _) in _distinct(tables, rest).items()})
+
+    rows = []
+    for t, df in sorted(tables.items()):
+        for ordinal, c in enumerate(df.columns):
+            scan, known = scans[t], unique.get((t, c))
+            nulls = scan.rows - scan.values[c]
+            rows.append((t, c, ordinal, types[t][c], known, nulls > 0, nulls, known is not None and known == scan.rows,
+                         known is not None and known <= MAX_CATEGORIES))
+    columns = spark.createDataFrame(
+        rows, "table_name string, column_name string, ordinal int, datatype string, nb_unique long, null_values boolean, "
+              "nb_nulls long, potential_primary_key boolean, is_categorical boolean")
+    few = [(t, c) for t, c, *_, is_few in rows if is_few]
+    return columns, categories.join(F.broadcast(spark.createDataFrame(few, "table_name string, column_name string")),
+                                    ["table_name", "column_name"], "left_semi")
 
 
 def null_profile(tables: Tables) -> DataFrame:
@@ -194,7 +251,7 @@ def null_profile(tables: Tables) -> DataFrame:
 
 # --- categories and string distribution -----------------------------------------------------------
 
-def _label(df: DataFrame, name: str) -> Column:
+def label_text(df: DataFrame, name: str) -> Column:
     """A category as text; negative zero reads as zero."""
     column = quoted(name)
     if base_type(df.schema[name].dataType) == "float":
@@ -202,125 +259,130 @@ def _label(df: DataFrame, name: str) -> Column:
     return column.cast("string")
 
 
+_CATEGORY = pa.schema([("table_name", pa.string()), ("column_name", pa.string()), ("category", pa.string()), ("cnt", pa.int64())])
+#: Labels of a column that a task holds before it hands them on.
+HELD_LABELS = 10_000
+
+
+def _label_counts(table: str, df: DataFrame, names: list[str]) -> DataFrame:
+    """Counts per task of the labels of some columns: a task holds a bounded set of labels per column and hands on a row per label."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = [{} for _ in names]
+
+        def rows(i: int) -> pa.RecordBatch:
+            own, held[i] = held[i], {}
+            return pa.RecordBatch.from_arrays([
+                pa.array([table] * len(own), pa.string()), pa.array([names[i]] * len(own), pa.string()),
+                pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], schema=_CATEGORY)
+
+        for batch in batches:
+            for i, own in enumerate(held):
+                for entry in batch.column(i).drop_null().value_counts().to_pylist():
+                    own[entry["values"]] = own.get(entry["values"], 0) + entry["counts"]
+                if len(own) > HELD_LABELS:
+                    yield rows(i)
+        for i in range(len(names)):
+            yield rows(i)
+
+    labels = df.select(*[label_text(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    return labels.mapInArrow(count, "table_name string, column_name string, category string, cnt long")
+
+
 def category_distribution(tables: Tables, categorical: dict[str, list[str]]) -> DataFrame:
     """table_name, column_name, category, cnt, share among non-null rows, for the named columns.
 
-    The columns hold at most 100 values each, so after the map-side combine the shuffle is tiny.
+    The columns hold at most 100 values each, so a task sends at most so many counts a column; no cell is shuffled.
     """
     spark = next(iter(tables.values())).sparkSession
-    frames = []
-    for table, names in sorted(categorical.items()):
-        if not names:
-            continue
-        df = tables[table]
-        cells = F.array(*[
-            F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
-                     _label(df, c).alias("category")) for c in names])
-        frames.append(df.select(F.inline(cells)).filter("category IS NOT NULL"))
+    frames = [_label_counts(t, tables[t], names) for t, names in sorted(categorical.items()) if names]
     if not frames:
         return spark.createDataFrame(
             [], "table_name string, column_name string, category string, cnt long, share double")
-    found = union_all(frames).groupBy("table_name", "column_name", "category").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    found = union_all(frames).groupBy("table_name", "column_name", "category").agg(F.sum("cnt").alias("cnt"))
     totals = found.groupBy("table_name", "column_name").agg(F.sum("cnt").alias("total"))
     return found.join(totals, ["table_name", "column_name"]).select(
         "table_name", "column_name", "category", "cnt", (F.col("cnt") / F.col("total")).alias("share"))
 
 
-def string_distribution(tables: Tables, counts: DataFrame | None = None) -> DataFrame:
+def string_distribution(tables: Tables) -> DataFrame:
     """count, unique, top and freq of every string column; the smallest value wins a tie for top.
 
-    Counting runs on short keys. Where every value is unique the top is the column's minimum, found by
-    the scan; otherwise only the rows whose key reaches the top frequency are looked at again.
+    Counting runs on short keys, which for a long string begin with its first characters. Of the most frequent keys only those with
+    the smallest beginning can be the top, and only rows that begin so are looked at again for the whole text.
     """
     spark = next(iter(tables.values())).sparkSession
     text = {t: [f.name for f in df.schema if base_type(f.dataType) == "str"] for t, df in tables.items()}
     text = {t: names for t, names in text.items() if names}
     subset = {t: tables[t].select(*[quoted(c) for c in names]) for t, names in text.items()}
     attributes = columns_frame(spark, subset).select("attr", "table_name", "column_name")
-    if counts is None:
-        filled = value_counts(subset, with_rows=False)
-    else:
-        whole = columns_frame(spark, tables).select(F.col("attr").alias("a"), "table_name", "column_name")
-        ids = attributes.join(whole, ["table_name", "column_name"]).select("a", "attr")
-        filled = (counts.withColumnRenamed("attr", "a").join(F.broadcast(ids), "a").drop("a"))
-    filled = filled.filter("family >= 0")
+    filled = materialize(value_counts(subset).filter("family >= 0"), "texts")
     stats = filled.groupBy("attr").agg(
         F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("cnt").alias("freq"))
-
-    smallest, cells, attr = [], [], 0
+    # one row per column: schema-sized
+    stats = materialize(stats, "text-stats")
+    most = filled.join(F.broadcast(stats.select("attr", F.col("freq").alias("cnt"))), ["attr", "cnt"])
+    beginning = F.substring("txt", 1, KEY_PREFIX)
+    ends = materialize(most.groupBy("attr").agg(
+        F.min(F.when(F.col("family") == SHORT_TEXT, F.col("txt"))).alias("short"),
+        F.min(F.when(F.col("family") == LONG_TEXT, beginning)).alias("beginning")), "text-tops")
+    first = ends.select("attr", "beginning")
+    long = most.filter(F.col("family") == LONG_TEXT).withColumn("beginning", beginning).join(
+        F.broadcast(first), ["attr", "beginning"]).select("attr", "txt")
+
+    texts, attr = [], 0
     for table, names in sorted(text.items()):
-        df = subset[table]
-        smallest.append(df.agg(*[F.min(quoted(c)).alias(f"m{i}") for i, c in enumerate(names)]).select(
-            F.inline(F.array(*[F.struct(F.lit(attr + i).alias("attr"), F.col(f"m{i}").alias("smallest"))
-                               for i in range(len(names))]))))
         keyed = []
-        for i, c in enumerate(names):
-            family, _, txt = cell_key(df, c)
-            keyed.append(F.struct(F.lit(attr + i).alias("attr"), family.alias("family"), txt.alias("txt"),
-                                  quoted(c).alias("value")))
-        cells.append(df.select(F.inline(F.array(*keyed))))
-        attr += len(names)
-    winners = filled.join(F.broadcast(stats.filter("freq > 1").select("attr", F.col("freq").alias("cnt"))),
-                          ["attr", "cnt"]).select("attr", "family", "txt")
-    repeated = union_all(cells).join(winners, ["attr", "family", "txt"], "left_semi").groupBy("attr").agg(
-        F.min("value").alias("repeated"))
+        for c in names:
+            family, _, txt = cell_key(subset[table], c)
+            keyed.append(F.struct(F.lit(attr).alias("attr"), family.alias("family"), txt.alias("txt"), quoted(c).alias("value"),
+                                  F.substring(quoted(c), 1, KEY_PREFIX).alias("beginning")))
+            attr += 1
+        texts.append(subset[table].select(F.inline(F.array(*keyed))).filter(F.col("family") == LONG_TEXT))
+    whole = union_all(texts).join(F.broadcast(first), ["attr", "beginning"]).join(long, ["attr", "txt"], "left_semi")
+    whole = whole.groupBy("attr").agg(F.min("value").alias("long"))
     return (
-        attributes.join(stats, "attr", "left").join(union_all(smallest), "attr", "left")
-        .join(repeated, "attr", "left")
+        attributes.join(stats, "attr", "left").join(ends, "attr", "left").join(whole, "attr", "left")
         .select("table_name", "column_name", F.coalesce("count", F.lit(0)).alias("count"),
-                F.coalesce("unique", F.lit(0)).alias("unique"),
-                F.when(F.col("freq") > 1, F.col("repeated")).otherwise(F.col("smallest")).alias("top"),
+                F.coalesce("unique", F.lit(0)).alias("unique"), F.least("short", "long").alias("top"),
                 F.col("freq")))
 
 
 # --- numeric and datetime distribution ------------------------------------------------------------
 
-def _long_rows(table: str, stats: list[tuple[str, str, Column]], value_type: str) -> Column:
-    return F.inline(F.array(*[
-        F.struct(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                 F.lit(stat).alias("stat"), value.cast(value_type).alias("value"))
-        for column, stat, value in stats]))
-
-
-def _counts_of(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
-    found = df.agg(*[F.count(v).alias(f"v{i}") for i, v in enumerate(values.values())]).first()
-    return {name: int(found[f"v{i}"]) for i, name in enumerate(values)}
-
-
-def _distribution(table: str, df: DataFrame, values: dict[str, Column], limit: int, spread: bool,
-                  show, value_type: str) -> DataFrame:
-    counts = _counts_of(df, values)
-    percentiles = exact_percentiles(df, values, PERCENTILES, counts, limit)
-    aggs, stats = [], []
-    for i, (name, value) in enumerate(values.items()):
-        # whole microseconds are summed as decimals, which a double sum would round
-        mean = F.avg(value) if spread else F.floor(F.avg(value.cast("decimal(20,0)"))).cast("double")
-        wanted = {"count": F.count(value), "mean": mean}
+def _distribution(table: str, df: DataFrame, columns: list[str], mean, spread: bool) -> list[tuple]:
+    """(table, column, stat, value) of all columns: one scan for counts and ends, then radix selection."""
+    values = {c: ordered(df, c) for c in columns}
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(values[c]).alias(f"n{i}"), mean(c).alias(f"m{i}"), F.min(values[c]).alias(f"l{i}"), F.max(values[c]).alias(f"h{i}")]
         if spread:
-            wanted["std"] = F.stddev_samp(value)
-        wanted.update(min=F.min(value), max=F.max(value))
-        aggs += [expression.alias(f"{i}_{stat}") for stat, expression in wanted.items()]
-        aggs += percentiles[name].aggregates(f"{i}_p")
-        found = {stat: F.col(f"`{i}_{stat}`") for stat in wanted}
-        found.update(zip(PERCENTILE_NAMES, percentiles[name].results(f"{i}_p")))
-        order = [s for s in ("count", "mean", "std", "min") if s in found] + PERCENTILE_NAMES + ["max"]
-        stats += [(name, stat, found[stat] if stat == "count" else show(found[stat])) for stat in order]
-    return df.agg(*aggs).select(_long_rows(table, stats, value_type))
-
-
-def numeric_distribution(table: str, df: DataFrame, columns: list[str],
-                         limit: int = MAX_VALUES) -> DataFrame:
+            aggs.append(F.stddev_samp(as_double(df, c)).alias(f"s{i}"))
+    row = df.agg(*aggs).first()
+    spans = {c: Span(row[f"l{i}"], row[f"h{i}"], int(row[f"n{i}"])) for i, c in enumerate(columns)}
+    at = values_at_ranks(df, values, {c: ranks_of(PERCENTILES, spans[c].count) for c in columns}, spans)
+    rows = []
+    for i, c in enumerate(columns):
+        span = spans[c]
+        stats = [("count", float(span.count)), ("mean", None if row[f"m{i}"] is None else float(row[f"m{i}"]))]
+        stats += [("std", row[f"s{i}"])] if spread else []
+        stats += [("min", span.low)] + [(n, interpolated(p, span.count, at[c])) for n, p in zip(PERCENTILE_NAMES, PERCENTILES)]
+        rows += [(table, c, stat, None if value is None else float(value)) for stat, value in stats + [("max", span.high)]]
+    return rows
+
+
+def numeric_distribution(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """Long rows (stat, value): count, mean, std, min, percentiles, max of numeric columns."""
-    return _distribution(table, df, {c: as_double(df, c) for c in columns}, limit, True,
-                         lambda found: F.round(found, 4), "double")
+    rows = _distribution(table, df, columns, lambda c: F.avg(as_double(df, c)), True)
+    return df.sparkSession.createDataFrame(
+        rows, "table_name string, column_name string, stat string, value double").withColumn("value", F.round("value", 4))
 
 
-def datetime_distribution(table: str, df: DataFrame, columns: list[str],
-                          limit: int = MAX_VALUES) -> DataFrame:
+def datetime_distribution(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """Long rows (stat, value as text): count, mean, min, percentiles, max of time columns."""
-    def show(found: Column) -> Column:
-        return F.date_format(F.timestamp_micros(F.round(found).cast("bigint")), TIME_FORMAT)
-
-    return _distribution(table, df, {c: epoch_micros(quoted(c)).cast("double") for c in columns}, limit,
-                         False, show, "string")
+    # whole microseconds are summed as decimals, which a double sum would round
+    rows = _distribution(table, df, columns, lambda c: F.floor(F.avg(epoch_micros(quoted(c)).cast("decimal(20,0)"))), False)
+    found = df.sparkSession.createDataFrame(rows, "table_name string, column_name string, stat string, number double")
+    number = F.round("number").cast("bigint")
+    shown = F.when(F.col("stat") == "count", number.cast("string")).otherwise(
+        F.date_format(F.timestamp_micros(number), TIME_FORMAT))
+    return found.select("table_name", "column_name", "stat", shown.alias("value"))

@@ -8,7 +8,7 @@ from plumbline.operators.detection import (
 )
 from plumbline.operators.reconciliation import PRICE_TIERS, TOKEN_KINDS
 from plumbline.plans.registered import (
-    CATEGORICAL, NUMERICAL, PLACEHOLDER, PLACEHOLDER_EVERY, SPLIT_SEED, TIMES,
+    PLACEHOLDER, PLACEHOLDER_EVERY, SPLIT_SEED,
 )
 from plumbline.sources.tables import CLEAN_SHARE
 
@@ -179,18 +179,17 @@ def numeric_distribution() -> str:
 
 def datetime_distribution() -> str:
     parts = []
-    for t, columns in sorted(TIMES.items()):
-        for c in columns:
-            x = f"epoch_us({c})"
-
-            def show(value: str) -> str:
-                return f"strftime(make_timestamp(({value})::BIGINT), '%Y-%m-%d %H:%M:%S.%f')"
-
-            values = [f"count({c})::VARCHAR", show(f"sum({x})::HUGEINT // count({c})"), show(f"min({x})")]
-            values += [show(f"round(quantile_cont({x}::DOUBLE, {p}))") for p in _SHARES] + [show(f"max({x})")]
-            parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
-                unnest(['count', 'mean', 'min', {_SHARE_NAMES}, 'max']) AS stat,
-                unnest([{', '.join(values)}]) AS value FROM {t}""")
+    for t, c, _, _ in columns_of(TIME):
+        x = f"epoch_us({c})"
+
+        def show(value: str) -> str:
+            return f"strftime(make_timestamp(({value})::BIGINT), '%Y-%m-%d %H:%M:%S.%f')"
+
+        values = [f"count({c})::VARCHAR", show(f"sum({x})::HUGEINT // count({c})"), show(f"min({x})")]
+        values += [show(f"round(quantile_cont({x}::DOUBLE, {p}))") for p in _SHARES] + [show(f"max({x})")]
+        parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name,
+            unnest(['count', 'mean', 'min', {_SHARE_NAMES}, 'max']) AS stat,
+            unnest([{', '.join(values)}]) AS value FROM {t}""")
     return union(parts)
 
 
@@ -228,42 +227,69 @@ def correlations() -> str:
     return f"SELECT * FROM ({union(parts)}) WHERE r IS NOT NULL AND NOT isnan(r)"
 
 
+def _flags(schema: dict) -> str:
+    """CTE `profiled`: one row per column, with its flags."""
+    return f"profiled AS MATERIALIZED ({_column_rows(schema)})"
+
+
+def _is_categorical(t: str, c: str) -> str:
+    return (f"(SELECT is_categorical AND NOT potential_primary_key FROM profiled WHERE table_name = '{t}' "
+            f"AND column_name = '{c}')")
+
+
 def cramers_v() -> str:
     parts = []
-    for t, columns in sorted(CATEGORICAL.items()):
-        for i, a in enumerate(columns):
-            for b in columns[i + 1:]:
+    for t, columns in sorted(SCHEMA.items()):
+        names = [(c, k) for c, k in columns.items() if k is not None]
+        for i, (a, kind_a) in enumerate(names):
+            for b, kind_b in names[i + 1:]:
                 parts.append(f"""SELECT '{t}' AS table_name, '{a}' AS col_a, '{b}' AS col_b,
                     {rounded('''coalesce(CASE WHEN least(count(DISTINCT a), count(DISTINCT b)) < 2 THEN 0
                         ELSE sqrt(greatest(sum(n * n / (na * nb)::DOUBLE) - 1, 0)
                              / (least(count(DISTINCT a), count(DISTINCT b)) - 1)) END, 0.0)''')} AS v
                     FROM (SELECT a, b, n, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb
-                          FROM (SELECT {a}::VARCHAR AS a, {b}::VARCHAR AS b, count(*) AS n FROM {t}
-                                WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2))""")
-    return union(parts)
+                          FROM (SELECT {_plain(a, kind_a)}::VARCHAR AS a, {_plain(b, kind_b)}::VARCHAR AS b, count(*) AS n FROM {t}
+                                WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {_is_categorical(t, a)} AND {_is_categorical(t, b)}
+                                GROUP BY 1, 2))
+                    HAVING {_is_categorical(t, a)} AND {_is_categorical(t, b)}""")
+    return f"WITH {_flags(SCHEMA)}\n{union(parts)}"
+
+
+def _is_numerical(t: str, c: str) -> str:
+    return f"('{t}' || '.' || '{c}' IN (SELECT table_name || '.' || column_name FROM numerical))"
+
+
+def _numerical_ctes(schema: dict, tables: str = "") -> str:
+    """CTEs up to `profiled` and `numerical`; `tables` are CTEs of derived tables."""
+    return _key_ctes(schema, tables) + f""", {_flags(schema)},
+        numerical AS MATERIALIZED (SELECT table_name, column_name, ordinal FROM profiled WHERE datatype IN ('int', 'float')
+        AND (table_name, column_name) NOT IN (SELECT (parent_table, parent_column) FROM links))
+        """
 
 
 def correlation_ratio() -> str:
     parts = []
-    for t, numbers in sorted(NUMERICAL.items()):
-        for a in CATEGORICAL[t]:
-            for b in numbers:
-                if a != b:
+    for t, columns in sorted(SCHEMA.items()):
+        for a, kind in columns.items():
+            for b in (c for c, k in columns.items() if k in (INT, FLOAT)):
+                if a != b and kind is not None:
+                    wanted = f"{_is_categorical(t, a)} AND {_is_numerical(t, b)}"
                     parts.append(f"""SELECT '{t}' AS table_name, '{a}' AS categorical, '{b}' AS numerical,
-                        {rounded('CASE WHEN between_ss > 0 THEN sqrt(between_ss / total_ss) ELSE 0.0 END')} AS eta
+                        {rounded('coalesce(CASE WHEN between_ss > 0 THEN sqrt(between_ss / total_ss) ELSE 0.0 END, 0.0)')} AS eta
                         FROM (SELECT sum(n * (m - mean) ** 2) AS between_ss, any_value(total_ss) AS total_ss
                               FROM (SELECT count(*) AS n, avg({b}::DOUBLE) AS m FROM {t}
-                                    WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}),
+                                    WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {wanted} GROUP BY {_plain(a, kind)}),
                                    (SELECT avg({b}::DOUBLE) AS mean, var_pop({b}::DOUBLE) * count(*) AS total_ss FROM {t}
-                                    WHERE {a} IS NOT NULL AND {b} IS NOT NULL))""")
-    return union(parts)
+                                    WHERE {a} IS NOT NULL AND {b} IS NOT NULL AND {wanted}))
+                        WHERE {wanted}""")
+    return f"{_numerical_ctes(SCHEMA)}\n{union(parts)}"
 
 
 # --- keys ---------------------------------------------------------------------------------------------------
 
-def _key_ctes() -> str:
+def _key_ctes(schema: dict = SCHEMA, tables: str = "") -> str:
     cells = []
-    for t, c, i, k in columns_of(INT, FLOAT, STR, TIME):
+    for t, c, i, k in columns_of(INT, FLOAT, STR, TIME, tables=schema):
         num, txt = "NULL::DOUBLE", "NULL::VARCHAR"
         if k in (INT, FLOAT):
             num = f"{c}::DOUBLE + 0.0"
@@ -272,7 +298,7 @@ def _key_ctes() -> str:
         else:
             txt = f"'T' || epoch_us({c})::VARCHAR"
         cells.append(f"SELECT '{t}' AS t, '{c}' AS c, {i} AS o, {num} AS num, {txt} AS txt FROM {t}")
-    return f"""WITH cells AS ({union(cells)}),
+    return f"""WITH {tables} cells AS ({union(cells)}),
         vc AS (SELECT t, c, o, num, txt, count(*) AS cnt FROM cells GROUP BY ALL),
         stats AS (SELECT t, c, o, sum(cnt) AS n, count(*) AS u,
             coalesce(sum(cnt) FILTER (num IS NOT NULL OR txt IS NOT NULL), 0) AS filled FROM vc GROUP BY ALL),
@@ -309,9 +335,7 @@ def referenced_keys() -> str:
 
 
 def numerical_columns() -> str:
-    return _key_ctes() + f""", profiled AS ({_column_rows(SCHEMA)})
-        SELECT table_name, column_name, ordinal FROM profiled WHERE datatype IN ('int', 'float')
-        AND (table_name, column_name) NOT IN (SELECT (parent_table, parent_column) FROM links)"""
+    return f"{_numerical_ctes(SCHEMA)} SELECT * FROM numerical"
 
 
 def pair_coverage() -> str:
@@ -324,36 +348,43 @@ def pair_coverage() -> str:
 
 # --- numerical profile ---------------------------------------------------------------------------------------
 
-def _suspects(source: str) -> str:
+#: All tables, orders with gaps and placeholders in place of orders.
+MARKED_SCHEMA = {"orders_marked" if t == "orders" else t: columns for t, columns in SCHEMA.items()}
+
+
+def _suspects() -> str:
+    """CTE `suspects`, after those that say which columns are numerical."""
     parts = []
-    for c in ("o_orderkey", "o_custkey", "o_totalprice"):
-        parts.append(f"""SELECT 'orders' AS table_name, '{c}' AS column_name, v AS value,
+    for t, c, _, _ in columns_of(INT, FLOAT, tables=MARKED_SCHEMA):
+        wanted = f"{_is_numerical(t, c)} AND (SELECT count(*) FROM numerical WHERE table_name = '{t}') > 1"
+        parts.append(f"""SELECT '{t}' AS table_name, '{c}' AS column_name, v AS value,
             {rounded('f')} AS frequency, {rounded('CASE WHEN v > hi THEN (v - hi) / iqr ELSE (lo - v) / iqr END', 2)}
             AS gap_to_fence_iqr FROM (
             SELECT v, f, q3 - q1 AS iqr, q1 - 10 * (q3 - q1) AS lo, q3 + 10 * (q3 - q1) AS hi FROM (
                 SELECT any_value(m.v) AS v, any_value(m.f) AS f,
                     quantile_cont(x, 0.25) FILTER (x <> m.v) AS q1, quantile_cont(x, 0.75) FILTER (x <> m.v) AS q3
-                FROM (SELECT {c}::DOUBLE AS x FROM src),
-                     (SELECT {c}::DOUBLE AS v, count(*) / (SELECT count(*) FROM src)::DOUBLE AS f FROM src
+                FROM (SELECT {c}::DOUBLE AS x FROM {t}),
+                     (SELECT {c}::DOUBLE AS v, count(*) / (SELECT count(*) FROM {t})::DOUBLE AS f FROM {t}
                       WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY f DESC, v LIMIT 1) m))
-            WHERE f > 0.01 AND iqr <> 0 AND (v > hi OR v < lo)""")
-    return f"WITH src AS ({source})\n{union(parts)}"
+            WHERE f > 0.01 AND iqr <> 0 AND (v > hi OR v < lo) AND {wanted}""")
+    tables = f"orders_marked AS ({placeholder(ORDERS_NULLS)}),"
+    return f"{_numerical_ctes(MARKED_SCHEMA, tables)}, suspects AS ({union(parts)})"
 
 
 def disguised_missing() -> str:
-    return _suspects(placeholder("SELECT * FROM orders"))
+    return f"{_suspects()} SELECT * FROM suspects"
 
 
 def ml_row_counts() -> str:
-    source = placeholder(ORDERS_NULLS)
-    return f"""WITH src AS ({source}), s AS ({_suspects(source)})
-        SELECT 'orders' AS table_name, count(*) FILTER (keep) AS nb_entries_profiled,
-            count(*) FILTER (NOT keep) AS nb_entries_dropped FROM (
-            SELECT o_orderkey IS NOT NULL AND o_custkey IS NOT NULL AND o_totalprice IS NOT NULL
-                AND NOT EXISTS (SELECT 1 FROM s WHERE column_name = 'o_totalprice' AND value = o_totalprice)
-                AND NOT EXISTS (SELECT 1 FROM s WHERE column_name = 'o_custkey' AND value = o_custkey)
-                AND NOT EXISTS (SELECT 1 FROM s WHERE column_name = 'o_orderkey' AND value = o_orderkey) AS keep
-            FROM src)"""
+    parts = []
+    for t, columns in sorted(MARKED_SCHEMA.items()):
+        keep = " AND ".join(f"(NOT {_is_numerical(t, c)} OR ({c} IS NOT NULL AND {c}::DOUBLE NOT IN (SELECT value FROM suspects "
+                            f"WHERE table_name = '{t}' AND column_name = '{c}')))" for c, k in columns.items() if k in (INT, FLOAT))
+        parts.append(f"""SELECT '{t}' AS table_name, n AS nb_numerical, CASE WHEN n > 1 THEN kept END AS nb_entries_profiled,
+            CASE WHEN n > 1 THEN total - kept END AS nb_entries_dropped
+            FROM (SELECT (SELECT count(*)::INT FROM numerical WHERE table_name = '{t}') AS n,
+                  (SELECT count(*) FROM {t}) AS total, (SELECT count(*) FROM {t} WHERE {keep}) AS kept)""")
+    return f"{_suspects()} {union(parts)}"
 
 
 def pca_2col() -> str:

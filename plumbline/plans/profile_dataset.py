@@ -22,7 +22,8 @@ DECIMALS = 4
 PROFILE_FRAMES = (
     "profile_table", "profile_column", "profile_category", "profile_distribution", "profile_text",
     "profile_correlation", "profile_cramers_v", "profile_corr_ratio", "profile_fk", "profile_dmv",
-    "profile_pca", "profile_pca_loading", "profile_kmeans", "profile_kmeans_score", "profile_rows",
+    "profile_pca", "profile_pca_loading", "profile_main_columns", "profile_kmeans", "profile_kmeans_score", "profile_best_k",
+    "profile_rows",
 )
 
 _EMPTY = {
@@ -40,7 +41,9 @@ _EMPTY = {
     "profile_pca_loading": "table_name string, component int, column_name string, loading double",
     "profile_kmeans": "table_name string, cluster int, share double, column_name string, centroid double",
     "profile_kmeans_score": "table_name string, k int, score double",
-    "profile_rows": "table_name string, nb_entries_profiled long, nb_entries_dropped long",
+    "profile_rows": numeric_profile.ROWS,
+    "profile_main_columns": "table_name string, column_name string, place int",
+    "profile_best_k": "table_name string, best_k int, best_score double",
 }
 
 
@@ -49,37 +52,26 @@ def _gather(spark: SparkSession, name: str, frames: list[DataFrame]) -> DataFram
 
 
 class Columns(NamedTuple):
-    """Tables with date strings cast, their value counts and the column profile."""
+    """Tables with date strings cast, the column profile, and the categories of the columns that have few."""
 
     typed: tp.Tables
-    counts: DataFrame
     columns: DataFrame
+    categories: DataFrame
+    rows: dict[str, int]
 
 
-def profile_columns(tables: tp.Tables) -> Columns:
-    """Column profile of a set of tables, the value counts computed once."""
-    types = materialize(tp.column_types(tables), "types")
-    # one row per column
-    known = types.collect()
-    dates: dict[str, list[str]] = {}
-    for row in known:
-        if row["datatype"] == "datetime":
-            dates.setdefault(row["table_name"], []).append(row["column_name"])
-    typed = {name: tp.cast_date_texts(df, dates.get(name, [])) for name, df in tables.items()}
-    if any(typed[t] is not tables[t] for t in tables):
-        # values that are no dates became NULL, which counts as missing from here on
-        types = _recount(types, typed, dates)
-    counts = materialize(tp.value_counts(typed), "counts")
-    columns = materialize(tp.column_profile(typed, counts, types), "columns")
-    return Columns(typed, counts, columns)
-
-
-def _recount(types: DataFrame, typed: tp.Tables, dates: dict[str, list[str]]) -> DataFrame:
-    """Types with the values of cast columns counted after the cast."""
-    cast = {t: typed[t].select(*[quoted(c) for c in names]) for t, names in dates.items()}
-    nulls = tp.null_profile(cast).select("table_name", "column_name", "nb_nulls")
-    return types.join(nulls, ["table_name", "column_name"], "left").withColumn(
-        "nb_values", F.coalesce(F.col("nb_rows") - F.col("nb_nulls"), "nb_values")).drop("nb_nulls")
+def profile_columns(tables: tp.Tables, exact: bool = True) -> Columns:
+    """Column profile of a set of tables. Without `exact`, distinct values are only counted where a flag depends on it."""
+    names = sorted(tables)
+    scans = dict(zip(names, each(names, lambda t: tp.scan_columns(tables[t]))))
+    types = {t: scan.types for t, scan in scans.items()}
+    dates = {t: [c for c, kind in types[t].items() if kind == "datetime"] for t in names}
+    typed = {t: tp.cast_date_texts(tables[t], dates[t]) for t in names}
+    # values that are no dates became NULL, which counts as missing from here on
+    again = [t for t in names if typed[t] is not tables[t]]
+    scans.update(zip(again, each(again, lambda t: tp.scan_columns(typed[t]))))
+    columns, categories = tp.column_profile(typed, types, scans, exact)
+    return Columns(typed, columns, categories, {t: scan.rows for t, scan in scans.items()})
 
 
 def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tuple[str, ...] = (),
@@ -88,17 +80,21 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
     """The wanted profile frames of a set of tables, all by default.
 
     `test` holds the other side of the split: keys are looked up over both. Tables named in `views` are
-    profiled but take no part in foreign keys. `key` names a row identity column to leave out.
+    profiled but take no part in foreign keys. `key` names a row identity column to leave out. Where only some `parts` are wanted,
+    duplicate rows are counted for `profile_table` alone, and distinct values only where a flag depends on them.
     """
     spark = next(iter(tables.values())).sparkSession
     rows = {name: df for name, df in tables.items()}
     if key is not None:
         tables = {name: df.drop(key) for name, df in tables.items()}
-    typed, counts, columns = profile_columns(tables)
-    frames: Frames = {
-        "profile_table": tp.table_profile(typed, counts),
-        "profile_column": columns,
-    }
+    typed, columns, found_categories, nb_rows = profile_columns(tables, exact=parts is None)
+    if parts is None or "profile_table" in parts:
+        table_frame = tp.table_profile(typed)
+    else:
+        table_frame = spark.createDataFrame(
+            [(t, nb_rows[t], len(df.columns), None, None) for t, df in sorted(typed.items())],
+            "table_name string, nb_entries long, nb_columns int, nb_duplicated_rows long, duplicates_distribution double")
+    frames: Frames = {"profile_table": table_frame, "profile_column": columns}
     details: dict[str, dict] = {}
     for row in columns.orderBy("table_name", "ordinal").collect():
         details.setdefault(row["table_name"], {})[row["column_name"]] = row
@@ -110,9 +106,9 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
         return [c for c, row in details[table].items() if test(row)]
 
     categorical = {t: names(t, lambda r: r["is_categorical"] and not r["potential_primary_key"]) for t in tables}
+    labels = association.read_labels(found_categories) if numeric or wanted("profile_cramers_v") else {}
     if wanted("profile_category"):
-        measured = {t: names(t, lambda r: r["is_categorical"]) for t in tables}
-        frames["profile_category"] = tp.category_distribution(typed, measured)
+        frames["profile_category"] = found_categories
     if wanted("profile_distribution"):
         stored = [(t, numeric_columns(df)) for t, df in sorted(typed.items()) if numeric_columns(df)]
         frames["profile_distribution"] = _gather(spark, "profile_distribution", each(
@@ -133,7 +129,7 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
             paired, lambda t: association.correlations(t, typed[t])))
     if wanted("profile_cramers_v"):
         frames["profile_cramers_v"] = _gather(spark, "profile_cramers_v", [
-            association.cramers_v(t, df, categorical[t]) for t, df in sorted(typed.items())
+            association.cramers_v(t, df, categorical[t], labels.get(t, {})) for t, df in sorted(typed.items())
             if len(categorical[t]) > 1])
     if numeric or wanted("profile_fk"):
         linked = {t: df for t, df in tables.items() if t not in views}
@@ -141,16 +137,23 @@ def profile_dataset(tables: tp.Tables, test: tp.Tables | None = None, views: tup
             linked = {t: df.unionByName(test[t].select(*df.columns)) if t in test else df
                       for t, df in linked.items()}
         own = columns.filter(~F.col("table_name").isin(*views)) if views else columns
-        links = materialize(keys.discover(linked, own), "links")
+        # categories of the tables as they are looked up: not those of clean rows alone, nor of cast dates
+        known = found_categories if test is None and all(typed[t] is tables[t] for t in linked) else None
+        links = materialize(keys.discover(linked, own, categories=known), "links")
         frames["profile_fk"] = links
         if numeric:
-            frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, clusters))
+            plain = {t: own for t, own in labels.items() if typed[t] is tables[t]}
+            frames.update(_numeric_frames(spark, tables, rows, columns, links, categorical, plain, clusters))
     return frames
 
 
 def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, columns: DataFrame,
-                    links: DataFrame, categorical: dict[str, list[str]], with_clusters: bool) -> Frames:
-    """What runs on numeric columns once it is known which keys other tables point at."""
+                    links: DataFrame, categorical: dict[str, list[str]], labels: dict[str, association.Labels],
+                    with_clusters: bool) -> Frames:
+    """What runs on numeric columns once it is known which keys other tables point at.
+
+    `labels` hold the labels of tables whose date strings needed no cast; those of others are looked up as they stand.
+    """
     numerical: dict[str, list[str]] = {}
     for row in keys.numerical_columns(columns, links).orderBy("table_name", "ordinal").collect():
         numerical.setdefault(row["table_name"], []).append(row["column_name"])
@@ -158,9 +161,10 @@ def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, col
     def profile(t: str) -> dict[str, DataFrame]:
         df, own, found = tables[t], numerical.get(t, []), {}
         if categorical[t] and own:
-            found["profile_corr_ratio"] = association.correlation_ratio(t, df, categorical[t], own)
-        # a single numeric column has nothing to be profiled against
+            found["profile_corr_ratio"] = association.correlation_ratio(t, df, categorical[t], own, labels.get(t))
+        # a single numeric column has nothing to be profiled against: only their number is told
         if len(own) < 2:
+            found["profile_rows"] = numeric_profile.row_counts(t, df, own, [])
             return found
         suspects = numeric_profile.disguised_missing(t, df, own)
         placeholders = suspects.collect()
@@ -169,14 +173,17 @@ def _numeric_frames(spark: SparkSession, tables: tp.Tables, rows: tp.Tables, col
         found["profile_rows"] = numeric_profile.row_counts(t, df, own, placeholders)
         pca = numeric_profile.principal_components(t, clean, own)
         found["profile_pca"], found["profile_pca_loading"] = pca.components, pca.loadings
+        found["profile_main_columns"] = spark.createDataFrame(
+            [(t, c, place + 1) for place, c in enumerate(pca.main_columns)], _EMPTY["profile_main_columns"])
         if with_clusters:
             grouped = find_clusters(t, clean, own)
             found["profile_kmeans"], found["profile_kmeans_score"] = grouped.centroids, grouped.scores
+            found["profile_best_k"] = spark.createDataFrame(
+                [(t, grouped.best_k, grouped.best_score)] if grouped.best_k else [], _EMPTY["profile_best_k"])
         return found
 
     parts = each(sorted(tables), profile)
-    wanted = ("profile_corr_ratio", "profile_dmv", "profile_rows", "profile_pca", "profile_pca_loading",
-              "profile_kmeans", "profile_kmeans_score")
+    wanted = ("profile_corr_ratio", *_ML_FRAMES)
     return {name: _gather(spark, name, [p[name] for p in parts if name in p]) for name in wanted}
 
 
@@ -210,8 +217,8 @@ def load_profile(spark: SparkSession, folder: str, names: tuple[str, ...] = PROF
 
 
 # Frames of the machine-learning part, which a reader of one table's profile does not get.
-_ML_FRAMES = ("profile_dmv", "profile_pca", "profile_pca_loading", "profile_kmeans", "profile_kmeans_score",
-              "profile_rows")
+_ML_FRAMES = ("profile_dmv", "profile_pca", "profile_pca_loading", "profile_main_columns", "profile_kmeans",
+              "profile_kmeans_score", "profile_best_k", "profile_rows")
 
 
 def read_calibration(frames: Frames, table: str) -> dict:

@@ -6,12 +6,13 @@ expressions, so the work of each query grows with the tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import numeric_columns, quoted
+from plumbline.functions.columns import base_type, numeric_columns, quoted
 from plumbline.functions.draws import uniform
 from plumbline.operators import association, corruption, keys, numeric_profile, reconciliation
 from plumbline.operators import table_profile as tp
@@ -30,27 +31,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations")
 STAR = TABLES[:7]
 
-# Columns with few values that are no keys, and the numeric columns they are held against.
-CATEGORICAL = {
-    "customer": ["c_nationkey", "c_mktsegment"],
-    "part": ["p_name", "p_brand", "p_type", "p_size"],
-    "orders": ["o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"],
-    "events": ["event_type", "props"],
-    "documents": ["lang", "source"],
-    "labels": ["quality", "toxic"],
-    "conversations": ["turn", "role"],
-}
-NUMERICAL = {
-    "customer": ["c_custkey", "c_acctbal"],
-    "part": ["p_partkey", "p_size", "p_retailprice"],
-    "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "lineitem": ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-    "events": ["event_id", "user_id", "value"],
-    "documents": ["doc_id", "n_chars"],
-}
-TIMES = {"orders": ["o_orderdate"], "lineitem": ["l_shipdate"], "events": ["ts"]}
-
 PLACEHOLDER, PLACEHOLDER_EVERY = 99999999.0, 20
 SPLIT_SEED = "split"
 
@@ -112,7 +92,8 @@ def column_types(spark, folder):
 
 
 def _columns(spark, folder, *names):
-    return profile_columns(load(spark, folder, *names))
+    """Column flags; distinct values are counted only where a flag depends on them."""
+    return profile_columns(load(spark, folder, *names), exact=False)
 
 
 def column_profile(spark, folder):
@@ -133,11 +114,7 @@ def null_profile(spark, folder):
 
 
 def category_distribution(spark, folder):
-    tables, _, columns = _columns(spark, folder)
-    names = {t: [] for t in tables}
-    for row in columns.filter("is_categorical").orderBy("table_name", "ordinal").collect():
-        names[row["table_name"]].append(row["column_name"])
-    return tp.category_distribution(tables, names).withColumn("share", F.round("share", 4))
+    return _columns(spark, folder).categories.withColumn("share", F.round("share", 4))
 
 
 def numeric_distribution(spark, folder):
@@ -147,8 +124,9 @@ def numeric_distribution(spark, folder):
 
 
 def datetime_distribution(spark, folder):
-    tables = load(spark, folder, *TIMES)
-    return tp.union_all(each(sorted(TIMES.items()), lambda s: tp.datetime_distribution(s[0], tables[s[0]], s[1])))
+    tables = load(spark, folder)
+    times = {t: [f.name for f in df.schema if base_type(f.dataType) == "datetime"] for t, df in sorted(tables.items())}
+    return tp.union_all(each([s for s in times.items() if s[1]], lambda s: tp.datetime_distribution(s[0], tables[s[0]], s[1])))
 
 
 def string_distribution(spark, folder):
@@ -167,28 +145,42 @@ def correlations(spark, folder):
     return tp.union_all(each(paired, lambda t: association.correlations(t, tables[t])))
 
 
+def _by_table(columns: DataFrame) -> dict[str, list[str]]:
+    """Column names by table, in column order: schema-sized."""
+    found: dict[str, list[str]] = {}
+    for row in columns.orderBy("table_name", "ordinal").collect():
+        found.setdefault(row["table_name"], []).append(row["column_name"])
+    return found
+
+
 def cramers_v(spark, folder):
-    tables = load(spark, folder, *CATEGORICAL)
-    return tp.union_all([association.cramers_v(t, tables[t], c) for t, c in sorted(CATEGORICAL.items())])
+    tables, columns, categories, _ = _columns(spark, folder)
+    labels = association.read_labels(categories)
+    paired = [(t, c) for t, c in sorted(_by_table(keys.categorical_columns(columns)).items()) if len(c) > 1]
+    return tp.union_all([association.cramers_v(t, tables[t], c, labels[t]) for t, c in paired])
 
 
 def correlation_ratio(spark, folder):
-    tables = load(spark, folder, *NUMERICAL)
-    return tp.union_all([association.correlation_ratio(t, tables[t], CATEGORICAL[t], c)
-                         for t, c in sorted(NUMERICAL.items())])
+    tables, columns, categories, _ = _columns(spark, folder)
+    labels = association.read_labels(categories)
+    categorical = _by_table(keys.categorical_columns(columns))
+    numerical = _by_table(keys.numerical_columns(columns, keys.discover(tables, columns, categories=categories)))
+    both = sorted(set(categorical) & set(numerical))
+    return tp.union_all(each(both, lambda t: association.correlation_ratio(
+        t, tables[t], categorical[t], numerical[t], labels[t])))
 
 
 # --- keys ---------------------------------------------------------------------------------------------------
 
 def fk_coverage(spark, folder):
-    tables, counts, columns = _columns(spark, folder)
-    return keys.coverage(tables, columns, counts).drop("parent_rank")
+    found = _columns(spark, folder)
+    return keys.coverage(found.typed, found.columns).drop("parent_rank")
 
 
 def _links(spark, folder):
     tables = load(spark, folder)
-    found = profile_columns(tables)
-    return found.columns, keys.discover(tables, found.columns)
+    found = profile_columns(tables, exact=False)
+    return found.columns, keys.discover(tables, found.columns, categories=found.categories)
 
 
 def foreign_keys(spark, folder):
@@ -219,18 +211,31 @@ def pair_coverage(spark, folder):
 
 # --- numerical profile -----------------------------------------------------------------------------------
 
-_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+def _measured(spark, folder) -> tuple[tp.Tables, dict[str, list[str]]]:
+    """All tables, orders with gaps and placeholders in place of orders, and their columns fit for statistics."""
+    tables = load(spark, folder)
+    tables["orders_marked"] = orders_placeholder(orders_nulls(tables.pop("orders")))
+    _, columns, categories, _ = profile_columns(tables, exact=False)
+    return tables, _by_table(keys.numerical_columns(columns, keys.discover(tables, columns, categories=categories)))
+
+
+def _suspects(tables: tp.Tables, numerical: dict[str, list[str]]) -> DataFrame:
+    wide = [t for t in sorted(numerical) if len(numerical[t]) > 1]
+    return tp.union_all(each(wide, lambda t: numeric_profile.disguised_missing(t, tables[t], numerical[t])))
 
 
 def disguised_missing(spark, folder):
-    orders = orders_placeholder(load(spark, folder, "orders")["orders"])
-    return numeric_profile.disguised_missing("orders", orders, _ORDER_NUMBERS)
+    return _suspects(*_measured(spark, folder))
 
 
 def ml_row_counts(spark, folder):
-    orders = orders_placeholder(orders_nulls(load(spark, folder, "orders")["orders"]))
-    found = numeric_profile.disguised_missing("orders", orders, _ORDER_NUMBERS).collect()
-    return numeric_profile.row_counts("orders", orders, _ORDER_NUMBERS, found)
+    tables, numerical = _measured(spark, folder)
+    suspects: dict[str, list] = {}
+    # one row per column at most
+    for row in _suspects(tables, numerical).collect():
+        suspects.setdefault(row["table_name"], []).append(row)
+    return tp.union_all([numeric_profile.row_counts(t, df, numerical.get(t, []), suspects.get(t, []))
+                         for t, df in sorted(tables.items())])
 
 
 def pca_2col(spark, folder):
@@ -242,8 +247,12 @@ def pca_2col(spark, folder):
 
 
 def pca_profile(spark, folder):
-    lineitem = load(spark, folder, "lineitem")["lineitem"]
-    return numeric_profile.principal_components("lineitem", lineitem, NUMERICAL["lineitem"]).components
+    """Components of every table with two numeric columns or more."""
+    tables, columns, categories, _ = _columns(spark, folder)
+    numerical = _by_table(keys.numerical_columns(columns, keys.discover(tables, columns, categories=categories)))
+    wide = [t for t in sorted(numerical) if len(numerical[t]) > 1]
+    return tp.union_all([p.components for p in each(
+        wide, lambda t: numeric_profile.principal_components(t, tables[t], numerical[t]))])
 
 
 def kmeans_profile(spark, folder):
@@ -389,7 +398,7 @@ def detect_insert_null(spark, folder):
 def detect_duplicate_rows(spark, folder):
     clean, batch = _sides(spark, folder, "orders", "o_orderkey")
     batch = corruption.duplicate_rows(batch, 0.15, "copy").drop("hit")
-    return _found(spark, "orders", clean, batch, "duplicate_rows", {"profile_column"})
+    return _found(spark, "orders", clean, batch, "duplicate_rows", {"profile_table", "profile_column"})
 
 
 def detect_insert_column(spark, folder):
@@ -472,7 +481,7 @@ def clean_batch_findings(spark, folder):
 
 def saved_profile(spark, folder):
     """Profile of the star tables, saved, read again and turned into JSON lines."""
-    target = f"{shared_dir(spark).rstrip('/')}/plumbline/profile"
+    target = f"{shared_dir(spark).rstrip('/')}/plumbline/profile-{uuid.uuid4().hex}"
     save_profile(profile_dataset(load(spark, folder, *STAR), clusters=False), target)
     return profile_lines(load_profile(spark, target))
 

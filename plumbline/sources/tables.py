@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,15 +11,15 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import nan_to_null, quoted
 from plumbline.functions.draws import uniform
-from plumbline.session import shared_dir
+from plumbline.session import materialize, shared_dir
 
 # Share of clean rows, suffix of new data, rows returned to an ad-hoc query.
 CLEAN_SHARE = 0.97
 NEW_DATA_SUFFIX = "_new_data"
 MAX_ROWS_RETURNED = 100
 
-# File lists up to this long are small enough to broadcast with their row offsets.
-_MAX_FILES_BROADCAST = 100_000
+# Files numbered together, and files whose offsets are sent to every task.
+FILES_PER_BUCKET, MAX_FILES_BROADCAST = 10_000, 100_000
 
 ROLES = ("clean", "test", "batch")
 
@@ -85,22 +86,35 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return nan_to_null(df.select(*[quoted(c) for c in columns]) if columns else df)
 
 
+def file_offsets(sizes: DataFrame, bucket_files: int = FILES_PER_BUCKET) -> DataFrame:
+    """__file, __before: the rows of all files before each file, in the order of their paths, from (__file, __n).
+
+    Files are dealt out by path in stretches of a bounded number; only one sum per stretch is added up across them.
+    """
+    n = -(-sizes.count() // bucket_files)
+    dealt = materialize(sizes.repartitionByRange(max(n, 1), "__file").withColumn("__part", F.spark_partition_id()), "files")
+    within = F.coalesce(F.sum("__n").over(
+        W.partitionBy("__part").orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row per stretch
+    parts = dealt.groupBy("__part").agg(F.sum("__n").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(
+        W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return dealt.withColumn("__within", within).join(parts, "__part").select(
+        "__file", (F.col("__start") + F.col("__within")).alias("__before"))
+
+
 def with_row_id(spark: SparkSession, path: str) -> DataFrame:
     """A parquet table with its position as `row_id`: file order, then row order in the file.
 
-    Positions come from the files themselves, so every pass and every retry sees the same ids. Only one
-    number per file is gathered to turn them into a running count.
+    Positions come from the files themselves, so every pass and every retry sees the same ids. A file's number of rows stands in
+    its footer: counting by file reads no column. The offsets of up to MAX_FILES_BROADCAST files, a path and a number each, go to
+    the rows; of more, rows and offsets are joined by a shuffle.
     """
     raw = spark.read.parquet(path)
-    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos")]
-    rows = nan_to_null(raw.select("*", *place))
-    sizes = raw.select(*place).groupBy("__file").agg((F.max("__pos") + 1).alias("__n"))
-    # one row per file
-    offsets = sizes.withColumn("__before", F.coalesce(
-        F.sum("__n").over(W.orderBy("__file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    if len(raw.inputFiles()) <= _MAX_FILES_BROADCAST:
-        offsets = F.broadcast(offsets)
-    numbered = rows.join(offsets, "__file").withColumn("row_id", F.col("__before") + F.col("__pos"))
+    rows = nan_to_null(raw.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos")))
+    sizes = materialize(raw.groupBy(F.col("_metadata.file_path").alias("__file")).agg(F.count(F.lit(1)).alias("__n")), "file-sizes")
+    offsets = materialize(file_offsets(sizes), "file-offsets")
+    small = sizes.count() <= MAX_FILES_BROADCAST
+    numbered = rows.join(F.broadcast(offsets) if small else offsets, "__file").withColumn("row_id", F.col("__before") + F.col("__pos"))
     return numbered.select(*[quoted(c) for c in raw.columns], "row_id")
 
 
@@ -127,8 +141,8 @@ def ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv",
     for path in list_files(spark, source, f".{fmt}"):
         name = table_name(path)
         read = read_csv if fmt == "csv" else read_parquet
-        staged = f"{shared_dir(spark).rstrip('/')}/plumbline/ingest/{name}"
-        read(spark, path, columns.get(name)).write.mode("overwrite").parquet(staged)
+        staged = f"{shared_dir(spark).rstrip('/')}/plumbline/ingest-{uuid.uuid4().hex}/{name}"
+        read(spark, path, columns.get(name)).write.parquet(staged)
         df = with_row_id(spark, staged)
         clean, test = split(df, df.count(), how=how)
         write_table(clean, target, "clean", name)
@@ -182,11 +196,23 @@ def create_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
+# What a SELECT may hold beside names: strings and comments.
+_SPOKEN = re.compile(r"""'(?:[^'\\]++|\\.)*+'|"(?:[^"\\]++|\\.)*+"|--[^\n]*|/\*.*?\*/""", re.S)
+# Functions that call any static method of the JVM, and relations that are files named in the statement.
+_CALLS = re.compile(r"(?i)\b(java_method|reflect|try_reflect)\b`?\s*\(")
+_FILES = re.compile(r"(?i)\b(parquet|json|csv|orc|text|avro|xml|binaryfile)`?\s*\.\s*`")
+
+
 def bounded_query(spark: SparkSession, query: str, max_rows: int) -> DataFrame:
-    """The first `max_rows` rows of one SELECT statement; anything else is refused."""
+    """The first `max_rows` rows of one SELECT statement over the catalog's tables and views; anything else is refused."""
     text = query.strip().rstrip(";").strip()
     if not re.match(r"(?i)select\b", text):
         raise ValueError("a statement must be a SELECT")
+    spoken = _SPOKEN.sub(" ", text)
+    if _CALLS.search(spoken):
+        raise ValueError("a statement must not call methods of the JVM")
+    if _FILES.search(spoken):
+        raise ValueError("a statement must not name files")
     return spark.sql(f"SELECT * FROM ({text}) LIMIT {int(max_rows)}")
 
 
