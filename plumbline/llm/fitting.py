@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Texts longer than this are not used to fit a classifier (they are scored whole).
 FIT_BYTES = 40_000
+#: Labels that are learned at most, and rows that a label needs where there are more.
+MAX_LABELS, RARE = 64, 5
 
 
 def remainder(doc_id: Column, by: int) -> Column:
@@ -15,27 +17,43 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, docs: DataFrame | None = None) -> list[tuple[object, str]]:
-    """(label, text) of about `per_label` different texts for each label, sorted, the same on each run.
+    """(label, text) of `per_label` different texts for each label, all where there are fewer, sorted, the same on each run.
 
-    `rows` has doc_id and the label, and the text unless it is in `docs`. Ids are drawn by hash, so the number of rows that leave
-    Spark is bounded by `per_label`, not by the input; equal texts of a label count once. Rows without label or text are
-    left out.
+    `rows` has doc_id and the label, and the text unless it is in `docs`. Texts are drawn by their own hash and cut off at a rank, so
+    neither repeated ids nor repeated texts change how many leave Spark. Rows without label or text, and texts over FIT_BYTES, are
+    left out. At most MAX_LABELS labels are learned: beyond, labels of fewer than RARE rows are left out, and if more are left,
+    that is an error.
     """
     rows = rows.where(F.col(label).isNotNull())
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    if not counts:
+    most = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS + 1).collect()
+    if len(most) > MAX_LABELS:
+        if most[-1]["count"] >= RARE:
+            raise ValueError(f"more than {MAX_LABELS} values of {label} have {RARE} rows or more: they cannot be told apart pair by pair")
+        most = [r for r in most if r["count"] >= RARE]
+    share = {r[label]: min(1.0, 4 * per_label / r["count"]) for r in most}
+    if not share:
         return []
-    draw = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_000))
-    below = F.lit(0)
-    for value, count in counts.items():
-        below = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, per_label / count) * 1_000_000))).otherwise(below)
-    drawn = rows.where(draw < below)
-    if docs is not None:
-        # about per_label ids for each label, whatever the size of the tables
-        drawn = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id", label)), "doc_id")
-    drawn = drawn.where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES))
-    found = drawn.groupBy(label, F.xxhash64("text").alias("of")).agg(F.min("text").alias("text")).collect()
-    return sorted(((r[label], r["text"]) for r in found), key=lambda x: (str(x[0]), x[1]))
+    texts = (rows if docs is None else docs).where(F.col("text").isNotNull() & (F.octet_length("text") <= FIT_BYTES))
+    texts = texts.withColumn("of", F.xxhash64("text")).withColumn("draw", F.pmod(F.xxhash64(F.lit(29), "of"), F.lit(1 << 40)))
+    found: dict[object, list[str]] = {}
+    while share:
+        least = F.lit(0).cast("long")
+        for value, part in share.items():
+            least = F.when(F.col(label) == F.lit(value), F.lit(int(part * (1 << 40)))).otherwise(least)
+        drawn = texts.where(F.col("draw") < int(max(share.values()) * (1 << 40)))
+        if docs is not None:
+            drawn = drawn.select("doc_id", "text", "of", "draw").join(rows.select("doc_id", label).distinct(), "doc_id")
+        drawn = drawn.where(F.col("draw") < least).groupBy(label, "draw", "of").agg(F.min("text").alias("text"))
+        # a few times per_label texts of a label
+        ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("draw", "of"))).where(
+            F.col("rank") <= per_label).collect()
+        here: dict[object, list[str]] = {value: [] for value in share}
+        for r in ranked:
+            here[r[label]].append(r["text"])
+        found.update(here)
+        # where many rows are copies, few texts are drawn: those labels are drawn again from more
+        share = {value: min(1.0, 64 * part) for value, part in share.items() if part < 1 and len(here[value]) < per_label}
+    return sorted(((value, text) for value, own in found.items() for text in own), key=lambda x: (str(x[0]), x[1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
