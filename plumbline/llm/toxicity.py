@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +81,11 @@ def matches(machine, text: str) -> tuple[float, int, str]:
         elif any(c.isalpha() for c in text[first : last + 1]):
             hits.append((first, last, weight))
     if excused:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in excused)]
+        # the furthest end of all phrases that begin at or before a place
+        excused.sort()
+        begins = [a for a, _ in excused]
+        ends = list(accumulate((b for _, b in excused), max))
+        hits = [h for h in hits if not ((at := bisect_right(begins, h[0])) and h[1] <= ends[at - 1])]
     return sum(w for _, _, w in hits), len(hits), folded
 
 
