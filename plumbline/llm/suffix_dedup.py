@@ -4,12 +4,13 @@ Only some suffixes need sorting. Of the GRAM-byte strings inside any SPAN bytes
 last on ties), so equal SPAN bytes have equal anchors at equal places, and one anchor stands for about 70 windows. What
 matters about an anchor is its context: the bytes that a window with this anchor can cover.
 
-1. Anchors are counted by (hash of the anchor's string, hash of the context). A context that occurs twice is removed whole; such
-   groups are summed on the map side, so thousands of copies are one row per task.
+1. Anchors are counted by (hash of the anchor's string, cryptographic digest of the context). A context that occurs twice is removed
+   whole; such groups are summed on the map side, so thousands of copies are one row per task. Most repeated bytes (all exact
+   copies, the inside of long repeated passages) are settled here; the sort settles where repetitions begin and end.
 2. A context that occurs once is compared with the other contexts of its anchor string. The suffixes that begin at the anchors,
    and the reversed prefixes that end there, are sorted by mergesort; two of them are compared by a binary search over prefix
-   polynomial hashes for their common extension, then by the next byte. Common extensions of neighbours in sorted order
-   are verified byte by byte, and a collision repeats the sort with another base. Contexts that share d bytes before the
+   polynomial hashes (modulo two primes, to drawn bases) for their common extension, then by the next byte. The order of neighbours
+   and their common extensions are verified byte by byte, and a collision repeats the sort with other bases. Contexts that share d bytes before the
    anchor and SPAN - d from it are runs in both orders, so a window is repeated if its pair of runs occurs twice.
 3. Anchor strings with very many different contexts are not sorted in one task: their windows are counted as rows.
 
@@ -19,8 +20,10 @@ Texts are joined with positions only where something of them is open or removed.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,11 @@ PIECE = 1 << 20
 SORTED_ROWS, HOT_CONTEXTS = 8_192, 50_000
 #: Up to so many documents are picked by a broadcast of their ids; beyond, the join shuffles texts.
 BROADCAST_ROWS = 500_000
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Base of the rolling hash that picks anchors; what it cannot tell apart only meets more often, and is compared by its bytes.
+BASE = 0x9E3779B97F4A7C15
+#: Prime moduli of the prefix hashes of a sort; their bases are drawn anew for each sort.
+MODULI = (2**31 - 1, 2**31 - 19)
+DRAWS = 8
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -71,35 +78,35 @@ def _last_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return (np.uint64(0xFFFFFF) - (low & np.uint64(0xFFFFFF))).astype(np.int64)
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, hashes of their GRAM bytes, hashes of their contexts) of a text's anchors."""
-    places, grams, contexts = [], [], []
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(places, hashes of their GRAM bytes, digests of their contexts) of a text's anchors."""
+    places, grams = [], []
     for begin in range(0, len(text) - SPAN + 1, PIECE):
         low, high = max(0, begin - SPAN), min(len(text), begin + PIECE + 3 * SPAN)
         codes = np.frombuffer(text, np.uint8, high - low, low).astype(np.uint64) + np.uint64(1)
-        sums, inverse = [], []
-        for base in BASES[:2]:
-            power, back = _powers(base, len(codes) + 1)
-            sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: len(codes)])]))
-            inverse.append(back)
+        power, back = _powers(BASE, len(codes) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[: len(codes)])])
         last = min(len(text) - SPAN, begin + PIECE - 1)  # the last window start of this piece
         first, end = begin - low, last - low + SPAN - GRAM + 1
-        grams_here = mix((sums[0][first + GRAM : end + GRAM] - sums[0][first:end]) * inverse[0][first:end])
+        grams_here = mix((sums[first + GRAM : end + GRAM] - sums[first:end]) * back[first:end])
         at = _last_smallest(grams_here, SPAN - GRAM + 1)
         grams.append(grams_here[at])
-        at = at + first
-        a, b = np.maximum(at + low - LEFT, 0) - low, np.minimum(at + low + SPAN, len(text)) - low
-        contexts.append(mix((sums[1][b] - sums[1][a]) * inverse[1][a] + (at - a).astype(np.uint64) * np.uint64(1_000_003)
-                            + (b - a).astype(np.uint64)))
-        places.append(at + low)
+        places.append(at + first + low)
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
     place, which = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(grams)[which], np.concatenate(contexts)[which]
+    return place, np.concatenate(grams)[which], [context_key(text, p) for p in place.tolist()]
+
+
+def context_key(text: bytes, place: int) -> bytes:
+    """128 bits of a context: its bytes and how many of them stand before the anchor. The digest is a cryptographic one, so contexts
+    that were built to collide are told apart as well."""
+    before = min(place, LEFT)
+    return hashlib.blake2b(text[place - before : place + SPAN], digest_size=16, salt=before.to_bytes(2, "little")).digest()
 
 
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("stop", pa.int32()),
-                      ("gram", pa.int64()), ("context", pa.int64())])
+                      ("gram", pa.int64()), ("context", pa.binary())])
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -113,11 +120,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             out["place"].append(place.astype(np.int32))
             out["stop"].append(np.minimum(place + SPAN, len(text)).astype(np.int32))
             out["gram"].append(gram.view(np.int64))
-            out["context"].append(context.view(np.int64))
-        return {name: np.concatenate(parts) for name, parts in out.items()}
+            out["context"] += context
+        return {name: parts if name == "context" else np.concatenate(parts) for name, parts in out.items()}
 
     long = docs.where(F.octet_length("text") >= SPAN).select("doc_id", "text_hash", "text")
-    return long.mapInArrow(per_batch(find, _ANCHORS), "doc_id long, text_hash long, place int, stop int, gram long, context long")
+    return long.mapInArrow(per_batch(find, _ANCHORS), "doc_id long, text_hash long, place int, stop int, gram long, context binary")
 
 
 def _common(hashes: np.ndarray, x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -154,10 +161,8 @@ def suffix_sort(codes: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tu
     size = np.diff(np.append(begin, n))
     begin, size = np.repeat(begin, size), np.repeat(size, size)
     within = np.arange(n) - begin
-    for base in BASES:
-        power = _powers(base, codes.shape[1])[0][: codes.shape[1]]
-        terms = np.where(np.arange(codes.shape[1]) < lengths[:, None], (codes.astype(np.uint64) + np.uint64(1)) * power, np.uint64(0))
-        hashes = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(terms, axis=1)], axis=1)
+    for _ in range(DRAWS):
+        hashes = _prefix_hashes(codes, lengths)
         order = np.arange(n)
         width = 1
         while width < int(size.max(initial=0)):
@@ -182,10 +187,34 @@ def suffix_sort(codes: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> tu
         pairs = np.flatnonzero(within > 0)
         x, y = order[pairs - 1], order[pairs]
         shared[pairs] = _common(hashes, x, y, lengths)
-        same = np.cumprod((codes[x] == codes[y]) & (np.arange(codes.shape[1]) < np.minimum(lengths[x], lengths[y])[:, None]), axis=1)
-        if np.array_equal(same.sum(1), shared[pairs]):
+        if _verified(codes, lengths, x, y, shared[pairs]):
             return order, shared
-    raise RuntimeError("prefix hashes collide for every base")
+    raise RuntimeError("prefix hashes collide for every base that was drawn")
+
+
+def _prefix_hashes(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of every prefix of every row, modulo two primes, to bases drawn for this call."""
+    n, width = codes.shape
+    inside = np.arange(width) < lengths[:, None]
+    whole = np.zeros((n, width + 1), np.uint64)
+    for prime in MODULI:
+        base = int.from_bytes(os.urandom(8), "little") % (prime - 257) + 256
+        power = np.array(list(accumulate(repeat(base, width - 1), lambda p, b: p * b % prime, initial=1)), np.uint64)
+        terms = np.where(inside, (codes.astype(np.uint64) + np.uint64(1)) * power % np.uint64(prime), np.uint64(0))
+        # a sum of some hundred terms below 2**31 stays far below 2**64
+        whole[:, 1:] = whole[:, 1:] << np.uint64(32) | np.cumsum(terms, axis=1) % np.uint64(prime)
+    return whole
+
+
+def _verified(codes: np.ndarray, lengths: np.ndarray, x: np.ndarray, y: np.ndarray, shared: np.ndarray) -> bool:
+    """The extensions of neighbours are right byte by byte, and the neighbours are in order."""
+    within = np.arange(codes.shape[1]) < np.minimum(lengths[x], lengths[y])[:, None]
+    if not np.array_equal(np.cumprod((codes[x] == codes[y]) & within, axis=1).sum(1), shared):
+        return False
+    last = codes.shape[1] - 1
+    at = np.minimum(shared, last)
+    ends = shared == lengths[x]
+    return bool((ends | ((shared < lengths[y]) & (codes[x, at] < codes[y, at]))).all())
 
 
 def _runs(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
@@ -300,7 +329,7 @@ def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 _CONTEXTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("place", pa.int32()), ("gram", pa.int64()),
-                       ("context", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()), ("before", pa.binary()),
+                       ("context", pa.binary()), ("single", pa.bool_()), ("hot", pa.bool_()), ("before", pa.binary()),
                        ("after", pa.binary())])
 
 
@@ -362,7 +391,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
         "place", "gram", "context", (F.col("copies") == 1).alias("single"), "hot")).alias("spots"))
     spots = materialize(spots, "suffix-spots")
     contexts = materialize(_with_texts(docs, spots).mapInArrow(
-        per_batch(_cut, _CONTEXTS), "doc_id long, text_hash long, place int, gram long, context long, single boolean, "
+        per_batch(_cut, _CONTEXTS), "doc_id long, text_hash long, place int, gram long, context binary, single boolean, "
         "hot boolean, before binary, after binary"), "suffix-contexts")
     near = contexts.where("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(
         _resolve, "doc_id long, text_hash long, lo int, hi int")
