@@ -5,7 +5,8 @@
    were merged into one with a weight; so a phrase that fills a third of the corpus is one pointer per block and bucket.
 2. Each bucket is sorted by a three-way quicksort on the word at the current depth: every open partition splits into smaller, equal and
    greater pointers, and equal ones go one word deeper. The weight of a partition that is equal to full depth is a phrase's count. A partition
-   whose weight is under the wanted count is abandoned at once, with everything in it. All open partitions take a
+   whose weight is under the wanted count is abandoned at once, with everything in it (pointers whose phrase shares its hash slot with
+   too little weight before the first step). All open partitions take a
    step together, so the steps are array operations whatever the number of partitions.
 3. Counts of frequent phrases (every part of a frequent phrase is frequent) are joined with those of their parts for the scores.
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.session import materialize
@@ -95,11 +97,24 @@ def _merged(columns: list[np.ndarray], n_words: int) -> tuple[list[np.ndarray],
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
-    return values.astype("<u2" if values.max(initial=0) < 1 << 16 else "<u4")
+    """Whole numbers in as few bytes as they need."""
+    highest = int(values.max(initial=0))
+    return values.astype("<u1" if highest < 1 << 8 else "<u2" if highest < 1 << 16 else "<u4")
 
 
-_BLOCKS = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.binary()),
-                     ("wide", pa.bool_()), ("pointers", pa.binary()), ("weights", pa.binary())])
+def _wide(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // max(rows, 1) or 1}")
+
+
+_BLOCKS = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("n_words", pa.int64()), ("n", pa.int32()), ("words", pa.binary()),
+                     ("pointers", pa.binary()), ("weights", pa.binary())])
+
+
+def _numbered(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """(numbers of the words in order, from 1; the word of each number)."""
+    words = pc.ascii_split_whitespace(pa.array([data], pa.large_binary()).cast(pa.large_string())).flatten()
+    words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+    return words.indices.to_numpy().astype(np.int32) + 1, [b"", *words.dictionary.cast(pa.large_binary()).to_pylist()]
 
 
 def _block(lang: str, texts: list[bytes], longest: int, buckets: int) -> Iterator[tuple]:
@@ -111,11 +126,9 @@ def _block(lang: str, texts: list[bytes], longest: int, buckets: int) -> Iterato
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space])) & ~space)
     if not len(edge):
         return
-    piece = np.cumsum(end)[edge]
-    coded = pa.array(data.split(), pa.binary()).dictionary_encode()
-    number = coded.indices.to_numpy().astype(np.int32) + 1  # 0: no word
-    names = [b"", *coded.dictionary.to_pylist()]
-    hashes = np.array([zlib.crc32(w) for w in names], np.uint64)
+    piece = np.cumsum(end, dtype=np.int32)[edge]
+    number, names = _numbered(data)  # 0: no word
+    del array, end, space, edge
     n = len(number)
     after = [number]
     for k in range(1, longest):
@@ -129,27 +142,28 @@ def _block(lang: str, texts: list[bytes], longest: int, buckets: int) -> Iterato
         parts.append((columns + [np.zeros(len(count), np.int32)] * (longest - size), count))
     columns = [np.concatenate([p[0][c] for p in parts]) for c in range(longest)]
     weight = np.concatenate([p[1] for p in parts])
+    del after, parts
+    hashes = mix(np.array([zlib.crc32(w) for w in names], np.uint64))
     route = np.full(len(weight), np.uint64(zlib.crc32(lang.encode())))
     for column in columns:
-        route = mix(route * np.uint64(0x9E3779B97F4A7C15) + hashes[column])
-    bucket = (route % np.uint64(buckets)).astype(np.int64)
+        route = route * np.uint64(0x9E3779B97F4A7C15) + hashes[column]
+    bucket = (mix(route) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    del route
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)) if buckets <= len(order) else None
-    if cuts is None:
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
-        spans = zip(begins.tolist(), [*begins[1:].tolist(), len(order)])
-    else:
-        spans = ((low, high) for low, high in zip(cuts.tolist(), cuts[1:].tolist()) if high > low)
+    dealt = bucket[order]
+    begins = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
     counted = n
-    for low, high in spans:
+    place = np.zeros(len(names), np.int32)
+    for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(order)]):
         mine = order[low:high]
         own = np.stack([column[mine] for column in columns])
-        known, local = np.unique(own, return_inverse=True)
-        if known[0]:
-            known, local = np.concatenate([[0], known]), local + 1
-        local = _narrow(local.reshape(own.shape))
-        yield (int(bucket[mine[0]]), lang, counted, zlib.compress(b"\n".join([names[w] for w in known[1:].tolist()]), 1),
-               local.dtype.itemsize == 4, zlib.compress(local.tobytes(), 1), zlib.compress(weight[mine].astype("<u4").tobytes(), 1))
+        place[own] = 1
+        place[0] = 0
+        known = np.flatnonzero(place)
+        place[known] = np.arange(1, len(known) + 1)
+        yield (int(dealt[low]), lang, counted, high - low, b"\n".join([names[w] for w in known.tolist()]),
+               _narrow(place[own]).tobytes(), _narrow(weight[mine]).tobytes())
+        place[known] = 0
         counted = 0  # the words of a block are told once
 
 
@@ -176,32 +190,45 @@ def _route(rows: DataFrame, longest: int, buckets: int) -> DataFrame:
         for lang in list(held):
             yield from flush(lang)
 
-    return rows.mapInArrow(route, "bucket int, lang string, n_words long, words binary, wide boolean, pointers binary, weights binary")
+    return rows.mapInArrow(route, "bucket int, lang string, n_words long, n int, words binary, pointers binary, weights binary")
 
 
 _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 
 
 def _count(lang: str, blocks: list[tuple], longest: int, least: int) -> pa.RecordBatch:
-    """Frequent phrases of one bucket and language; a row without a phrase tells the words of the blocks."""
-    lists = [zlib.decompress(words).split(b"\n") for words, *_ in blocks]
+    """Frequent phrases of one bucket and language."""
+    lists = [words.split(b"\n") for _, words, *_ in blocks]
     coded = pa.array([w for words in lists for w in words], pa.binary()).dictionary_encode()
     number = np.split(coded.indices.to_numpy().astype(np.int32) + 1, np.cumsum([len(words) for words in lists])[:-1])
+    names = coded.dictionary.to_pylist()
     pointers, weights = [], []
-    for (_, wide, raw, raw_weights), own in zip(blocks, number):
-        local = np.frombuffer(zlib.decompress(raw), "<u4" if wide else "<u2").reshape(longest, -1)
-        pointers.append(np.concatenate([[0], own]).astype(np.int32)[local])
-        weights.append(np.frombuffer(zlib.decompress(raw_weights), "<u4"))
+    for (n, _, raw, raw_weights), own in zip(blocks, number):
+        pointers.append(np.concatenate([[0], own]).astype(np.int32)[_wide(raw, longest * n)].reshape(longest, n))
+        weights.append(_wide(raw_weights, n).astype(np.float64))
     columns = [np.concatenate([p[c] for p in pointers]) for c in range(longest)]
-    del pointers, number
-    rows, total = phrases_by_quicksort(columns, np.concatenate(weights).astype(np.float64), least)
-    names = coded.dictionary.to_pylist()
+    weight = np.concatenate(weights)
+    del pointers, number, lists, coded, weights
+    columns, weight = _possible(columns, weight, least)
+    rows, total = phrases_by_quicksort(columns, weight, least)
     found = [[names[w - 1] for w in row if w] for row in zip(*(column[rows].tolist() for column in columns))]
     return pa.RecordBatch.from_arrays([
         pa.array([lang] * len(found), pa.string()), pa.array([b" ".join(p) for p in found], pa.binary()).cast(pa.string()),
         pa.array([len(p) for p in found], pa.int32()), pa.array(total, pa.int64())], schema=_COUNTS)
 
 
+def _possible(columns: list[np.ndarray], weight: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The pointers whose phrase may have the wanted weight: a phrase is no heavier than all that share a slot with it."""
+    slots = np.uint64(1 << max(10, (4 * len(weight)).bit_length()))
+    slot = np.zeros(len(weight), np.uint64)
+    for column in columns:
+        slot = (slot + column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        slot ^= slot >> np.uint64(29)
+    slot = (slot % slots).astype(np.int64)
+    keep = np.bincount(slot, weights=weight, minlength=int(slots))[slot] >= least
+    return [column[keep] for column in columns], weight[keep]
+
+
 def count_phrases(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, phrase, size, f): phrases of 1 to `longest` words that occur `least` times or more in a language, words joined by a space;
     and one row or more per language with a null phrase, size 0 and f, which add up to its number of words.
