@@ -29,6 +29,8 @@ from .texts import chunks, mix, shingle_sets
 ORDER_BUCKETS = 1 << 16
 #: 64-bit words of a set's short parity sketch, which travels with its n-grams.
 SKETCH_WORDS = 4
+#: Words of the sketch that is compared inside the join of pairs across components.
+WIDE_WORDS = 16
 #: Up to so many document ids are broadcast to pick the texts that must be compared; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -176,9 +178,15 @@ def _folded(sketch: str, other: str) -> str:
             f"slice({sketch}, size({other}) + 1, size({other})), (p, q) -> p ^ q), {sketch})")
 
 
-def _near_ends(percent: int) -> str:
+def _wide(sketch: str) -> str:
+    """A long sketch folded to WIDE_WORDS words at most: word j is the exclusive or of all words that are j modulo their number."""
+    return (f"transform(sequence(0, least(size({sketch}), {WIDE_WORDS}) - 1), j -> aggregate(sequence(j, size({sketch}) - 1, {WIDE_WORDS}), "
+            f"0L, (x, i) -> x ^ {sketch}[i]))")
+
+
+def _near_ends(percent: int, sketch: str = "long_sketch") -> str:
     """Long sketches of the structs a, b still allow the similarity; those of sets more than twofold apart are not compared."""
-    a, b = "a.long_sketch", "b.long_sketch"
+    a, b = f"a.{sketch}", f"b.{sketch}"
     apart = (f"IF(greatest(size({a}), size({b})) > 2 * least(size({a}), size({b})), 0, aggregate(zip_with("
              f"{_folded(a, b)}, {_folded(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (sum, bits) -> sum + bits))")
     return f"{100 + percent} * (a.n + b.n - {apart}) >= {2 * percent} * (a.n + b.n)"
@@ -242,7 +250,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     roots = components(links, "jaccard-first")
 
     labelled = classes.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "class_id", "group_id", "sketch", F.coalesce("root", "class_id").alias("root"))
+        "class_id", "group_id", "sketch", F.expr(_wide("long_sketch")).alias("wide"), F.coalesce("root", "class_id").alias("root"))
     parts = labelled.select("group_id", "root").distinct()
     split = parts.groupBy("group_id").agg(F.count("*").alias("roots")).where("roots > 1").select("group_id")
     own = groups.join(split, "group_id", "left_semi").select(
@@ -254,7 +262,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80, doc_i
     rest = materialize(rest.join(open_tokens, "token").join(labelled, "group_id").drop("group_id"), "jaccard-rest")
     cross = rest.where("root <> largest").alias("a").join(rest.alias("b"), F.expr(
         "a.token = b.token AND a.root <> b.root AND (b.root = b.largest OR a.class_id < b.class_id) AND "
-        + _fits(percent) + " AND " + _near(percent)))
+        + _fits(percent) + " AND " + _near(percent) + " AND " + _near_ends(percent, "wide")))
     cross = cross.select(F.least("a.class_id", "b.class_id").alias("a"), F.greatest("a.class_id", "b.class_id").alias("b"))
     cross = _plausible(cross.distinct().join(pairs, ["a", "b"], "left_anti"), ends, percent)
     cross = materialize(cross, "jaccard-cross")
