@@ -96,6 +96,30 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM summed
 """
 
+OP10 = """
+WITH docs AS (SELECT row_number() OVER () AS n, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+sized AS (SELECT n, doc_id, b, octet_length(b)::BIGINT AS size FROM docs),
+windows AS (
+  SELECT n, i, md5(b[i : i + 199]) AS h
+  FROM (SELECT n, b, unnest(range(1, size - 198)) AS i FROM sized WHERE size >= 200)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (
+  SELECT n, i, i > lag(i, 1, -1000) OVER (PARTITION BY n ORDER BY i) + 200 AS fresh
+  FROM windows WHERE h IN (SELECT h FROM again)),
+numbered AS (SELECT n, i, sum(fresh::INT) OVER (PARTITION BY n ORDER BY i) AS run FROM starts),
+runs AS (SELECT n, min(i) AS lo, max(i) + 199 AS hi FROM numbered GROUP BY n, run),
+pieces AS (
+  SELECT n, lag(hi, 1, 0) OVER (PARTITION BY n ORDER BY lo) + 1 AS low, lo - 1 AS high FROM runs
+  UNION ALL SELECT n, max(hi) + 1, 1000000000000 FROM runs GROUP BY n),
+kept AS (
+  SELECT pieces.n, unhex(string_agg(hex(b[low : least(high, size)]), '' ORDER BY low)) AS rest
+  FROM pieces JOIN sized ON sized.n = pieces.n WHERE low <= least(high, size) GROUP BY pieces.n),
+removed AS (SELECT n, sum(hi - lo + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY n)
+SELECT doc_id, size AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE coalesce(rest, ''::BLOB) END) AS kept_sha256
+FROM sized LEFT JOIN removed ON removed.n = sized.n LEFT JOIN kept ON kept.n = sized.n
+"""
+
 OP13 = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -126,4 +150,4 @@ QUALIFY rank <= 2000
 """
 
 STATEMENTS = {"op1_cap_filters": OP1, "op2_ngram_jaccard": OP2, "op5_chat_examples": OP5, "op7_source_mix": OP7,
-              "op13_collocations": OP13}
+              "op10_suffix_dedup": OP10, "op13_collocations": OP13}
