@@ -81,7 +81,8 @@ STAGES = [
     ("source_mix", mixed),
 ]
 
-#: A fitted lexicon and SimHash fingerprints cannot be expressed in SQL; tests/llm compares the stages with brute force.
+#: A fitted lexicon and SimHash fingerprints cannot be expressed in SQL; tests/llm compares the similar, repeated and mixed stages with
+#: brute force.
 ORACLE_SQL = None
 
 

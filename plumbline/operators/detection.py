@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -270,6 +271,28 @@ ROW_CHECKS = {
 }
 
 
+class CleanKeys(Protocol):
+    """Clean keys that are stored once and looked up by each batch."""
+
+    def name(self, table: str, column: str) -> str: ...
+
+    def holds(self, table: str, column: str) -> bool: ...
+
+    def marked(self, keys: DataFrame, mark: str) -> DataFrame: ...
+
+
+@dataclass
+class Context:
+    """Tables a batch is checked against: clean tables and the other batches, by table name; and a store of the clean keys, if any."""
+
+    clean: dict[str, DataFrame] = field(default_factory=dict)
+    batch: dict[str, DataFrame] = field(default_factory=dict)
+    keys: CleanKeys | None = None
+
+    def holders(self, table: str) -> list[DataFrame]:
+        return [side[table] for side in (self.clean, self.batch) if table in side]
+
+
 # --- checks that group ---------------------------------------------------------------------------------
 
 def _finding(table: str, column: str, anomaly: str, frame: DataFrame, calibration: Column,
@@ -293,78 +316,120 @@ def duplicate_rows(batch: DataFrame, profile: TableProfile, key: str = "row_id")
     return _finding(profile.name, "", "duplicate_rows", counted, F.lit("0"), F.col("affected").cast("string"))
 
 
-def orphan_foreign_key(batch: DataFrame, profile: TableProfile, column: str, parents: list[DataFrame]) -> DataFrame:
-    """Child rows whose key no parent row holds; `parents` are the parent's clean and new rows.
+def key_text(df: DataFrame, name: str) -> Column:
+    """A key as text: 1 and 1.0 are one key, a number and a string never; NULL for a missing key."""
+    family, num, txt = cell_key(df, name)
+    # adding zero makes -0.0 and 0.0 one
+    return F.when(quoted(name).isNotNull(), F.concat_ws("|", family.cast("string"), (num + F.lit(0.0)).cast("string"), txt))
 
-    Child rows and parent keys meet in one grouping by key with map-side combine, so a key filling a third
-    of the batch is one partial count per task.
+
+def _keyed(df: DataFrame, named: dict[int, Column], *more: Column) -> DataFrame:
+    """place, k and `more` for each key of each row: all keys of a table in one scan."""
+    cells = F.array(*[F.struct(F.lit(place).alias("place"), k.alias("k")) for place, k in named.items()])
+    return df.select(F.explode(cells).alias("cell"), *more).select(
+        "cell.place", "cell.k", *[c for c in df.select(*more).columns] if more else []).filter("k IS NOT NULL")
+
+
+def orphan_foreign_keys(batch: DataFrame, profile: TableProfile, context: Context) -> DataFrame:
+    """Child rows whose key no parent row holds, clean or new: all foreign keys of a batch in one grouping.
+
+    Child rows and parent keys meet by (link, key) with map-side combine, so a key filling a third of the batch is one partial count per
+    task. With a key store the clean keys stay where they are.
     """
-    link = profile.foreign_keys[column]
-
-    def keys(df: DataFrame, name: str, rows: int) -> DataFrame:
-        family, num, txt = cell_key(df, name)
-        missing = quoted(name).isNull()
-        return df.select(F.when(~missing, family).alias("family"), num.alias("num"), txt.alias("txt"),
-                         F.lit(rows).alias("child"))
-
-    source = batch
-    known = profile.columns[column]
-    if base_type(batch.schema[column].dataType) == "str" and known.datatype in ("int", "float", "bool"):
-        # a column that took other types is compared by the values that still are numbers
-        source = batch.select(_as_number(batch, column).alias(column))
-    cells = [keys(source, column, 1)] + [keys(p, link.parent_column, 0) for p in parents]
-    per_key = reduce(DataFrame.union, cells).groupBy("family", "num", "txt").agg(
-        F.sum("child").alias("cnt"), F.max(F.col("child") == 0).alias("held"))
-    orphan = F.col("family").isNotNull() & ~F.col("held")
-    counted = per_key.agg(
-        F.coalesce(F.sum(F.when(orphan, F.col("cnt"))), F.lit(0)).alias("affected"),
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"))
-    return _finding(profile.name, column, "orphan_foreign_key", counted, _number(link.coverage),
-                    _number(1 - F.try_divide("affected", "rows")))
-
-
-def duplicate_primary_key(batch: DataFrame, profile: TableProfile, column: str, clean: DataFrame | None,
-                          key: str = "row_id") -> DataFrame:
-    """Rows reusing a key: beyond the first holder in the batch, or any holder of a clean key.
+    spark = batch.sparkSession
+    links = [(column, link) for column, link in profile.foreign_keys.items()
+             if column in batch.columns and context.holders(link.parent_table)]
+    if not links:
+        return empty_findings(spark)
+
+    def child(column: str) -> Column:
+        known = profile.columns[column]
+        if base_type(batch.schema[column].dataType) == "str" and known.datatype in ("int", "float", "bool"):
+            # a column that took other types is compared by the values that still are numbers
+            return _number_text(batch, column)
+        return key_text(batch, column)
+
+    children = _keyed(batch, {i: child(column) for i, (column, _) in enumerate(links)}).groupBy("place", "k").agg(
+        F.count(F.lit(1)).alias("cnt"))
+    parents = []
+    stored = context.keys is not None and all(context.keys.holds(link.parent_table, link.parent_column) for _, link in links)
+    sides = [context.batch] if stored else [context.clean, context.batch]
+    for side in sides:
+        for table in {link.parent_table for _, link in links} & set(side):
+            df = side[table]
+            own = {i: key_text(df, link.parent_column) for i, (_, link) in enumerate(links)
+                   if link.parent_table == table and link.parent_column in df.columns}
+            if own:
+                parents.append(_keyed(df, own))
+    per_key = children.withColumn("held", F.lit(False))
+    if parents:
+        held = reduce(DataFrame.unionByName, parents).select("place", "k", F.lit(0).cast("long").alias("cnt"), F.lit(True).alias("held"))
+        per_key = per_key.unionByName(held)
+    per_key = per_key.groupBy("place", "k").agg(F.sum("cnt").alias("cnt"), F.max("held").alias("held")).filter("cnt > 0")
+    if stored:
+        named = spark.createDataFrame([(i, context.keys.name(link.parent_table, link.parent_column)) for i, (_, link) in enumerate(links)],
+                                      "place int, attr string")
+        per_key = context.keys.marked(per_key.join(F.broadcast(named), "place"), "in_clean").withColumn(
+            "held", F.col("held") | F.col("in_clean"))
+    counted = per_key.groupBy("place").agg(
+        F.sum(F.when(~F.col("held"), F.col("cnt")).otherwise(F.lit(0))).alias("affected"), F.sum("cnt").alias("filled"))
+    names = spark.createDataFrame([(i, column, float(link.coverage)) for i, (column, link) in enumerate(links)],
+                                  "place int, column string, coverage double")
+    # one row per foreign key
+    found = counted.join(F.broadcast(names), "place").filter("affected > 0")
+    return found.select(
+        F.lit(profile.name).alias("table"), "column", F.lit("orphan_foreign_key").alias("anomaly"),
+        _number(F.col("coverage")).alias("calibration"), _number(1 - F.try_divide("affected", "filled")).alias("current"),
+        F.col("affected").cast("long").alias("nb_rows_affected"), severity(F.col("affected"), F.col("filled")).alias("severity"))
+
+
+def _number_text(batch: DataFrame, column: str) -> Column:
+    """The key of a text that still is a number, as `key_text` gives it for a double; a whole number a double cannot hold stays digits."""
+    number = _as_number(batch, column)
+    size = F.abs(number)
+    wide = (size >= float(2 ** 53)) & (size < float(2 ** 63))
+    return F.when(wide, F.concat_ws("|", F.lit("2"), F.when(wide, number).try_cast("bigint").cast("string"))).when(
+        number.isNotNull(), F.concat_ws("|", F.lit("0"), (number + F.lit(0.0)).cast("string")))
+
+
+def duplicate_primary_keys(batch: DataFrame, profile: TableProfile, context: Context, key: str = "row_id") -> DataFrame:
+    """Rows reusing a key: beyond the first holder in the batch, or any holder of a clean key; all keys of a batch in one grouping.
 
     Repeated whole rows count once. The batch is reduced to one row per (key, row) and then per key; the
-    clean table gives only the keys the batch also holds.
+    clean table gives only the keys the batch also holds, from the key store where there is one.
     """
-    def value(df: DataFrame) -> Column:
-        # 1 and 1.0 are one key; adding zero makes -0.0 and 0.0 one
-        family, num, txt = cell_key(df, column)
-        return F.concat_ws("|", family.cast("string"), (num + F.lit(0.0)).cast("string"), txt).alias("k")
-
-    fingerprint = row_fingerprint(batch, data_columns(batch, key))
-    holders = batch.filter(quoted(column).isNotNull()).select(value(batch), fingerprint.alias("f")).groupBy(
-        "k", "f").agg(F.count(F.lit(1)).alias("n"))
-    per_key = holders.groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
-    if clean is not None and column in clean.columns:
-        seen = clean.filter(quoted(column).isNotNull()).select(value(clean)).join(
-            per_key.select("k"), "k", "left_semi").distinct().withColumn("in_clean", F.lit(1))
-        per_key = per_key.join(seen, "k", "left").withColumn(
-            "held", F.when(F.col("in_clean").isNull(), F.col("held") - 1).otherwise(F.col("held")))
+    spark = batch.sparkSession
+    columns = [c for c, known in profile.columns.items() if known.potential_primary_key and c in batch.columns]
+    if not columns:
+        return empty_findings(spark)
+    fingerprint = row_fingerprint(batch, data_columns(batch, key)).alias("f")
+    holders = _keyed(batch, {i: key_text(batch, c) for i, c in enumerate(columns)}, fingerprint).groupBy("place", "k", "f").agg(
+        F.count(F.lit(1)).alias("n"))
+    per_key = holders.groupBy("place", "k").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
+    clean = context.clean.get(profile.name)
+    if context.keys is not None and all(context.keys.holds(profile.name, c) for c in columns):
+        named = spark.createDataFrame([(i, context.keys.name(profile.name, c)) for i, c in enumerate(columns)], "place int, attr string")
+        per_key = context.keys.marked(per_key.join(F.broadcast(named), "place"), "in_clean")
+    elif clean is not None:
+        own = {i: key_text(clean, c) for i, c in enumerate(columns) if c in clean.columns}
+        seen = _keyed(clean, own).join(per_key.select("place", "k"), ["place", "k"], "left_semi").distinct().withColumn(
+            "in_clean", F.lit(True))
+        per_key = per_key.join(seen, ["place", "k"], "left").withColumn("in_clean", F.coalesce("in_clean", F.lit(False)))
     else:
-        per_key = per_key.withColumn("held", F.col("held") - 1)
-    counted = per_key.agg(F.coalesce(F.sum("held"), F.lit(0)).alias("affected"),
-                          F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    return _finding(profile.name, column, "duplicate_primary_key", counted, F.lit("unique"),
-                    F.col("affected").cast("string"))
+        per_key = per_key.withColumn("in_clean", F.lit(False))
+    beyond = F.when(F.col("in_clean"), F.col("held")).otherwise(F.col("held") - 1)
+    counted = per_key.groupBy("place").agg(F.sum(beyond).alias("affected"), F.sum("n").alias("filled"))
+    names = spark.createDataFrame(list(enumerate(columns)), "place int, column string")
+    # one row per key column
+    found = counted.join(F.broadcast(names), "place").filter("affected > 0")
+    return found.select(
+        F.lit(profile.name).alias("table"), "column", F.lit("duplicate_primary_key").alias("anomaly"), F.lit("unique").alias("calibration"),
+        F.col("affected").cast("string").alias("current"), F.col("affected").cast("long").alias("nb_rows_affected"),
+        severity(F.col("affected"), F.col("filled")).alias("severity"))
 
 
 # --- everything ------------------------------------------------------------------------------------------
 
-@dataclass
-class Context:
-    """Tables a batch is checked against: clean tables and the other batches, by table name."""
-
-    clean: dict[str, DataFrame] = field(default_factory=dict)
-    batch: dict[str, DataFrame] = field(default_factory=dict)
-
-    def holders(self, table: str) -> list[DataFrame]:
-        return [side[table] for side in (self.clean, self.batch) if table in side]
-
-
 def detect(batch: DataFrame, profile: TableProfile, context: Context | None = None,
            anomalies: set[str] | None = None, key: str = "row_id") -> DataFrame:
     """Findings of the wanted detectors (all by default) on one batch."""
@@ -381,12 +446,7 @@ def detect(batch: DataFrame, profile: TableProfile, context: Context | None = No
     if wanted("duplicate_rows"):
         frames.append(duplicate_rows(batch, profile, key))
     if wanted("orphan_foreign_key"):
-        for column, link in profile.foreign_keys.items():
-            parents = context.holders(link.parent_table)
-            if column in batch.columns and parents:
-                frames.append(orphan_foreign_key(batch, profile, column, parents))
+        frames.append(orphan_foreign_keys(batch, profile, context))
     if wanted("duplicate_primary_key"):
-        for column, known in profile.columns.items():
-            if known.potential_primary_key and column in batch.columns:
-                frames.append(duplicate_primary_key(batch, profile, column, context.clean.get(profile.name), key))
+        frames.append(duplicate_primary_keys(batch, profile, context, key))
     return reduce(DataFrame.unionByName, frames)

@@ -100,9 +100,12 @@ def row_counts(table: str, df: DataFrame, columns: list[str], suspects: list) ->
 
 @dataclass
 class Components:
+    """Components and loadings, the columns that drive them, and all eigenvalues of the correlation matrix."""
+
     components: DataFrame
     loadings: DataFrame
     main_columns: list[str]
+    eigenvalues: list[float]
 
 
 def principal_components(table: str, df: DataFrame, columns: list[str]) -> Components:
@@ -118,10 +121,11 @@ def principal_components(table: str, df: DataFrame, columns: list[str]) -> Compo
     sums = gram(complete, {c: quoted(c) for c in columns})
     n, k = int(sums.rows[0, 0]) if columns else 0, len(columns)
     if n < 2:
-        return Components(spark.createDataFrame([], schema), spark.createDataFrame([], loading_schema), [])
+        return Components(spark.createDataFrame([], schema), spark.createDataFrame([], loading_schema), [], [])
     matrix = np.nan_to_num(sums.correlation())
     np.fill_diagonal(matrix, (np.diag(sums.low) < np.diag(sums.high)).astype(float))
     found, vectors = np.linalg.eigh(matrix)
+    everything = found
     order = np.argsort(found)[::-1][:min(n, k)]
     found, vectors = np.maximum(found[order], 0.0), vectors[:, order]
     # the largest weight of each component is made positive
@@ -140,4 +144,4 @@ def principal_components(table: str, df: DataFrame, columns: list[str]) -> Compo
     weights = [(table, i + 1, c, number(loadings[j, i])) for i in range(kept) for j, c in enumerate(columns)
                if abs(loadings[j, i]) >= MIN_LOADING]
     main = list(dict.fromkeys(c for _, _, c, _ in weights))
-    return Components(spark.createDataFrame(rows, schema), spark.createDataFrame(weights, loading_schema), main)
+    return Components(spark.createDataFrame(rows, schema), spark.createDataFrame(weights, loading_schema), main, [float(x) for x in everything])

@@ -9,7 +9,7 @@ import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import base_type, quoted
@@ -80,7 +80,7 @@ def _wrong_datatype(df: DataFrame, profile: TableProfile, rng: random.Random) ->
     current = profile.columns[column].datatype
     new = rng.choice([t for t in ops.DATA_TYPES if t != current])
     return Change("wrong_datatype", column, {"current": current, "new": new, "rate": rng.random()},
-                  {"former_datatype": current, "new_datatype": new})
+                  {"type_before": current, "type_after": new})
 
 
 def _insert_null(df: DataFrame, profile: TableProfile, rng: random.Random) -> Change | None:
@@ -95,7 +95,7 @@ def _duplicate_rows(df: DataFrame, profile: TableProfile, rng: random.Random) ->
 def _insert_column(df: DataFrame, profile: TableProfile, rng: random.Random) -> Change | None:
     column = rng.choice([c for c in data_columns(df) if not c.startswith("__hit_")])
     name = f"NEW_{column}"
-    return None if name in df.columns else Change("insert_column", column, {}, {"name_new_column": name})
+    return None if name in df.columns else Change("insert_column", column, {}, {"added_column": name})
 
 
 def _orphan_foreign_key(df: DataFrame, profile: TableProfile, rng: random.Random) -> Change | None:
@@ -125,7 +125,7 @@ def _new_category(df: DataFrame, profile: TableProfile, rng: random.Random) -> C
         return None
     label = rng.choice(labels)
     return Change("new_category", column, {"label": label, "rate": rng.random()}, {
-        "new_label": label, "known_categories": sorted(profile.columns[column].categories)})
+        "new_label": label, "labels_known": sorted(profile.columns[column].categories)})
 
 
 def _correlation_break(df: DataFrame, profile: TableProfile, rng: random.Random) -> Change | None:
@@ -158,7 +158,7 @@ def _distribution_shift(df: DataFrame, profile: TableProfile, rng: random.Random
         "amount": sizes * stats["std"], "mode": mode, "direction": direction, "low": stats["min"],
         "high": stats["max"], "rate": rng.random(), "whole": known.datatype == "int",
     }, {"calibrated_mean": stats.get("mean"), "calibrated_std": stats["std"], "calibrated_min": stats["min"],
-        "calibrated_max": stats["max"], "nb_std_shifted": sizes, "mode": mode, "direction": direction,
+        "calibrated_max": stats["max"], "shift_in_std": sizes, "mode": mode, "direction": direction,
         "shift_applied": sizes * stats["std"]})
 
 
@@ -176,7 +176,7 @@ def _out_of_range(df: DataFrame, profile: TableProfile, rng: random.Random) -> C
         "low": low, "high": high, "reach": reach, "direction": direction, "rate": rng.uniform(0.001, 0.05),
         "whole": profile.columns[column].datatype == "int",
     }, {"calibrated_min": low, "calibrated_max": high, "direction": direction,
-        "max_distance_past_bound": round(reach, 4)})
+        "reach_past_bound": round(reach, 4)})
 
 
 CHOOSERS: dict[str, Callable[[DataFrame, TableProfile, random.Random], Change | None]] = {
@@ -219,7 +219,7 @@ def _before(df: DataFrame, change: Change, seed: str, key: str) -> dict:
     """What the log keeps of a column before it is changed."""
     if change.anomaly == "correlation_break":
         r = safe_corr(quoted(change.params["col_paired"]).cast("double"), quoted(change.column).cast("double"))
-        return df.agg(F.round(r, 4).alias("former_correlation")).first().asDict()
+        return df.agg(F.round(r, 4).alias("r_before")).first().asDict()
     if change.anomaly == "distribution_shift":
         value = F.when(ops.picked(change.settings["rate"], seed, key), quoted(change.column).cast("double"))
         return df.agg(F.round(F.avg(value), 4).alias("former_mean"),
@@ -239,7 +239,7 @@ def _after(staged: DataFrame, change: Change, hit: str) -> dict:
         if base_type(staged.schema[change.params["col_paired"]].dataType) == "str":
             return {}
         r = safe_corr(quoted(change.params["col_paired"]).cast("double"), quoted(change.column).cast("double"))
-        return staged.agg(F.round(r, 4).alias("new_correlation")).first().asDict()
+        return staged.agg(F.round(r, 4).alias("r_after")).first().asDict()
     if change.anomaly == "distribution_shift":
         value = F.when(F.col(hit), quoted(change.column).cast("double"))
         return staged.agg(
@@ -321,9 +321,10 @@ def corrupt_table(batch: DataFrame, profile: TableProfile, anomalies: list[str],
 
 
 def _count_hits(df: DataFrame, steps: list[tuple[int, Change]]) -> tuple[DataFrame, dict[int, int]]:
-    """The written table and the rows each change hit; counting reads only the flags."""
-    staged = materialize(df, "batch")
-    found = staged.agg(*[F.count_if(F.col(f"__hit_{n}")).alias(f"n{n}") for n, _ in steps]).first()
+    """The written table and the rows each change hit, counted in the pass that writes them."""
+    seen = Observation()
+    staged = materialize(df.observe(seen, *[F.count_if(F.col(f"__hit_{n}")).alias(f"n{n}") for n, _ in steps]), "batch")
+    found = seen.get
     return staged, {n: int(found[f"n{n}"]) for n, _ in steps}
 
 

@@ -399,6 +399,30 @@ def pca_2col() -> str:
                     FROM m, (VALUES (1), (2)) v(c)))"""
 
 
+def pca_power_sums() -> str:
+    cells = []
+    for t, columns in sorted(SCHEMA.items()):
+        numbers = [c for c, k in columns.items() if k in (INT, FLOAT)]
+        for i, a in enumerate(numbers):
+            cells.append(f"""SELECT '{t}' AS t, {i} AS i, {i} AS j, CASE WHEN min({a}) < max({a}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS r
+                FROM {t} HAVING {_is_numerical(t, a)}""")
+            for j, b in enumerate(numbers):
+                if i != j:
+                    cells.append(f"""SELECT '{t}' AS t, {i} AS i, {j} AS j, corr({a}::DOUBLE, {b}::DOUBLE) AS r
+                        FROM {t} HAVING {_is_numerical(t, a)} AND {_is_numerical(t, b)}""")
+    return f"""{_numerical_ctes(SCHEMA)}, cells AS MATERIALIZED ({union(cells)}),
+        r1 AS MATERIALIZED (SELECT t, i, j, CASE WHEN r IS NULL OR isnan(r) THEN 0.0::DOUBLE ELSE r END AS r FROM cells_of),
+        r2 AS MATERIALIZED (SELECT a.t, a.i, b.j, sum(a.r * b.r) AS r FROM r1 a JOIN r1 b ON a.t = b.t AND a.j = b.i GROUP BY ALL),
+        wide AS (SELECT t FROM r1 GROUP BY t HAVING count(DISTINCT i) > 1),
+        traces AS (
+            SELECT t, 1 AS power, sum(r) AS total FROM r1 WHERE i = j GROUP BY t
+            UNION ALL SELECT t, 2, sum(r) FROM r2 WHERE i = j GROUP BY t
+            UNION ALL SELECT a.t, 3, sum(a.r * b.r) FROM r2 a JOIN r1 b ON a.t = b.t AND a.i = b.j AND a.j = b.i GROUP BY a.t
+            UNION ALL SELECT a.t, 4, sum(a.r * b.r) FROM r2 a JOIN r2 b ON a.t = b.t AND a.i = b.j AND a.j = b.i GROUP BY a.t)
+        SELECT t AS table_name, power, {rounded('total')} AS total FROM traces WHERE t IN (SELECT t FROM wide)""".replace(
+        ", cells AS MATERIALIZED", ", cells_of AS MATERIALIZED")
+
+
 # --- sources ----------------------------------------------------------------------------------------------
 
 def split_counts() -> str:
@@ -806,7 +830,7 @@ def statements() -> dict[str, str]:
         primary_key_columns, category_distribution, numeric_distribution, datetime_distribution,
         string_distribution, datetime_strings, correlations, cramers_v, correlation_ratio, fk_coverage,
         pair_coverage, foreign_keys, referenced_keys, numerical_columns, categorical_columns,
-        disguised_missing, ml_row_counts, pca_2col, inject_wrong_datatype, inject_wrong_datatype_dates,
+        disguised_missing, ml_row_counts, pca_2col, pca_power_sums, inject_wrong_datatype, inject_wrong_datatype_dates,
         inject_null, inject_duplicate_rows, inject_orphan_fk, inject_new_category, inject_correlation_break,
         inject_duplicate_pk, detect_wrong_datatype, detect_insert_null, detect_duplicate_rows,
         detect_insert_column, detect_orphan_foreign_key, detect_new_category, detect_correlation_break,

@@ -20,7 +20,7 @@ from plumbline.operators.clusters import clusters
 from plumbline.operators.detection import Context, detect
 from plumbline.operators.profile_store import read_profiles
 from plumbline.plans.closed_loop import detect_tables, numbered_findings
-from plumbline.plans.corruption_round import ANOMALIES, run_round
+from plumbline.plans.corruption_round import run_round
 from plumbline.plans.profile_dataset import (
     load_profile, profile_columns, profile_dataset, profile_lines, save_profile,
 )
@@ -29,7 +29,6 @@ from plumbline.sources import tables as source
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
-STAR = TABLES[:7]
 
 PLACEHOLDER, PLACEHOLDER_EVERY = 99999999.0, 20
 SPLIT_SEED = "split"
@@ -246,13 +245,22 @@ def pca_2col(spark, folder):
     return found.components.join(loadings, "component", "left").drop("table_name")
 
 
-def pca_profile(spark, folder):
+def _components(spark, folder) -> dict[str, numeric_profile.Components]:
     """Components of every table with two numeric columns or more."""
     tables, columns, categories, _ = _columns(spark, folder)
     numerical = _by_table(keys.numerical_columns(columns, keys.discover(tables, columns, categories=categories)))
     wide = [t for t in sorted(numerical) if len(numerical[t]) > 1]
-    return tp.union_all([p.components for p in each(
-        wide, lambda t: numeric_profile.principal_components(t, tables[t], numerical[t]))])
+    return dict(zip(wide, each(wide, lambda t: numeric_profile.principal_components(t, tables[t], numerical[t]))))
+
+
+def pca_profile(spark, folder):
+    return tp.union_all([found.components for found in _components(spark, folder).values()])
+
+
+def pca_power_sums(spark, folder):
+    """Sums of the first four powers of each table's eigenvalues, which are the traces of the powers of its correlation matrix."""
+    rows = [(t, m, sum(x ** m for x in found.eigenvalues)) for t, found in _components(spark, folder).items() for m in range(1, 5)]
+    return spark.createDataFrame(rows, "table_name string, power int, total double").withColumn("total", F.round("total", 4))
 
 
 def kmeans_profile(spark, folder):
@@ -455,21 +463,29 @@ def detect_out_of_range(spark, folder):
 
 # --- whole rounds ---------------------------------------------------------------------------------------------
 
-_ROUND_TABLES = ("customer", "part", "orders")
+#: Profile frames that a round and the detectors read.
+_ROUND_PARTS = {"profile_table", "profile_column", "profile_category", "profile_distribution", "profile_correlation", "profile_fk"}
 
 
 def _round_inputs(spark, folder, how: str):
-    clean, test = {}, {}
-    for table in _ROUND_TABLES:
+    def sides(table: str):
         df = source.with_row_id(spark, f"{folder.rstrip('/')}/{table}.parquet")
-        clean[table], test[table] = source.split(df, df.count(), how=how, seed=SPLIT_SEED)
-    frames = profile_dataset(clean, test, numeric=False, key="row_id")
+        return source.split(df, df.count(), how=how, seed=SPLIT_SEED)
+
+    found = dict(zip(TABLES, each(TABLES, sides)))
+    clean, test = {t: c for t, (c, _) in found.items()}, {t: b for t, (_, b) in found.items()}
+    frames = profile_dataset(clean, test, numeric=False, key="row_id", parts=_ROUND_PARTS)
     return clean, test, read_profiles(frames)
 
 
+#: A run whose random choice takes many tables and all kinds of anomalies.
+RUN_NUMBER = 3
+
+
 def corruption_round_log(spark, folder):
+    """What a round of its own choice does to the tables."""
     clean, test, profiles = _round_inputs(spark, folder, "hash")
-    done = run_round(1, clean, test, profiles, seed="log", tables=list(test), anomalies=list(ANOMALIES))
+    done = run_round(RUN_NUMBER, clean, test, profiles, seed="log")
     return done.injection_log(spark).drop("logged_at", "params")
 
 
@@ -480,9 +496,9 @@ def clean_batch_findings(spark, folder):
 
 
 def saved_profile(spark, folder):
-    """Profile of the star tables, saved, read again and turned into JSON lines."""
+    """Profile of all tables, clusters included, saved, read again and turned into JSON lines."""
     target = f"{shared_dir(spark).rstrip('/')}/plumbline/profile-{uuid.uuid4().hex}"
-    save_profile(profile_dataset(load(spark, folder, *STAR), clusters=False), target)
+    save_profile(profile_dataset(load(spark, folder)), target)
     return profile_lines(load_profile(spark, target))
 
 
@@ -585,7 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         column_profile, null_profile, primary_keys, primary_key_columns, category_distribution,
         numeric_distribution, datetime_distribution, string_distribution, datetime_strings, correlations,
         cramers_v, correlation_ratio, fk_coverage, pair_coverage, foreign_keys, referenced_keys,
-        numerical_columns, categorical_columns, disguised_missing, ml_row_counts, pca_2col, pca_profile,
+        numerical_columns, categorical_columns, disguised_missing, ml_row_counts, pca_2col, pca_profile, pca_power_sums,
         kmeans_profile, saved_profile,
         detect_wrong_datatype, detect_insert_null, detect_duplicate_rows, detect_insert_column,
         detect_orphan_foreign_key, detect_new_category, detect_correlation_break,

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.detection import Context, detect
+from plumbline.operators.key_store import write_key_store
 from plumbline.operators.profile_store import TableProfile
 from plumbline.plans.closed_loop import numbered_findings
 
@@ -25,6 +27,12 @@ def on_batch(profile: TableProfile, context: Context, findings_path: str,
 
 def watch(stream: DataFrame, profile: TableProfile, findings_path: str, checkpoint: str,
           context: Context | None = None, key: str = "row_id", **trigger) -> StreamingQuery:
-    """Start checking a stream of new rows against a profile."""
-    writer = stream.writeStream.foreachBatch(on_batch(profile, context or Context(), findings_path, key))
+    """Start checking a stream of new rows against a profile.
+
+    The clean keys are stored once, bucketed, unless the context holds them already; each batch then moves only its own rows.
+    """
+    context = context or Context()
+    if context.clean and context.keys is None:
+        context = replace(context, keys=write_key_store(context.clean, {profile.name: profile}))
+    writer = stream.writeStream.foreachBatch(on_batch(profile, context, findings_path, key))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

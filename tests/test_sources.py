@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators.detection import Context
+from plumbline.operators.detection import Context, detect
+from plumbline.operators.key_store import write_key_store
 from plumbline.plans.closed_loop import run_pipeline
 from plumbline.operators.profile_store import read_profiles
 from plumbline.plans.profile_dataset import profile_dataset
@@ -125,3 +126,61 @@ def test_pipeline(spark, tmp_path):
     assert injections.count() > 2 and scores.agg(F.sum("matched")).first()[0] > 1
     assert logs.read(spark, str(tmp_path / "out"), "failures").count() == 0
     assert set(source.load_tables(spark, str(tmp_path / "out"), "batch")) == {"towns", "visits"}
+
+
+def test_batches_meet_stored_keys_without_moving_them(spark):
+    parent = spark.range(3_000).selectExpr("id AS row_id", "id * 3 AS code", "concat('p', id) AS name")
+    child = spark.range(6_000).selectExpr("id AS row_id", "id AS ref", "(id % 3000) * 3 AS parent_code", "concat('p', id % 2500) AS label")
+    clean = {"parent": parent, "child": child}
+    profiles = read_profiles(profile_dataset(clean, numeric=False, key="row_id"))
+    assert set(profiles["child"].foreign_keys) >= {"parent_code", "label"}
+    batch = {"child": spark.range(500).selectExpr(
+        "id + 6000 AS row_id", "IF(id % 5 = 0, id, id + 10000) AS ref", "IF(id % 10 = 0, 1, 8991 + id % 4 * 3) AS parent_code",
+        "IF(id % 4 = 0, 'nobody', IF(id % 50 = 1, NULL, 'p7')) AS label"),
+             "parent": spark.range(1).selectExpr("9000L AS row_id", "9000L AS code", "'new' AS name")}
+    store = write_key_store(clean, profiles)
+    plain, stored = Context(clean, batch), Context(clean, batch, store)
+    wanted = {"orphan_foreign_key", "duplicate_primary_key"}
+    found = [sorted(map(tuple, detect(batch["child"], profiles["child"], c, wanted).collect())) for c in (plain, stored)]
+    assert found[0] == found[1]
+    rows = {(r[1], r[2]): r[5] for r in found[1]}
+    assert rows["parent_code", "orphan_foreign_key"] == 50 and rows["label", "orphan_foreign_key"] == 125
+    assert rows["ref", "duplicate_primary_key"] == 100
+    held = spark.table(store.table)
+    assert held.count() == held.distinct().count() and "Bucketed: true" in plan_of(store.marked(held.limit(5), "there"))
+    plan = plan_of(detect(batch["child"], profiles["child"], stored, wanted))
+    # every exchange lies above the batch: none has the stored keys below it
+    for k, line in enumerate(plan.splitlines()):
+        if store.table in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in plan.splitlines()[:k][::-1]]
+            for other in above:
+                level = len(other) - len(other.lstrip(" :+-"))
+                if level < depth:
+                    depth = level
+                    if "Join" in other:
+                        break
+                    assert "Exchange" not in other
+    store.drop()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_cannot_leave_the_catalog(spark):
+    spark.range(5).createOrReplaceTempView("numbers")
+    for query in ("SELECT java_method('java.lang.System', 'setProperty', 'probe', '1')", "select reflect ('java.lang.Math', 'abs', -1)",
+                  "SELECT `try_reflect`('java.lang.Math', 'abs', -1)", "SELECT * FROM parquet.`/etc`", "SELECT * FROM `text`.`/etc/passwd`"):
+        assert source.run_query(spark, query)["error"].startswith("a statement must not"), query
+    told = source.run_query(spark, "SELECT 'java_method(x)' AS t, id AS reflect FROM numbers -- reflect(1)\n WHERE id = 1")
+    assert told["rows"] == [{"t": "java_method(x)", "reflect": 1}]
+
+
+def test_file_offsets_are_summed_by_stretches(spark):
+    sizes = spark.createDataFrame([(f"f{i:04d}", i % 7) for i in range(500)], "__file string, __n long")
+    found = {r["__file"]: r["__before"] for r in source.file_offsets(sizes, 40).collect()}
+    before = 0
+    for i in range(500):
+        assert found[f"f{i:04d}"] == before
+        before += i % 7
