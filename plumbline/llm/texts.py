@@ -38,11 +38,11 @@ def _factors(n: int, seed: int) -> np.ndarray:
     return draws(0, n, seed) | np.uint64(1)
 
 
-def chunks(texts: Iterable[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """(position of the first, texts) of runs of about CHUNK_BYTES."""
+def chunks(texts: Iterable[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(position of the first, texts) of runs of about `most` bytes."""
     first, held, size = 0, [], 0
     for at, data in enumerate(texts):
-        if held and size + len(data) > CHUNK_BYTES:
+        if held and size + len(data) > most:
             yield first, held
             first, held, size = at, [], 0
         held.append(data)

@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,8 +43,10 @@ SHARD_BYTES, INDEX_KEYS = 128 << 20, 1 << 20
 SPARE = 2
 #: Ids are read and handed on in stretches of about so many bytes.
 STRETCH = 8 << 20
+#: Bytes of text encoded together.
+ENCODED_BYTES = 2 << 20
 #: Words whose ids a task remembers; when there are more, it starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 MAGIC = 0x3148504D534449
 
 
@@ -51,7 +55,7 @@ MAGIC = 0x3148504D534449
 #: Words of these characters alone are cut into letters, digits and signs as the tokenizer below cuts them: all of them are single
 #: code points that normalisation leaves alone. An apostrophe or `<` needs the tokenizer's own rules.
 _LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
-_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_PLAIN = re.compile(f"([{_LETTERS}]*+)[{_LETTERS}0-9{_SIGNS}]*+")
 _PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
 
 #: Normaliser and splitting (fixed values of the tokenizer file) that never join what white space separates.
@@ -91,12 +95,13 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
-    def _raw(self, ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, self.dtype).tobytes()
+    def _raw(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype == '<u2' else 'I'}", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
-        return self._raw(token.id for token in self.tokenizer.model.tokenize(spelt))
+        # printable ASCII stands for itself
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return self._raw([token.id for token in self.tokenizer.model.tokenize(spelt)])
 
     def _learn(self, words: list[bytes]) -> None:
         odd, pieces = [], self.pieces
@@ -106,16 +111,19 @@ class Encoder:
             pieces.clear()
         for word in words:
             text = word.decode()
-            if not _PLAIN.fullmatch(text):
+            plain = _PLAIN.fullmatch(text)
+            if not plain:
                 odd.append(word)
                 continue
-            found = []
-            for piece in _PIECES.findall(text.lower()):
+            text = text.lower()
+            found = b""
+            # most words are letters, perhaps with signs behind them
+            for piece in (text,) if plain[1] == plain[0] else _PIECES.findall(text):
                 ids = pieces.get(piece)
                 if ids is None:
                     ids = pieces[piece] = self._piece(piece)
-                found.append(ids)
-            self.words[word] = b"".join(found)
+                found += ids
+            self.words[word] = found
         for word, found in zip(odd, self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)):
             self.words[word] = self._raw(found.ids)
 
@@ -123,13 +131,27 @@ class Encoder:
         """The ids of each text as raw bytes."""
         if not self.by_word:
             return [self._raw(e.ids) for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        split = [text.split() for text in texts]
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.words]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        words = split.flatten()
+        some = pc.greater(pc.binary_length(words), 0)
+        # words of each text, the empty ones at its ends left out
+        upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        coded = words.filter(some).dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        new = [w for w in names if w not in self.words]
         if new:
             # a cleared memory forgets words that these texts need as well
-            self._learn(new if len(self.words) + len(new) <= REMEMBERED else list(distinct))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+            self._learn(new if len(self.words) + len(new) <= REMEMBERED else names)
+        raw = [self.words[w] for w in names]
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.array([len(r) // width for r in raw], np.int64)
+        ids, begins = np.frombuffer(b"".join(raw), self.dtype), np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        counts = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        whole = ids[np.repeat(begins[word] - ends[:-1], counts) + np.arange(ends[-1])]
+        cuts = ends[upto].tolist()
+        return [whole[low:high].tobytes() for low, high in zip(cuts, cuts[1:])]
 
 
 def id_type(spec: str) -> str:
@@ -307,7 +329,7 @@ def _write_shards(rows: DataFrame, folder: str, spec: str, end: int | None) -> D
                 tail = encoder._raw([] if end is None else [end])
                 width = np.dtype(encoder.dtype).itemsize
             sizes = []
-            for _, texts in chunks(as_bytes(batch.column(1))):
+            for _, texts in chunks(as_bytes(batch.column(1)), ENCODED_BYTES):
                 for ids in encoder.encode(texts):
                     payload.write(ids + tail)
                     sizes.append((len(ids) + len(tail)) // width)
