@@ -40,16 +40,20 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, docs: DataFrame
         least = F.lit(0).cast("long")
         for value, part in share.items():
             least = F.when(F.col(label) == F.lit(value), F.lit(int(part * (1 << 40)))).otherwise(least)
-        drawn = texts.where(F.col("draw") < int(max(share.values()) * (1 << 40)))
+        # ids and hashes are joined and ranked; only the chosen texts are fetched, at most per_label a label
+        drawn = texts.where(F.col("draw") < int(max(share.values()) * (1 << 40))).select(
+            "doc_id", "of", "draw", *([label] if docs is None else []))
         if docs is not None:
-            drawn = drawn.select("doc_id", "text", "of", "draw").join(rows.select("doc_id", label).distinct(), "doc_id")
-        drawn = drawn.where(F.col("draw") < least).groupBy(label, "draw", "of").agg(F.min("text").alias("text"))
+            drawn = drawn.join(rows.select("doc_id", label).distinct(), "doc_id")
+        drawn = drawn.where(F.col("draw") < least).select(label, "draw", "of").distinct()
         # a few times per_label texts of a label
-        ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("draw", "of"))).where(
-            F.col("rank") <= per_label).collect()
+        chosen = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy("draw", "of"))).where(
+            F.col("rank") <= per_label).select(F.col(label).alias("chosen"), F.col("of").alias("wanted"))
+        ranked = texts.join(F.broadcast(chosen), F.col("of") == F.col("wanted")).groupBy("chosen", "of").agg(
+            F.min("text").alias("text")).collect()
         here: dict[object, list[str]] = {value: [] for value in share}
         for r in ranked:
-            here[r[label]].append(r["text"])
+            here[r["chosen"]].append(r["text"])
         found.update(here)
         # where many rows are copies, few texts are drawn: those labels are drawn again from more
         share = {value: min(1.0, 64 * part) for value, part in share.items() if part < 1 and len(here[value]) < per_label}
