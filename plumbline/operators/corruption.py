@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import base_type, quoted
 from plumbline.functions.draws import digest, pick, uniform
 from plumbline.functions.numbering import BUCKET_ROWS, number_rows
+from plumbline.session import materialize
 
 # Labels written as new categories, range of the dates written into other columns.
 NEW_LABELS = ["UNKNOWN", "N/A", "-99999", "TO_BE_DEFINED", "OTHER", "Not available", "Not applicable"]
@@ -202,8 +203,8 @@ def duplicate_primary_key(df: DataFrame, column: str, rate: float, seed: str, ke
                           hit: str = "hit") -> DataFrame:
     """Picked rows take a key drawn, with replacement, from the distinct keys of the other rows.
 
-    Donor keys are numbered 0..n-1 without a global sort; a row draws a number and finds its key by an
-    equi-join on it. No donor, no change.
+    Donor keys are numbered 0..n-1 in their order, sorted range by range; a row draws a number and finds its key
+    by an equi-join on it. No donor, no change.
     """
     mask = picked(rate, seed, key)
     donors = df.filter(~mask & quoted(column).isNotNull()).select(quoted(column).alias("__donor")).distinct()
@@ -211,8 +212,12 @@ def duplicate_primary_key(df: DataFrame, column: str, rate: float, seed: str, ke
     if total == 0:
         return df.withColumn(hit, F.lit(False))
     buckets = -(-total // BUCKET_ROWS)
-    place = F.pmod(F.xxhash64("__donor"), F.lit(buckets)) if buckets > 1 else F.lit(0)
-    numbered = number_rows(donors, ["__donor"], "__n", bucket=place)
+    place = F.lit(0)
+    if buckets > 1:
+        # ranges are drawn anew by every pass over the keys: written once, each key stays in its range
+        donors = materialize(donors.repartitionByRange(buckets, "__donor").withColumn("__range", F.spark_partition_id()), "donors")
+        place = F.col("__range")
+    numbered = number_rows(donors, ["__donor"], "__n", bucket=place).drop("__range")
     hits, rest = _split(df, mask, hit)
     drawn = hits.withColumn("__n", pick(seed, total, quoted(key), slot=1))
     moved = drawn.join(numbered, "__n").withColumn(column, F.col("__donor")).drop("__n", "__donor")
