@@ -25,6 +25,8 @@ DATA_TYPES = ("int", "float", "bool", "str", "datetime")
 
 # Characters changed by each candidate key; a key none of them frees is lengthened past every parent.
 CANDIDATE_EDITS = (1, 1, 1, 2, 2, 3, 5, 8)
+# Keys whose candidates a task makes: a key is a few bytes, its candidates are work.
+KEYS_PER_TASK = 10_000
 
 
 def picked(rate: float, seed: str, key: str = "row_id") -> Column:
@@ -269,19 +271,21 @@ def orphan_key_map(keys: DataFrame, parents: DataFrame, seed: str) -> DataFrame:
     """
     kind = orphan_key_type(keys.schema[0].dataType)
     name, parent_name = keys.columns[0], parents.columns[0]
-    old = keys.select(quoted(name).cast(kind).alias("old_key")).distinct()
+    old = materialize(keys.select(quoted(name).cast(kind).alias("old_key")).distinct(), "old-keys")
+    dealt = old.repartition(max(1, -(-old.count() // KEYS_PER_TASK)), "old_key")
     known = parents.select(quoted(parent_name).alias("new_key")).filter("new_key IS NOT NULL")
     if base_type(parents.schema[0].dataType) != base_type(keys.schema[0].dataType):
         # int and float keys meet as doubles; a string never equals a number
         numeric = {base_type(parents.schema[0].dataType), base_type(keys.schema[0].dataType)} == {"int", "float"}
         known = known.select(F.col("new_key").cast("double")) if numeric else known.limit(0).select(
             F.col("new_key").cast(kind))
-    tried = _candidates(old, kind != "string", seed).select(
+    tried = _candidates(dealt, kind != "string", seed).select(
         "old_key", "number", F.col("form").try_cast(kind).alias("new_key")).filter(
         "new_key IS NOT NULL AND new_key <> old_key")
     free = tried.join(known, "new_key", "left_anti").groupBy("old_key").agg(
         F.min_by("new_key", "number").alias("new_key"))
-    found = old.join(free, "old_key", "left")
+    # read again to number the keys that are left, and by the rows
+    found = materialize(old.join(free, "old_key", "left"), "new-keys")
     if kind == "string":
         longest = known.agg(F.max(F.length("new_key"))).first()[0] or 0
         # the mark keeps apart keys of which one begins with the other

@@ -10,3 +10,12 @@ def test_donors_are_numbered_in_their_order_whatever_the_buckets(spark, monkeypa
     whole = {tuple(r) for r in corruption.duplicate_primary_key(df, "k", 0.3, "s").collect()}
     monkeypatch.setattr(corruption, "BUCKET_ROWS", 40)
     assert {tuple(r) for r in corruption.duplicate_primary_key(df, "k", 0.3, "s").collect()} == whole
+
+
+def test_candidates_of_orphan_keys_are_made_by_many_tasks(spark, monkeypatch):
+    seen, make = [], corruption._candidates
+    monkeypatch.setattr(corruption, "KEYS_PER_TASK", 100, raising=False)
+    monkeypatch.setattr(corruption, "_candidates", lambda k, *rest: seen.append(k.rdd.getNumPartitions()) or make(k, *rest))
+    found = corruption.orphan_key_map(spark.range(1000).toDF("k"), spark.range(1000).toDF("p"), "s").collect()
+    assert seen == [10]
+    assert len(found) == 1000 and all(r["new_key"] >= 1000 or r["new_key"] < 0 for r in found)
