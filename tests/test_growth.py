@@ -1,8 +1,22 @@
 """Steps whose work must spread over tasks and grow with the input: plans, widths and results."""
 
+import io
+from contextlib import redirect_stdout
+from itertools import product
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import corruption
+from plumbline.operators import association, clusters, corruption, keys
+from plumbline.operators import table_profile as tp
+
+
+def plan_of(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
 
 
 def test_donors_are_numbered_in_their_order_whatever_the_buckets(spark, monkeypatch):
@@ -19,3 +33,54 @@ def test_candidates_of_orphan_keys_are_made_by_many_tasks(spark, monkeypatch):
     found = corruption.orphan_key_map(spark.range(1000).toDF("k"), spark.range(1000).toDF("p"), "s").collect()
     assert seen == [10]
     assert len(found) == 1000 and all(r["new_key"] >= 1000 or r["new_key"] < 0 for r in found)
+
+
+def test_no_aggregate_of_a_scan_is_wide(spark, monkeypatch):
+    widths, counts = [], tp._type_counts
+    monkeypatch.setattr(tp, "_type_counts", lambda df: widths.append(len(df.columns)) or counts(df))
+    df = spark.range(50).select(*[(F.col("id") % (n + 2)).alias(f"c{n}") for n in range(11)], F.lit(None).cast("string").alias("t"))
+    scan = tp.scan_columns(df)
+    assert max(widths) <= 3
+    assert list(scan.types) == df.columns and scan.rows == 50 and scan.values["t"] == 0
+    assert scan.evidence["c0"].least == 2 and 2 < scan.evidence["c9"].least <= 11
+
+
+def test_more_keys_than_a_word_has_bits(spark):
+    parents = spark.createDataFrame([(n, n + 1) for n in range(70)], "parent int, parent_rank int")
+    # key n holds the values up to n, column 100 those below 20
+    counts = spark.createDataFrame([(n, 0, float(v), None, 1) for n in range(70) for v in range(n + 1)] + [
+        (100, 0, float(v), None, 2) for v in range(20)], "attr int, family int, num double, txt string, cnt long")
+    words = keys._holder_words(parents)
+    found = keys._by_value(counts, parents, words).filter("attr = 100").join(F.broadcast(parents), keys._holds(words)).groupBy(
+        "parent").agg(F.sum("cnt").alias("hits")).collect()
+    assert len(words) == 2 and {r["parent"]: r["hits"] for r in found} == {n: 2 * min(n + 1, 20) for n in range(70)}
+
+
+@pytest.mark.parametrize("of", ["cramers_v", "correlation_ratio"])
+def test_tables_of_counts_are_made_once(spark, of):
+    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("a"), (F.col("id") % 5).cast("string").alias("b"),
+                                 (F.col("id") * 1.5).alias("x"))
+    found = association.cramers_v("t", df, ["a", "b"]) if of == "cramers_v" else association.correlation_ratio("t", df, ["a", "b"], ["x"])
+    assert "InArrow" not in plan_of(found)
+    assert found.count() == (1 if of == "cramers_v" else 2)
+
+
+def test_labels_are_counted_as_stored(spark):
+    df = spark.createDataFrame([(0.0, True), (-0.0, None), (1.5, False), (None, True)], "f double, b boolean")
+    found = tp.category_distribution({"t": df}, {"t": ["f", "b"]})
+    assert "InArrow" not in plan_of(found)
+    assert {(r["column_name"], r["category"]): (r["cnt"], round(r["share"], 4)) for r in found.collect()} == {
+        ("f", "0.0"): (2, 0.6667), ("f", "1.5"): (1, 0.3333), ("b", "true"): (2, 0.6667), ("b", "false"): (1, 0.3333)}
+
+
+def test_points_travel_in_blocks_and_go_to_the_first_nearest_centre(spark):
+    points = spark.range(7000).select(F.lit(1.0).alias("weight"), (F.col("id") % 9).cast("double").alias("c0"),
+                                      (F.col("id") % 4).cast("double").alias("c1")).coalesce(1)
+    packed = clusters._packed(points)
+    assert packed.count() <= 7000 // 1000
+    centres = np.array(list(product([0.0, 4.0, 8.0], [1.0, 2.0])))
+    x = np.random.default_rng(1).integers(0, 9, (2, 500)).astype(float)
+    by_hand = ((x.T[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+    assert (clusters._labels(x, centres) == by_hand).all()
+    sums = clusters._pass(packed, {6: centres}, 2)[6]
+    assert sums.weight.sum() == 7000 and sums.sums[:, 0].sum() == sum(i % 9 for i in range(7000))
