@@ -64,10 +64,37 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
 
 
 def unfold(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, prompt, target): each example written out, its context as the prompt."""
-    whole = formatted.select("conv_id", F.concat_ws("", "pieces").alias("text"), F.posexplode("examples").alias("example", "e"))
-    return whole.select("conv_id", "example", F.expr("substring(text, 1, e.loss_start)").alias("prompt"),
-                        F.expr("substring(text, e.loss_start + 1, e.stop - e.loss_start)").alias("target"))
+    """(conv_id, example, prompt, target, loss_length, chars, is_last): a row per example, its context as the prompt.
+
+    The first `loss_length` characters of the target are trainable, `chars` counts prompt and target, and the last example of a
+    conversation holds all of it. A target is cut from its own turn; only prompts that are asked for are written out.
+    """
+    whole = formatted.select("conv_id", "pieces", F.size("examples").alias("n"), F.posexplode("examples").alias("example", "e"))
+    return whole.select("conv_id", "example", F.expr("substring(concat_ws('', pieces), 1, e.loss_start)").alias("prompt"),
+                        F.expr("right(get(pieces, e.piece), e.stop - e.loss_start)").alias("target"),
+                        F.col("e.loss_length").alias("loss_length"), F.col("e.stop").alias("chars"),
+                        (F.col("example") == F.col("n") - 1).alias("is_last"))
+
+
+def _turns(whole: Column) -> Column:
+    """Structs (role, text) of a formatted conversation, cut out at control strings and unescaped."""
+    # the space and `<` of END are neighbours only where it closes a turn: inside texts a backslash stands between them
+    cut = F.split(whole, " </turn>\n")
+    # possessive quantifiers: a role of any length is read without recursion and without going back
+    return F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda t: F.struct(
+        unescape(F.regexp_extract(t, r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)).alias("role"),
+        unescape(F.regexp_extract(t, r"(?s)^### (?:[^\\:]++|\\.)*+: (.*+)$", 1)).alias("text")))
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """(conv_id, turns, losses, formatted_chars) as `read_back` gives them, from the rows of `unfold`: losses from each example's target, turns
+    from the last example's prompt and target."""
+    loss = unescape(F.expr("substring(target, 1, loss_length)"))
+    read = examples.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("example", loss.alias("loss")))).alias("losses"),
+        F.sum(F.col("chars").cast("long")).alias("formatted_chars"),
+        F.max(F.when(F.col("is_last"), F.concat("prompt", "target"))).alias("whole"))
+    return read.select("conv_id", _turns(F.col("whole")).alias("turns"), F.col("losses.loss").alias("losses"), "formatted_chars")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

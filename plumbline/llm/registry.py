@@ -43,7 +43,7 @@ def op5_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.unionByName(spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")))
-    found = chat.read_back(chat.format_conversations(turns))
+    found = chat.read_examples(chat.unfold(chat.format_conversations(turns)))
     spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.concat_ws("", "losses")
     return found.select(
