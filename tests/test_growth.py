@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import association, clusters, corruption, keys
 from plumbline.operators import table_profile as tp
+from plumbline.plans import registered
+from plumbline.plans.profile_dataset import profile_dataset
 
 
 def plan_of(df) -> str:
@@ -85,3 +87,24 @@ def test_points_travel_in_blocks_and_go_to_the_first_nearest_centre(spark):
     assert (clusters._labels(x, centres) == by_hand).all()
     sums = clusters._pass(packed, {6: centres}, 2)[6]
     assert sums.weight.sum() == 7000 and sums.sums[:, 0].sum() == sum(i % 9 for i in range(7000))
+
+
+def test_rows_told_apart_by_a_key_are_not_fingerprinted(spark, monkeypatch):
+    seen, fingerprint = [], tp.row_fingerprint
+    monkeypatch.setattr(tp, "row_fingerprint", lambda df, *rest: seen.append(df.columns) or fingerprint(df, *rest))
+    tables = {"keyed": spark.range(300).select("id", (F.col("id") % 3).alias("x")), "none": spark.range(0),
+              "copies": spark.range(300).select((F.col("id") % 200).alias("y"))}
+    found = profile_dataset(tables, numeric=False, parts={"profile_table"})["profile_table"].collect()
+    assert seen == [["y"]]
+    assert {r["table_name"]: tuple(r)[1:] for r in found} == {
+        "copies": (300, 1, 100, 0.3333), "keyed": (300, 2, 0, 0.0), "none": (0, 1, 0, 0.0)}
+
+
+@pytest.mark.parametrize("how", ["hash", "position"])
+def test_sides_of_a_round_are_written_once(spark, monkeypatch, how):
+    monkeypatch.setattr(registered, "TABLES", ("nation",))
+    monkeypatch.setattr(registered, "profile_dataset", lambda *a, **k: {})
+    clean, test, _ = registered._round_inputs(spark, "/root/testdata/sf0.001", how)
+    for side in (clean["nation"], test["nation"]):
+        assert "md5" not in plan_of(side) and "Join" not in plan_of(side)
+    assert clean["nation"].union(test["nation"]).select("row_id").distinct().count() == 25
