@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import association, clusters, corruption, keys
+from plumbline.operators import association, clusters, corruption, keys, numeric_profile
 from plumbline.operators import table_profile as tp
 from plumbline.plans import registered
 from plumbline.plans.profile_dataset import profile_dataset
@@ -108,3 +108,12 @@ def test_sides_of_a_round_are_written_once(spark, monkeypatch, how):
     for side in (clean["nation"], test["nation"]):
         assert "md5" not in plan_of(side) and "Join" not in plan_of(side)
     assert clean["nation"].union(test["nation"]).select("row_id").distinct().count() == 25
+
+
+def test_frequent_values_are_counted_without_unfolding_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 4).alias("a"), F.when(F.col("id") < 300, 7.5).otherwise(F.col("id") * 1.0).alias("b"),
+                                  F.col("id").alias("c"), F.lit(None).cast("int").alias("d"))
+    found = numeric_profile.frequent_values(df, df.columns)
+    assert "Generate" not in plan_of(found)
+    assert {r["column_name"]: tuple(r)[1:] for r in found.collect()} == {"a": (0.0, 250, 0.25), "b": (7.5, 300, 0.3)}
+    assert numeric_profile.frequent_values(df, ["c", "d"]).collect() == []
