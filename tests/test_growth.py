@@ -8,6 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import session
+from plumbline.functions import percentiles
+from plumbline.functions.percentiles import Span, ordered, values_at_ranks
 from plumbline.operators import association, clusters, corruption, keys, numeric_profile
 from plumbline.operators import table_profile as tp
 from plumbline.plans import registered
@@ -117,3 +120,41 @@ def test_frequent_values_are_counted_without_unfolding_rows(spark):
     assert "Generate" not in plan_of(found)
     assert {r["column_name"]: tuple(r)[1:] for r in found.collect()} == {"a": (0.0, 250, 0.25), "b": (7.5, 300, 0.3)}
     assert numeric_profile.frequent_values(df, ["c", "d"]).collect() == []
+
+
+def test_passes_read_blocks_as_bytes_and_add_up_over_tasks(spark):
+    points = spark.range(0, 25_003, 1, 3).select((F.col("id") % 3 + 1).cast("double").alias("weight"), F.sin("id").alias("c0"),
+                                                 F.cos(F.col("id") * 7).alias("c1"))
+    packed = clusters._packed(points)
+    assert isinstance(packed.first(), bytes) and packed.getNumPartitions() == 3
+    rows = np.array([tuple(r) for r in points.collect()])
+    w, x = rows[:, 0], rows[:, 1:]
+    fits = {k: np.random.default_rng(k).normal(size=(k, 2)) for k in (2, 3, 7)}
+    for k, sums in clusters._pass(packed, fits, 2).items():
+        label = ((x[:, None, :] - fits[k][None]) ** 2).sum(2).argmin(1)
+        assert sums.weight.tolist() == np.bincount(label, w, k).tolist()
+        assert np.allclose(sums.squares, np.bincount(label, w * (x * x).sum(1), k))
+        assert np.allclose(sums.sums, np.stack([np.bincount(label, w * c, k) for c in x.T], axis=1))
+
+
+def test_a_value_that_fills_a_range_ends_the_search(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(percentiles, "FEW_VALUES", 100)
+    monkeypatch.setattr(percentiles, "_pass", lambda *a, own=percentiles._pass: passes.append(1) or own(*a))
+    values = [-1e300, -0.3, 0.1, 7.7, 1e300]
+    df = spark.range(5000).select(F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % 5 + 1).cast("int")).alias("x"))
+    ranks = [0, 999, 1000, 2500, 3999, 4999]
+    found = values_at_ranks(df, {"x": ordered(df, "x")}, {"x": ranks}, {"x": Span(-1e300, 1e300, 5000)})
+    assert found["x"] == {r: sorted(values * 1000)[r] for r in ranks}
+    assert len(passes) == 2
+
+
+def test_bytes_of_narrow_rows_are_not_added_up(spark):
+    context, limit = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    with session.narrow_rows(spark, 64):
+        assert context.getLocalProperty(limit) == str(2 ** 31 - 1)
+        with session.narrow_rows(spark, 1 << 20):
+            assert spark.range(3).mapInArrow(lambda batches: batches, "id long").count() == 3
+    assert context.getLocalProperty(limit) is None
+    with session.narrow_rows(spark, 1 << 20):
+        assert context.getLocalProperty(limit) is None
